@@ -62,3 +62,41 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for i, j in zip(starts, np.append(starts[1:], batch.num_rows)):
         yield batch.slice(int(i), int(j - i))
+
+
+def _filesystem(uri: str):
+    """(file system, path, whether it is a mounted one) of a URI or plain path."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri, True
+    found, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+    return found, path, isinstance(found, fs.LocalFileSystem)
+
+
+def write_whole(uri: str, parts: Iterator[bytes]) -> int:
+    """Write a file of the shared folder under another name first, so a task that dies or runs twice leaves no half of it. Bytes written."""
+    found, path, _ = _filesystem(uri)
+    found.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    own, size = f"{path}.{uuid.uuid4().hex}.part", 0
+    with found.open_output_stream(own) as out:
+        for part in parts:
+            out.write(part)
+            size += len(part)
+    found.move(own, path)
+    return size
+
+
+def open_stream(uri: str):
+    """A readable stream on a file of the shared folder."""
+    found, path, _ = _filesystem(uri)
+    return found.open_input_stream(path)
+
+
+def open_mapped(uri: str) -> np.ndarray:
+    """The bytes of a file: mapped where the shared folder is mounted, read into memory where it is an object store."""
+    found, path, mounted = _filesystem(uri)
+    if mounted:
+        return np.memmap(path, dtype=np.uint8, mode="r")
+    with found.open_input_file(path) as f:
+        return np.frombuffer(f.read(), dtype=np.uint8)
