@@ -79,7 +79,7 @@ def write_whole(uri: str, parts: Iterator[bytes]) -> int:
     found, path, _ = _filesystem(uri)
     found.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own, size = f"{path}.{uuid.uuid4().hex}.part", 0
-    with found.open_output_stream(own) as out:
+    with found.open_output_stream(own, compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)
@@ -90,7 +90,7 @@ def write_whole(uri: str, parts: Iterator[bytes]) -> int:
 def open_stream(uri: str):
     """A readable stream on a file of the shared folder."""
     found, path, _ = _filesystem(uri)
-    return found.open_input_stream(path)
+    return found.open_input_stream(path, compression=None)
 
 
 def open_mapped(uri: str) -> np.ndarray:
