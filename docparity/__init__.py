@@ -1,0 +1 @@
+"""PySpark-native analytics over document extractions: parse, score, escalate, compare, validate, report."""

@@ -7,14 +7,12 @@ many tokens. Three devices keep the join small without losing a pair:
 
 * *prefix*: with every document's tokens in one global order, two documents
   with ``m`` common tokens have one in common among the first ``K - m + 1`` of
-  each, so only those are posted. The order puts tokens known to be frequent
-  last, so passages that many documents share are rarely posted at all. The
-  order is a matter of speed only, any total order gives the same pairs.
+  each, so only those are posted. The order is by the number of documents that
+  have the token, so passages that many documents share are hardly posted.
 * *skip by identity*: documents with one signature are one posting entry.
-* *skip by component*: each posting list is first merged against its smallest
-  document only, a number of pairs linear in the list. Lists whose members that
-  has already connected are skipped; elsewhere only pairs across components
-  are counted.
+* *skip by component*: a long posting list is first merged against a few
+  centres only, a number of pairs linear in the list. Lists whose members that
+  has connected are then skipped; elsewhere pairs across components are counted.
 
 What comes out is a set of counted pairs, each with at least ``matches`` agreeing
 coordinates, that connects exactly the documents connected by *all* such pairs.
@@ -36,10 +34,9 @@ from docparity.llm.common import cut, slices
 K = 64
 SHINGLE_WORDS = 2
 SIMILARITY = 0.5
-#: A token seen so often in one slice of a task's input is a candidate for the frequent list.
-LOCAL_FREQUENT = 4
-#: Entries of the frequent list. It only orders tokens, so its bound drops no pair.
-FREQUENT_MOST = 50_000
+#: Posting lists up to this length are merged pair by pair at once; longer ones through their centres first.
+SHORT = 24
+CENTRES = 8
 
 _U32 = np.uint32
 _rng = np.random.RandomState(20240229)
@@ -135,33 +132,60 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
     return (np.arange(K, dtype=np.int64) << 32)[None, :] | sig.astype(np.int64)
 
 
-def _frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        token, n = np.unique(_tokens(_as_matrix(batch.column("sig"))), return_counts=True)
-        often = n >= LOCAL_FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(token[often]), pa.array(n[often].astype(np.int64))], ["token", "n"])
+        for lo in range(0, batch.num_rows, 5000):
+            part = batch.slice(lo, 5000)
+            token = _tokens(_as_matrix(part.column("sig")))
+            ids = np.repeat(part.column("doc_id").to_numpy(), K)
+            yield pa.RecordBatch.from_arrays([pa.array(token.ravel()), pa.array(ids)], ["token", "doc_id"])
 
 
-def _posting_rows(tokens: np.ndarray, ranks: np.ndarray, prefix: int):
-    """tokens: sorted frequent tokens; ranks: their place among them, 1 the least frequent."""
+def _order(docs: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Members of a posting list, those with many copies first, else in an order that is the same in every list."""
+    return np.lexsort((_mix(docs.astype(np.uint64)), -copies))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 5000):
-                part = batch.slice(lo, 5000)
-                token = _tokens(_as_matrix(part.column("sig")))
-                order = np.zeros(token.shape, np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
-                    order = np.where(tokens[at] == token, ranks[at], 0)
-                # rare tokens first; equal ranks by a hash, so that no coordinate is favoured
-                mixed = (_mix(token.astype(np.uint64)) >> np.uint64(20)).astype(np.int64)
-                first = np.argsort((order << 44) | mixed, axis=1, kind="stable")[:, :prefix]
-                posted = np.take_along_axis(token, first, axis=1)
-                ids = np.repeat(part.column("doc_id").to_numpy(), posted.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(posted.ravel()), pa.array(ids)], ["token", "doc_id"])
 
-    return run
+def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list's centres with all its members; of a short list that is all pairs."""
+    for docs, copies in _lists(batches):
+        yield from _blocks((d[o[:i]], d[o[i]]) for d, c in zip(docs, copies) for o in (_order(d, c),) for i in ([*range(1, len(d))] if len(d) <= SHORT else []))
+        yield from _blocks((d[o[i + 1 :]], d[o[i]]) for d, c in zip(docs, copies) if len(d) > SHORT for o in (_order(d, c),) for i in range(CENTRES))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    for batch in batches:
+        column = batch.column("m")
+        flat, ends = column.flatten(), column.offsets.to_numpy()
+        cuts = (ends - ends[0])[1:-1]
+        yield np.split(flat.field("doc_id").to_numpy(), cuts), np.split(flat.field(1).to_numpy(), cuts)
+
+
+def _blocks(parts) -> Iterator[pa.RecordBatch]:
+    """Pairs (many documents, one document) as rows, the smaller document first."""
+    many: list[np.ndarray] = []
+    one: list[int] = []
+    size = 0
+    for xs, x in parts:
+        many.append(xs)
+        one.append(x)
+        size += len(xs)
+        if size > 300_000:
+            yield _pair_batch(many, one)
+            many, one, size = [], [], 0
+    if one:
+        yield _pair_batch(many, one)
+
+
+def _pair_batch(many: list[np.ndarray], one: list[int]) -> pa.RecordBatch:
+    a, b = np.concatenate(many), np.repeat(np.array(one, np.int64), [len(x) for x in many])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["doc_a", "doc_b"])
+
+
+def _across_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a list's members that are in different components."""
+    for docs, groups in _lists(batches):
+        yield from _blocks((d[i + 1 :][g[i + 1 :] != g[i]], d[i]) for d, g in zip(docs, groups) for i in range(len(d) - 1))
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,66 +242,38 @@ def _search(docs: DataFrame, similarity: float, text: str) -> DataFrame:
     least = int(np.ceil(similarity * K))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     sigs = cut(given.mapInArrow(_signature_rows, "doc_id long, sig binary"))
-    spark = docs.sparkSession
-    same = sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    reps = cut(same)
+    reps = cut(sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     twins = (
-        sigs.alias("s").join(reps.alias("r"), "sig").where("s.doc_id <> r.doc_id")
-        .select(F.col("r.doc_id").alias("doc_a"), F.col("s.doc_id").alias("doc_b"), F.lit(K).alias("matches")).distinct()
-    )
-    # several signatures may carry one doc_id (repeated ids); a signature key keeps the join below exact
-    often = (
-        reps.mapInArrow(_frequent_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).toPandas()
-    )
-    often = often.sort_values(["n", "token"])
-    ranks = np.arange(1, len(often) + 1, dtype=np.int64)
-    by_token = np.argsort(often["token"].to_numpy(np.int64))
-    posted = _posting_rows(often["token"].to_numpy(np.int64)[by_token], ranks[by_token], K - least + 1)
-    lists = (
-        reps.mapInArrow(posted, "token long, doc_id long").groupBy("token").agg(F.collect_set("doc_id").alias("docs"))
-        .where(F.size("docs") > 1).select(F.sort_array("docs").alias("docs"))
+        sigs.alias("s").join(reps.where("copies > 1").alias("r"), "sig").where("s.doc_id <> r.doc_id")
+        .select(F.col("r.doc_id").alias("doc_a"), F.col("s.doc_id").alias("doc_b"), F.lit(K).alias("matches"))
     )
-    # lists with the same members give the same pairs, so one of them does
-    lists = cut(lists.distinct())
-    stars = lists.select(F.element_at("docs", 1).alias("doc_a"), F.explode(F.slice("docs", 2, 2_000_000_000)).alias("doc_b")).distinct()
+    lists = cut(_posting_lists(reps, K - least + 1))
+    stars = lists.mapInArrow(_star_rows, "doc_a long, doc_b long").where("doc_a <> doc_b").distinct()
     first = cut(_counted(stars, reps, least))
-    group = components(first)
-    members = lists.where(F.size("docs") > 2).select(F.xxhash64("docs").alias("list"), F.explode("docs").alias("doc_id"))
-    placed = members.join(group, "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
-    mixed = placed.groupBy("list").agg(F.collect_set(F.struct("group_id", "doc_id")).alias("m"), F.min("group_id").alias("g0"), F.max("group_id").alias("g1")).where("g0 <> g1")
-    pairs = mixed.mapInArrow(_across, "doc_a long, doc_b long").distinct()
-    second = _counted(pairs.join(stars, ["doc_a", "doc_b"], "left_anti"), reps, least)
-    found = first.union(cut(second)).union(twins)
+    members = lists.where(F.size("m") > SHORT).select(F.xxhash64("m").alias("list"), F.explode("m.doc_id").alias("doc_id"))
+    placed = members.join(components(first), "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    mixed = placed.groupBy("list").agg(F.collect_set(F.struct("doc_id", "group_id")).alias("m"), F.min("group_id").alias("g0"), F.max("group_id").alias("g1")).where("g0 <> g1").select("m")
+    across = mixed.mapInArrow(_across_rows, "doc_a long, doc_b long").distinct()
+    found = first.union(_counted(across, reps, least)).union(twins)
     return found.where("doc_a <> doc_b").groupBy(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).agg((F.max("matches") / F.lit(float(K))).alias("similarity"))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list's members that are in different components, in blocks of bounded size."""
-    for batch in batches:
-        column = batch.column("m")
-        flat, ends = column.flatten(), column.offsets.to_numpy()
-        groups, docs = flat.field("group_id").to_numpy(), flat.field("doc_id").to_numpy()
-        ends = ends - ends[0]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for lo, hi in zip(ends[:-1], ends[1:]):
-            order = np.argsort(docs[lo:hi], kind="stable")
-            g, d = groups[lo:hi][order], docs[lo:hi][order]
-            for i in range(len(d) - 1):
-                other = d[i + 1 :][g[i + 1 :] != g[i]]
-                if len(other):
-                    out.append((np.full(len(other), d[i]), other))
-                    size += len(other)
-                if size > 500_000:
-                    yield _pair_batch(out)
-                    out, size = [], 0
-        if out:
-            yield _pair_batch(out)
-
-
-def _pair_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["doc_a", "doc_b"])
+def _posting_lists(reps: DataFrame, prefix: int) -> DataFrame:
+    """Distinct lists ``m`` of two or more (doc_id, copies) posted under one token, rarest tokens first, ``prefix`` for each document.
+
+    Tokens of one document only are left out after they are counted as the
+    first of its order: they never collide but use up places of the prefix.
+    """
+    tokens = reps.mapInArrow(_token_rows, "token long, doc_id long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = tokens.join(often, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("token").alias("h"), "token"))).alias("t"))
+    room = F.lit(prefix - K) + F.size("t")  # places left after the tokens no other document has
+    posted = shared.where(room > 0).select("doc_id", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("doc_id", "p.token")
+    copies = reps.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    return (
+        posted.join(copies, "doc_id").groupBy("token").agg(F.sort_array(F.collect_set(F.struct("doc_id", "copies"))).alias("m"))
+        .where(F.size("m") > 1).select("m").distinct()
+    )
 
 
 def near_duplicates_dropped(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
