@@ -6,8 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-_WORD = 4096  # characters of the shorter text a step works on at once; Python integers carry any width
+from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -43,7 +42,7 @@ def ratio(a: str | None, b: str | None) -> float | None:
     return float(np.rint(200.0 * lcs_length(a, b) / total)) / 100.0 if total else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -12,14 +12,18 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+#: White space as Unicode has it, for use within brackets; the same in Java's and RE2's expressions.
+WHITE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+
+
 def strip(text: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def clean_text(text: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"[{WHITE}]+", " "))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -82,17 +86,17 @@ ADDITIVE = ("n", "n_blank", "chars", "alnum", "spaces", "bad", "words", "word_ch
 def element_counts(text: Column) -> dict[str, Column]:
     """Counts of one element. Joined text is never built: joining n texts by a space adds n - 1 characters of white space."""
     t = F.coalesce(text, F.lit(""))
-    words = count_of(t, r"\S+")
+    words = count_of(t, rf"[^{WHITE}]+")
     return {
         "n": F.lit(1).cast("long"),
         "n_blank": F.when(strip(t) == "", 1).otherwise(0).cast("long"),
         "chars": F.length(t).cast("long"),
         "alnum": count_of(t, r"[\p{L}\p{N}]"),
-        "spaces": count_of(t, r"\s"),
+        "spaces": count_of(t, rf"[{WHITE}]"),
         "bad": count_of(t, "[�\\x00￾￿]"),
         "words": words,
-        "word_chars": count_of(t, r"\S"),
-        "broken": count_of(t, r"(?<!\S)[^\s\p{L}\p{N}](?!\S)"),
+        "word_chars": count_of(t, rf"[^{WHITE}]"),
+        "broken": count_of(t, rf"(?<![^{WHITE}])[^{WHITE}\p{{L}}\p{{N}}](?![^{WHITE}])"),
     }
 
 

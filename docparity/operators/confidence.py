@@ -98,8 +98,8 @@ def document_scores(docs: DataFrame, pages: DataFrame, tables: DataFrame, figure
     """One row a document of ``docs`` (doc_id, title): the four scores, overall and level, and what the pages add up to.
 
     ``pages`` as from :func:`page_confidence`. The stripped length of the joined
-    text is approximated by nothing: leading and trailing blank elements do not
-    count, since only elements with words add to it with the spaces between them.
+    text is taken as the stripped lengths of its elements and a space between
+    those that are not blank; it only matters for texts under 50 characters.
     """
     p = pages.groupBy("doc_id").agg(
         *[F.sum(k).alias(k) for k in T.ADDITIVE], F.sum("stripped").alias("stripped"), F.sum("headings").alias("headings"), F.count("*").alias("total_pages"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docparity import schemas
+from docparity.functions.text import strip
 
 #: What a model is asked to return; every field may be missing.
 ANSWER = (
@@ -42,7 +43,7 @@ def fenced_text(raw: Column) -> Column:
     """What is inside a code fence marked as JSON, else inside any fence, else the whole, trimmed."""
     tagged = F.regexp_extract(raw, r"(?s)```json\s*(.*?)```", 1)
     plain = F.regexp_extract(raw, r"(?s)```(.*?)```", 1)
-    return F.trim(F.when(F.contains(raw, F.lit("```json")), tagged).when(F.contains(raw, F.lit("```")), plain).otherwise(raw))
+    return strip(F.when(F.contains(raw, F.lit("```json")), tagged).when(F.contains(raw, F.lit("```")), plain).otherwise(raw))
 
 
 def fenced_json(raw: Column, schema: str = ANSWER) -> Column:
