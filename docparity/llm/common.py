@@ -49,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, longer if a column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_lengths(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Bytes of each value; 0 for null."""
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docparity.llm.common import cut, slices
+from docparity.llm.common import cut, fresh, slices
 
 K = 64
 SHINGLE_WORDS = 2
@@ -283,5 +283,5 @@ def near_duplicates_dropped(docs: DataFrame, similarity: float = SIMILARITY, tex
     is null or blank belong to no group and stay. Rows that share a ``doc_id``
     are one document and stay or go together.
     """
-    gone = components(near_duplicate_pairs(docs, similarity, text)).where("doc_id <> group_id").select(F.col("doc_id").alias("__dp_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__dp_gone"), "left_anti")
+    gone = components(near_duplicate_pairs(docs, similarity, text)).where("doc_id <> group_id").select(F.col("doc_id").alias(name := fresh("__dp_gone", docs)))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -65,16 +65,16 @@ class _Sizes:
 
     def best_pair(self, room: int, without: int) -> tuple[int, int] | None:
         """The two items with the largest sum up to ``room``, the longest first; of equal sums the one with the longer first item."""
-        have = self.order[: bisect.bisect_right(self.order, room)]
-        lo, hi, best = 0, len(have) - 1, None
-        while lo <= hi:
-            a, b = have[hi], have[lo]
-            if a + b > room:
+        have = [s for s in self.order[: bisect.bisect_right(self.order, room)] if self.count[s] > (s == without)]
+        best = max(((s, s) for s in have if 2 * s <= room and self.count[s] - (s == without) >= 2), default=None)
+        lo, hi = 0, len(have) - 1
+        while lo < hi:
+            pair = have[hi], have[lo]
+            if sum(pair) > room:
                 hi -= 1
                 continue
-            enough = self.count[a] - (a == without) >= 1 and self.count[b] - (b == without) >= 1 and (a != b or self.count[a] - (a == without) >= 2)
-            if enough and (best is None or a + b > sum(best)):
-                best = (a, b)
+            if best is None or (sum(pair), pair) > (sum(best), best):
+                best = pair
             lo += 1
         return best
 

@@ -1,0 +1,86 @@
+import random
+
+import pyarrow.parquet as pq
+import pytest
+from helpers import ODD, docs
+
+from docparity.llm import pii
+
+
+def kinds(text):
+    return [(k, text[s:e], n) for k, s, e, n in pii.find(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source", "normal"),
+    [
+        ("write to jo.doe@example.com today", "email", "jo.doe@example.com", "jo.doe@example.com"),
+        ("jo.doe (at) example [dot] com!", "email", "jo.doe (at) example [dot] com", "jo.doe@example.com"),
+        ("mail jo at example dot com now", "email", "jo at example dot com", "jo@example.com"),
+        ("jo @ example . com", None, None, None),
+        ("ｊｏ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏ＠ｅｘａｍｐｌｅ．ｃｏｍ", "jo@example.com"),
+        ("jо@exаmple.com", "email", "jо@exаmple.com", "jo@example.com"),
+        ("call five five five one two three four five six seven.", "phone", "five five five one two three four five six seven", "5551234567"),
+        ("tel double five 5 one two three four five six seven", "phone", "double five 5 one two three four five six seven", "5551234567"),
+        ("+1 (706) 555-3138 is it", "phone", "+1 (706) 555-3138", "+1 (706) 555-3138"),
+        ("ssn 123-45-6789.", "ssn", "123-45-6789", "123-45-6789"), ("ssn ١٢٣-٤٥-٦٧٨٩", "ssn", "١٢٣-٤٥-٦٧٨٩", "123-45-6789"),
+        ("from 192.168.1.254 at", "ip", "192.168.1.254", "192.168.1.254"), ("DE89 3704 0044 0532 0130 00 ok", "iban", "DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"),
+        ("card 4111 1111 1111 1111 x", "card", "4111 1111 1111 1111", "4111 1111 1111 1111"), ("api_key = abcdefgh12345", "secret", "api_key = abcdefgh12345", "api_key = abcdefgh12345"),
+        ("a​b@c​.de and", "email", "a​b@c​.de", "ab@c.de"),
+    ],
+)
+def test_found(text, kind, source, normal):
+    assert kinds(text) == ([] if kind is None else [(kind, source, normal)])
+
+
+@pytest.mark.parametrize("text", ["look at example.com for it", "one or two of three", "version 1.2.3.4.5", "in 2024 and 1999", "he was at the dot", "page 12 of 345", "", "plain prose only", "Die neun Leute und acht andere"])
+def test_left_alone(text):
+    assert pii.find(text) == [] and pii.redacted(text, []) == text
+
+
+def test_offsets_hold_in_long_texts():
+    rng = random.Random(1)
+    filler = ["wort", "ñandú", "日本", "​", "🙂", "ｆｕｌｌ", "naïve", "и", ".", "\n"]
+    planted = ["jo (at) example (dot) org", "five five five one two three four five six seven", "10.20.30.40", "jo@ex.org"]
+    for _ in range(200):
+        parts, at, spans = [], 0, []
+        for _ in range(rng.randrange(1, 30)):
+            word = rng.choice(planted) if rng.random() < 0.15 else " ".join(rng.choices(filler, k=4))
+            if word in planted:
+                word = f" so; {word} ; so "
+                spans.append((at + 5, at + len(word) - 6))
+            parts.append(word)
+            at += len(word)
+        text = "".join(parts)
+        found = [(s, e) for _, s, e, _ in pii.find(text)]
+        assert set(spans) <= set(found)
+
+
+def test_each_transducer_keeps_a_span_for_each_character():
+    text = "Ｊо at exаmple dot com, five​ five five"
+    a = pii.Aligned.of(text)
+    for step in (pii.fold, pii.digits, pii.mail):
+        a = step(a)
+        assert len(a.text) == len(a.starts) == len(a.ends)
+        assert all(0 <= s < e <= len(text) for s, e in zip(a.starts, a.ends)) and list(a.starts) == sorted(a.starts)
+
+
+def test_hints_lose_nothing():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet")
+    column = table.column("text").combine_chunks()
+    texts, found = pii.find_all(column)
+    assert [pii.find(t) for t in texts] == found and any(found)
+
+
+def test_odd_rows(spark):
+    rows = pii.pii_report(docs(spark, ODD)).collect()
+    assert sorted(((r["doc_id"], r["redacted"]) for r in rows), key=str) == sorted(ODD, key=str) and all(r["spans"] == [] for r in rows)
+    assert pii.pii_report(docs(spark, [])).collect() == []
+
+
+def test_redact_keeps_columns(spark):
+    given = docs(spark, [(1, "to a@b.cd!"), (1, "to a@b.cd!"), (None, None), (2, "clean")])
+    out = pii.redact(given)
+    assert out.schema == given.schema and sorted((r["text"] or "") for r in out.collect()) == ["", "clean", "to [EMAIL]!", "to [EMAIL]!"]
+    with_size = pii.redact(spark.createDataFrame([(1, "to a@b.cd!", 10), (2, "x", None)], "doc_id long, text string, n_chars long"))
+    assert {r["doc_id"]: r["n_chars"] for r in with_size.collect()} == {1: 11, 2: None}
