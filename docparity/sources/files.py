@@ -22,7 +22,7 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf", first: int = 20) -> DataFrame:
-    """(path, name, format, size) of the first files by path; contents are not read."""
+    """(path, name, format, size) of the first files by path; contents are not read. Empty files are left out, as Spark reads none."""
     found = read_binary(spark, path, pattern).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), format_of(F.col("path")).alias("format"), F.col("length").alias("size"))
     return found.orderBy("path").limit(first)
 

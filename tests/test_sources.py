@@ -52,9 +52,9 @@ def test_parse_nulls_and_clashing_columns(spark):
 
 def test_files(spark, tmp_path):
     for i in range(25):
-        (tmp_path / f"f{i:02}.pdf").write_bytes(b"x" * i)
+        (tmp_path / f"f{i:02}.pdf").write_bytes(b"x" * (i + 1))
     listed = files.list_files(spark, f"file://{tmp_path}").collect()
-    assert len(listed) == 20 and listed[3]["size"] == 3 and listed[0]["format"] == "pdf"
+    assert len(listed) == 20 and listed[3]["size"] == 4 and listed[0]["format"] == "pdf"
     (tmp_path / "a.html").write_text("<title>q</title>\n<p>para graph")
     assert files.read_html(spark, f"file://{tmp_path}/a.html").select(html.title(F.col("html")).alias("t")).first()["t"] == "q"
     ok, why = files.ModelConfig.from_session(spark).validate()
