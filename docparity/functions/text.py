@@ -12,6 +12,11 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def chars_left(text: Column, pattern: str) -> Column:
+    """Characters left without what matches. Quicker than counting matches of one character each."""
+    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
+
+
 #: White space as Unicode has it, for use within brackets; the same in Java's and RE2's expressions.
 WHITE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 
@@ -86,16 +91,16 @@ ADDITIVE = ("n", "n_blank", "chars", "alnum", "spaces", "bad", "words", "word_ch
 def element_counts(text: Column) -> dict[str, Column]:
     """Counts of one element. Joined text is never built: joining n texts by a space adds n - 1 characters of white space."""
     t = F.coalesce(text, F.lit(""))
-    words = count_of(t, rf"[^{WHITE}]+")
+    n, word_chars = F.length(t).cast("long"), chars_left(t, rf"[{WHITE}]+")
     return {
         "n": F.lit(1).cast("long"),
-        "n_blank": F.when(strip(t) == "", 1).otherwise(0).cast("long"),
-        "chars": F.length(t).cast("long"),
-        "alnum": count_of(t, r"[\p{L}\p{N}]"),
-        "spaces": count_of(t, rf"[{WHITE}]"),
-        "bad": count_of(t, "[�\\x00￾￿]"),
-        "words": words,
-        "word_chars": count_of(t, rf"[^{WHITE}]"),
+        "n_blank": F.when(word_chars == 0, 1).otherwise(0).cast("long"),
+        "chars": n,
+        "alnum": chars_left(t, r"[^\p{L}\p{N}]+"),
+        "spaces": n - word_chars,
+        "bad": n - chars_left(t, "[�\\x00￾￿]+"),
+        "words": count_of(t, rf"[^{WHITE}]+"),
+        "word_chars": word_chars,
         "broken": count_of(t, rf"(?<![^{WHITE}])[^{WHITE}\p{{L}}\p{{N}}](?![^{WHITE}])"),
     }
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docparity import sinks
-from docparity.sources import files, html
+from docparity.sources import converters, files, html
 from docparity.streaming import ingest
 
 PAGE = """<html><head><title> T &amp; t </title><meta name="author" content="A, B"><meta name=keywords content="x, ,y"></head><body>
@@ -87,3 +87,13 @@ def test_windows_have_a_watermark(spark, tmp_path):
     spark.sql("select timestamp '2024-01-01 00:01:00' as ts, 's' as source, 'some good words' as text").write.parquet(f"{tmp_path}/in")
     s = ingest.windowed_scores(ingest.text_scores(ingest.read_documents(spark, f"{tmp_path}/in", "ts timestamp, source string, text string")), "ts")
     assert s.isStreaming and s.columns == ["w", "source", "n", "avg_score", "weak"]
+
+
+def test_converters(spark):
+    def convert(data: bytes) -> str:
+        return data.decode()
+
+    given = spark.createDataFrame([("a", b"# T\ntext\nmore"), ("b", b"\xff"), ("c", b"")], "path string, content binary")
+    got = {r["path"]: r for r in converters.merged_or_whole(converters.to_markdown(given, convert)).collect()}
+    assert [e["content"] for e in got["a"]["elements"]] == ["T", "text more"] and got["a"]["error"] is None
+    assert "Unicode" in got["b"]["error"] and [e["content"] for e in got["c"]["elements"]] == [""]
