@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,14 +20,14 @@ _CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only a local session (tests) may leave the setting out; it then gets a
-    folder of its own. A cluster without it is an error, since a folder of one
-    machine would not be seen by the others.
+    Only a session in one process (tests) may leave the setting out; it then
+    gets a folder of its own. A cluster without it is an error, since a folder
+    of one machine would not be seen by the others.
     """
     found = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_CONF} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="docparity-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
