@@ -8,7 +8,7 @@ every output character the source characters it stands for:
 2. ``digits``: runs of spelled digits ("five five five", "drei", "double two")
    become digits;
 3. ``mail``: disguised addresses ("name (at) host [dot] org", "name at host dot
-   org") get their ``@`` and dots.
+   org", "name-at-host-dot-org", "na.me at host.org") get their ``@`` and dots.
 
 Detectors run on the normal form, and what they find is mapped back to the
 span of source characters. Only detection sees the normal form: text outside
@@ -79,17 +79,21 @@ _OPEN, _SHUT = r"[(\[{<]\s*", r"\s*[)\]}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|@|arroba|arobase)", r"(?:dot|punto|point|punkt|\.)"
 _AT_B, _DOT_B = rf"\s*{_OPEN}{_AT_WORD}{_SHUT}\s*", rf"\s*{_OPEN}{_DOT_WORD}{_SHUT}\s*"
 _AT_BARE, _DOT_BARE = r"\s+(?:at|arroba|arobase)\s+", r"\s+(?:dot|punto|punkt)\s+"
+_MARKS = r"\s*[-_*~|/]+\s*"
+_AT_M, _DOT_M = rf"{_MARKS}{_AT_WORD}{_MARKS}", rf"{_MARKS}{_DOT_WORD}{_MARKS}"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 _LOCAL = rf"[\w+%-]+(?:(?:\.|{_DOT_B}|{_DOT_BARE})[\w+%-]+)*"
 # a bare "at" counts only if a dot is disguised as well: "look at example.com" is prose
 _DISGUISED = re.compile(
     rf"(?<![\w])(?:{_LOCAL})(?:"
     rf"(?:{_AT_B}|\s*@\s*){_LABEL}(?:(?:\.|{_DOT_B}|{_DOT_BARE}){_LABEL})+"
-    rf"|{_AT_BARE}{_LABEL}(?:\.{_LABEL})*(?:(?:{_DOT_B}|{_DOT_BARE}){_LABEL})+(?:\.{_LABEL})*)",
+    rf"|(?:{_AT_BARE}|{_AT_M}){_LABEL}(?:\.{_LABEL})*?(?:(?:{_DOT_M}|{_DOT_B}|{_DOT_BARE}){_LABEL})+(?:\.{_LABEL})*)",
     re.I,
 )
-_AT_DOT = re.compile(rf"(?P<at>{_AT_B}|\s*@\s*|{_AT_BARE})|(?P<dot>{_DOT_B}|{_DOT_BARE})", re.I)
-_DISGUISE_HINT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_SHUT}|\s(?:dot|punto|punkt)\s|\s@|@\s", re.I)
+_AT_DOT = re.compile(rf"(?P<at>{_AT_B}|{_AT_M}|\s*@\s*|{_AT_BARE})|(?P<dot>{_DOT_B}|{_DOT_M}|{_DOT_BARE})", re.I)
+# a bare "at" before plain dots counts after a local part that is no word: "jo.doe at example.com"
+_PLAIN_AT = re.compile(rf"(?<![\w.])[^\W_][\w+%-]*(?:[._][\w+%-]+)+(\s+at\s+){_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}(?!\w)", re.I)
+_DISGUISE_HINT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_SHUT}|\s(?:dot|punto|punkt)\s|\s@|@\s|[-_*~|/]\s*dot\s*[-_*~|/]|\sat\s+[\w.-]*\.[a-z]", re.I)
 
 # --- detectors, the first wins where two overlap ---------------------------------
 
@@ -102,6 +106,7 @@ _DETECT = (
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])")),
 )
+_RUN = re.compile(r"(?<!\d)\d{7,15}(?!\d)")
 _TRIGGER = re.compile(r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
 
 
@@ -109,7 +114,7 @@ _RE2 = (
     r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)",
     "[" + "".join(f"\\x{{{c:x}}}" for c in sorted({*_FOLD, *map(ord, _GONE)})) + "]",
     rf"(?i)(?:{'|'.join(_WORDS)})[\s,.()+-]+(?:(?:double|triple)\s+)?(?:[0-9]|{'|'.join(_WORDS)})",
-    r"(?i)[(\[{<]\s*(?:at|@|arroba|arobase|dot|punto|point|punkt|\.)\s*[)\]}>]|\s(?:dot|punto|punkt)\s|\s@|@\s",
+    r"(?i)[(\[{<]\s*(?:at|@|arroba|arobase|dot|punto|point|punkt|\.)\s*[)\]}>]|\s(?:dot|punto|punkt)\s|\s@|@\s|[-_*~|/]\s*dot\s*[-_*~|/]|\sat\s+[^\s]*\.[a-z]",
 )
 
 
@@ -187,7 +192,8 @@ def mail(a: Aligned) -> Aligned:
     edits = []
     for m in _DISGUISED.finditer(a.text):
         edits += [(x.start(), x.end(), "@" if x["at"] else ".", None) for x in _AT_DOT.finditer(a.text, m.start(), m.end()) if x[0] not in ("@", ".")]
-    return a.rewritten(edits)
+    a = a.rewritten(edits)
+    return a.rewritten([(m.start(1), m.end(1), "@", None) for m in _PLAIN_AT.finditer(a.text)])
 
 
 def hints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,6 +226,11 @@ def find(text: str, folds: bool = True, spelled: bool = True, disguised: bool =
             s, e = a.source(m.start(), m.end())
             if all(e <= x[1] or x[2] <= s for x in found):
                 found.append((kind, s, e, m[0]))
+    if spelled:  # digits that someone took the trouble to spell are no ordinary number
+        for m in _RUN.finditer(a.text):
+            s, e = a.source(m.start(), m.end())
+            if any(c.isalpha() for c in text[s:e]) and all(e <= x[1] or x[2] <= s for x in found):
+                found.append(("phone", s, e, m[0]))
     return sorted(found, key=lambda x: x[1])
 
 

@@ -18,6 +18,9 @@ def kinds(text):
         ("jo.doe (at) example [dot] com!", "email", "jo.doe (at) example [dot] com", "jo.doe@example.com"),
         ("mail jo at example dot com now", "email", "jo at example dot com", "jo@example.com"),
         ("jo @ example . com", None, None, None),
+        ("ask jo-at-example-dot-com or", "email", "jo-at-example-dot-com", "jo@example.com"), ("jo *at* mail *dot* example *dot* org", "email", "jo *at* mail *dot* example *dot* org", "jo@mail.example.org"),
+        ("une.92 at mail6.example.com is", "email", "une.92 at mail6.example.com", "une.92@mail6.example.com"), ("une.92 at mail6.example dot com is", "email", "une.92 at mail6.example dot com", "une.92@mail6.example.com"),
+        ("ring five five five, zero one two three!", "phone", "five five five, zero one two three", "5550123"), ("one eight zero zero five five five one two three four", "phone", "one eight zero zero five five five one two three four", "18005551234"),
         ("ｊｏ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏ＠ｅｘａｍｐｌｅ．ｃｏｍ", "jo@example.com"),
         ("jо@exаmple.com", "email", "jо@exаmple.com", "jo@example.com"),
         ("call five five five one two three four five six seven.", "phone", "five five five one two three four five six seven", "5551234567"),
@@ -33,7 +36,7 @@ def test_found(text, kind, source, normal):
     assert kinds(text) == ([] if kind is None else [(kind, source, normal)])
 
 
-@pytest.mark.parametrize("text", ["look at example.com for it", "one or two of three", "version 1.2.3.4.5", "in 2024 and 1999", "he was at the dot", "page 12 of 345", "", "plain prose only", "Die neun Leute und acht andere"])
+@pytest.mark.parametrize("text", ["look at example.com for it", "one or two of three", "version 1.2.3.4.5", "in 2024 and 1999", "he was at the dot", "look-at-me.Then go", "1234567 units", "end. Look at this.", "see it at home. The dot", "a/at/b and c", "page 12 of 345", "", "plain prose only", "Die neun Leute und acht andere"])
 def test_left_alone(text):
     assert pii.find(text) == [] and pii.redacted(text, []) == text
 
