@@ -176,17 +176,20 @@ class Model:
 
     # --- the forward pass ---
 
-    def _bpe_step(self, word: str, i: int, last: list[str]) -> str:
-        """Last piece of the encoding of ``word[:i]``, given those of all shorter prefixes."""
-        apart = self._apart
-        for n in self._ending.get(word[max(0, i - 2) : i], ()):
-            start = i - n
-            if start >= 0 and (piece := word[start:i]) in self.ids:
-                left = last[start]
-                ok = apart.get((left, piece))
-                if ok or ok is None and self._stay_apart(left, piece):
-                    return piece
-        return word[i - 1]
+    def _bpe_extend(self, word: str, last: list[str]) -> None:
+        """Append the last piece of the encoding of each prefix of ``word`` that is longer than those in ``last``."""
+        apart, ids, ending = self._apart.get, self.ids, self._ending.get
+        for i in range(len(last), len(word) + 1):
+            for n in ending(word[i - 2 : i] if i > 1 else word[:i], ()):
+                start = i - n
+                if start >= 0 and (piece := word[start:i]) in ids:
+                    left = last[start]
+                    ok = apart((left, piece))
+                    if ok or ok is None and self._stay_apart(left, piece):
+                        last.append(piece)
+                        break
+            else:
+                last.append(word[i - 1])
 
     def _unigram_step(self, word: str, i: int, state: list[tuple[float, int]]) -> tuple[float, int]:
         """Best score of a segmentation of ``word[:i]`` and the start of its last piece; of equal scores the longest piece."""
@@ -203,7 +206,6 @@ class Model:
         """Pieces of each word. Sorting lists the trie of the words depth-first; states of common prefixes are kept."""
         out: dict[str, list[str]] = {}
         before, state = "", [("" if self.kind == BPE else (0.0, 0))]
-        step = self._bpe_step if self.kind == BPE else self._unigram_step
         for word in sorted(words):
             if self.kind == BPE and word[:2] == MARK * 2:  # runs of marks share one score: their merges depend on the order
                 out[word] = self.merged(word)
@@ -214,8 +216,11 @@ class Model:
                     break
                 same += 1
             del state[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                state.append(step(word, i, state))
+            if self.kind == BPE:
+                self._bpe_extend(word, state)
+            else:
+                for i in range(same + 1, len(word) + 1):
+                    state.append(self._unigram_step(word, i, state))
             before = word
             pieces, i = [], len(word)
             while i:
@@ -259,6 +264,35 @@ class Model:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+class Decoder:
+    """Texts of whole columns of ids: the pieces' bytes are taken one after the other into one buffer."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        raw = model._raw
+        # a second set for the first piece of a text, without the space the model puts there
+        first = [r[1:] if model.dummy_prefix and r[:1] == b" " else r for r in raw]
+        self.raw = pa.array(raw + first, pa.large_binary())
+        self.empty = np.array([not r for r in raw])
+
+    def decode(self, column: pa.ListArray) -> pa.Array:
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        ids = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+        offsets = offsets - offsets[0]
+        starts = offsets[:-1][np.diff(offsets) > 0]
+        if not column.null_count and not self.empty[ids[starts]].any():
+            ids[starts] += len(self.empty)
+            out = self.raw.take(pa.array(ids))
+            ends = np.frombuffer(out.buffers()[1], np.int64)[out.offset : out.offset + len(out) + 1][offsets]
+            text = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(ends), out.buffers()[2] or pa.py_buffer(b"")])
+            try:
+                text.validate(full=True)
+                return text.cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                pass
+        return pa.array([None if x is None else self.model.decode(x) for x in column.to_pylist()], pa.string())
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Model:
     with open(path, "rb") as f:
@@ -324,14 +358,11 @@ def _encode_rows(path: str):
 
 def _decode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        decoder = Decoder(load(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                ids = part.column("ids").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ids"), pa.array([None if x is None else model.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), decoder.decode(part.column("ids"))], ["doc_id", "ids", "decoded"])
 
     return run
 
