@@ -35,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words a worker remembers; bounds memory, not results.
 REMEMBERED = 500_000
+#: Pairs of pieces of which a worker remembers whether they stay apart; the same.
+APART = 800_000
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
 
@@ -107,6 +109,7 @@ class Model:
         self.ties = {s for s in (self.scores[i] for p, i in self.ids.items() if len(p) > 1) if s in seen or seen.setdefault(s, "x") is None}
         self._rank = {p: self.scores[i] for p, i in self.ids.items()}
         self._apart: dict[tuple[str, str], bool] = {}
+        self._own = {p: p for p in self.ids}  # one string object for each piece, however often it is kept
         # lengths, longest first, of the pieces that end in given two letters (or are one letter)
         ending: dict[str, set[int]] = {}
         for p in self.ids:
@@ -169,9 +172,10 @@ class Model:
         key = (a, b)
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > 1_000_000:
+            if len(self._apart) > APART:
                 self._apart.clear()
-            found = self._apart[key] = self.merged(a + b) == ([a, b] if a else [b])
+            own = self._own.get
+            found = self._apart[own(a, a), own(b, b)] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     # --- the forward pass ---
