@@ -83,7 +83,7 @@ def author_list(raw: Column) -> Column:
     return split_list(F.replace(raw, F.lit(";"), F.lit(",")))
 
 
-# --- metrics that add up over the elements of a page or document ---------------
+# --- metrics that add up over the elements of a page or document ---
 
 ADDITIVE = ("n", "n_blank", "chars", "alnum", "spaces", "bad", "words", "word_chars", "broken")
 

@@ -86,7 +86,7 @@ def merge_pages(base: DataFrame, replacement: DataFrame) -> DataFrame:
     return kept.unionByName(replacement.withColumn("part", F.lit(1))).withColumn("seq", F.row_number().over(w)).drop("part")
 
 
-# --- pipeline benchmarks ----------------------------------------------------------
+# --- pipeline benchmarks ---
 
 
 def pipeline_metrics(elements: DataFrame, runs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def by_group(results: DataFrame, *keys: str) -> DataFrame:
     return results.rollup(*keys, "match_quality").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), F.grouping_id().alias("grain"))
 
 
-# --- one row to text -----------------------------------------------------------------
+# --- one row to text ---
 
 
 def as_dict(row, name: str, at: datetime, warnings: list[str] | None = None) -> dict:

@@ -50,9 +50,9 @@ def _lacks(*words: str) -> Callable[[], Column]:
     return fails
 
 
-SECTIONS = ("introduction", "method", "result", "conclusion", "abstract")
-CODE = ("```", "function", "class", "import", "def ", "const ", "var ")
-REPORT_PARTS = ("summary", "executive", "recommendation", "analysis", "finding")
+SECTIONS = tuple("abstract conclusion introduction method result".split())
+CODE = (*("class function import ```".split()), *(f"{word} " for word in ("const", "def", "var")))
+REPORT_PARTS = tuple("analysis executive finding recommendation summary".split())
 
 CATEGORIES: dict[str, tuple[int, tuple[Check, ...]]] = {
     "academic_paper": (7, (

@@ -17,7 +17,7 @@ from docparity.plans.registry import query, r6, r6_sql
 from docparity.schemas import QUALITIES
 from docparity.streaming import ingest
 
-# --- string similarity, by dynamic programming in SQL -------------------------------------
+# --- string similarity, by dynamic programming in SQL ---
 
 
 def _lcs_sql(pairs: str) -> str:
@@ -49,7 +49,7 @@ def token_sort(spark, sf_dir):
     return I.table(spark, sf_dir, "part").select("p_partkey", S.token_sorted(a).alias("tokens"), S.token_sort_ratio(a, b).alias("ratio"))
 
 
-# --- two extractions ---------------------------------------------------------------------
+# --- two extractions ---
 
 _TITLES = "ti AS (SELECT doc_id, lang, source, source || ' ' || lang AS ta, CASE doc_id % 3 WHEN 0 THEN source || ' ' || lang WHEN 1 THEN source END AS tb FROM documents), pairs AS (SELECT DISTINCT ta AS a, tb AS b FROM ti WHERE tb IS NOT NULL)"
 _ME = f"""{_lcs_sql(_TITLES)},
@@ -160,7 +160,7 @@ def sets(spark, sf_dir):
     return s.select("conv_id", *[F.concat_ws(",", f"s.{k}").alias(k) for k in ("a_only", "b_only", "both", "either", "one_of")])
 
 
-# --- validators ------------------------------------------------------------------------
+# --- validators ---
 
 _VC = "CASE doc_id % 5 WHEN 0 THEN 'academic_paper' WHEN 1 THEN 'blog_post' WHEN 2 THEN 'technical_documentation' WHEN 3 THEN 'news_article' ELSE 'report' END"
 _VD = f"""vd AS (
@@ -172,11 +172,11 @@ def _vsql(strict: bool) -> str:
     blank, has = "trim(coalesce({0}, '')) = ''", lambda *w: "NOT (" + " OR ".join(f"contains(t, '{x}')" for x in w) + ")"
     rules = {
         "academic_paper": (7, [("metadata.title", "e", blank.format("title")), ("metadata.title", "w", "trim(title) <> '' AND len(title) < 10"), ("metadata.authors", "w", "n_authors = 0"), ("metadata.abstract", "w", blank.format("abstract")),
-                               ("metadata.abstract", "w", "trim(abstract) <> '' AND len(abstract) < 50"), ("content", "e", "n_content = 0"), ("content.structure", "w", has("introduction", "method", "result", "conclusion", "abstract")), ("figures", "i", "n_figures = 0"), ("tables", "i", "n_tables = 0")]),
+                               ("metadata.abstract", "w", "trim(abstract) <> '' AND len(abstract) < 50"), ("content", "e", "n_content = 0"), ("content.structure", "w", has(*"abstract conclusion introduction method result".split())), ("figures", "i", "n_figures = 0"), ("tables", "i", "n_tables = 0")]),
         "blog_post": (5, [("metadata.title", "e", blank.format("title")), ("metadata.authors", "w", "n_authors = 0"), ("metadata.publish_date", "w", "NOT dated"), ("content", "e", "n_content = 0"), ("content", "w", "n_content IN (1, 2)"), ("metadata.keywords", "i", "n_keywords = 0")]),
-        "technical_documentation": (4, [("metadata.title", "w", blank.format("title")), ("content", "e", "n_content = 0"), ("content.code", "w", has("```", "function", "class", "import", "def ", "const ", "var ")), ("links", "i", "n_links = 0")]),
+        "technical_documentation": (4, [("metadata.title", "w", blank.format("title")), ("content", "e", "n_content = 0"), ("content.code", "w", has("class", "const ", "def ", "```", "function", "var ", "import")), ("links", "i", "n_links = 0")]),
         "news_article": (4, [("metadata.title", "e", blank.format("title")), ("metadata.authors", "w", "n_authors = 0"), ("metadata.publish_date", "w", "NOT dated"), ("content", "e", "n_content = 0")]),
-        "report": (4, [("metadata.title", "e", blank.format("title")), ("content", "e", "n_content = 0"), ("data", "w", "n_tables = 0 AND n_figures = 0"), ("content.structure", "i", has("summary", "executive", "recommendation", "analysis", "finding"))]),
+        "report": (4, [("metadata.title", "e", blank.format("title")), ("content", "e", "n_content = 0"), ("data", "w", "n_tables = 0 AND n_figures = 0"), ("content.structure", "i", has(*"analysis executive finding recommendation summary".split()))]),
     }
     each = [f"SELECT doc_id, category, {n} AS total, list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{'e' if strict and s == 'w' else s}:{f}' END" for f, s, c in checks) + f"], lambda i: i IS NOT NULL) AS issues FROM vd WHERE category = '{k}'" for k, (n, checks) in rules.items()]
     return f"""WITH {_VD}, v AS ({' UNION ALL '.join(each)}), k AS (SELECT *, len(list_filter(issues, lambda i: i[1] = 'e')) AS e, len(list_filter(issues, lambda i: i[1] = 'w')) AS w FROM v)
@@ -206,7 +206,7 @@ def validated_strict(spark, sf_dir):
     return _validated(spark, sf_dir, True)
 
 
-# --- reports ------------------------------------------------------------------------------
+# --- reports ---
 
 
 @query("r1_summary", f"""WITH {_RS} SELECT count(*) AS total_comparisons, bool_and(match_quality NOT IN ('poor', 'failed')) AND bool_and(doc_id % 10 <> 0) AS passed, round(avg(score), 6) AS avg_score, min(score) AS min_score, max(score) AS max_score,
@@ -236,7 +236,7 @@ def k_reports(spark, sf_dir):
     return report.pipeline_report(m, A.winners(m), "markdown")
 
 
-# --- images -------------------------------------------------------------------------------
+# --- images ---
 
 _PX = "px AS (SELECT n_nationkey AS img_id, y, x, (y * 13 + x * 7 + n_nationkey) % 256 AS r, (y * x) % 256 AS g, (x * 11) % 256 AS b FROM nation, range(0, 20) a(y), range(0, 24) c(x)), py AS (SELECT img_id, y, x, CASE WHEN (x + y * 3 + img_id) % 17 = 0 AND img_id > 0 THEN 255 - r ELSE r END AS r, g, b FROM px)"
 
@@ -278,7 +278,7 @@ def diff_images(spark, sf_dir):
     return images.compare_images(_raw(a), _raw(b)).select("img_id", F.hex("diff_image").alias("rgb"))
 
 
-# --- streaming -----------------------------------------------------------------------------
+# --- streaming ---
 
 
 @query("stream_text_scores")

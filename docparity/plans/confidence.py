@@ -167,7 +167,7 @@ def levels_by_label(spark, sf_dir):
     return q.join(I.table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("quality", "toxic", T.confidence_level(F.col("score")).alias("level")).agg(F.count("*").alias("docs"))
 
 
-# --- escalation -----------------------------------------------------------------------
+# --- escalation ---
 
 _MIN = """mn AS (SELECT * FROM (VALUES ('academic_paper', 0.75e0, 0.8e0, 0.75e0, 0.75e0), ('plot_visualization', 0.8e0, 0.7e0, 0.8e0, 0.9e0), ('technical_documentation', 0.75e0, 0.8e0, 0.7e0, 0.7e0),
   ('blog_post', 0.65e0, 0.7e0, 0.6e0, 0.6e0), ('news_article', 0.65e0, 0.7e0, 0.6e0, 0.6e0)) t(category, mo, mc, mt, mf))"""

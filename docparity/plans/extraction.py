@@ -13,7 +13,7 @@ from docparity.sources import files, html, markdown, model_json, spans
 
 _W = T.WHITE
 
-# --- markdown ---------------------------------------------------------------------------
+# --- markdown ---
 
 _COLS = "doc_id, id, seq, type, content, level"
 
@@ -56,7 +56,7 @@ def fallback(spark, sf_dir):
     return d.select("doc_id", F.size(F.filter(F.coalesce(made, whole), lambda e: e["type"] == "paragraph")).cast("long").alias("paragraphs"))
 
 
-# --- HTML ---------------------------------------------------------------------------------
+# --- HTML ---
 
 _CODE = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<!--.*?-->', '', 'g')"
 _ENT = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
@@ -147,7 +147,7 @@ def s_documents(spark, sf_dir):
     return d.select("page_id", "id", "title", F.col("inferred").alias("category"), *[F.size(k).cast("long").alias(n) for k, n in (("content", "elements"), ("figures", "figures"), ("tables", "tables"))])
 
 
-# --- spans --------------------------------------------------------------------------------
+# --- spans ---
 
 
 @query("p1_metadata", "SELECT o_orderkey, ['A' || o_custkey, 'B'] AS authors, date_trunc('second', o_orderdate) AS date, ['k1', o_orderstatus] AS keywords FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, [], NULL, [] FROM orders WHERE o_orderkey % 2 <> 0")
@@ -264,7 +264,7 @@ def s_cached(spark, sf_dir):
     return spans.cached_or(found, cache).select("path", "page", "cached", F.get("elements", F.lit(0)).alias("origin"))
 
 
-# --- model answers --------------------------------------------------------------------------
+# --- model answers ---
 
 _KINDS = "CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'Here it is: ' || props || ' as asked.' ELSE 'no answer' END"
 
@@ -306,7 +306,7 @@ def j_categories(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", T.category_by_name(name, schemas.CATEGORIES).alias("category"))
 
 
-# --- files ----------------------------------------------------------------------------------
+# --- files ---
 
 
 @query("s7_formats", "SELECT p_partkey, ['pdf', 'html', 'html', 'docx', 'pptx', 'markdown', 'other', 'other'][p_partkey % 8 + 1] AS format FROM part")

@@ -17,7 +17,7 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
 
 
-# --- documents as markdown --------------------------------------------------------
+# --- documents as markdown ---
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 FG = "fg AS (SELECT doc_id, (1 + doc_id % 2)::INTEGER AS page, CASE WHEN doc_id % 8 <> 1 THEN lang END AS caption, source AS label, (doc_id % 3)::DOUBLE AS width, 10e0 AS height FROM documents WHERE doc_id % 4 = 1)"
 
 
-# --- order lines as text spans -------------------------------------------------------
+# --- order lines as text spans ---
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ ce AS (SELECT doc_id, (1 + row % 2)::INTEGER AS page, 1 AS "table", row, [part::
 tb AS (SELECT doc_id, 'tab_p' || page || '_t1' AS id, page, "table", list(cells ORDER BY row) AS rows FROM ce GROUP BY doc_id, page, "table")"""
 
 
-# --- two extractions of one document ----------------------------------------------------
+# --- two extractions of one document ---
 
 
 def two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +145,7 @@ def two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
-# --- runs of several extractors -----------------------------------------------------------
+# --- runs of several extractors ---
 
 CATEGORY = "CASE doc_id % 6 WHEN 0 THEN 'academic_paper' WHEN 1 THEN 'blog_post' WHEN 2 THEN 'technical_documentation' WHEN 3 THEN 'news_article' WHEN 4 THEN 'report' ELSE 'other' END"
 AT = """ex AS (
@@ -169,7 +169,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- pages with metadata, figures and tables -----------------------------------------------
+# --- pages with metadata, figures and tables ---
 
 _HEAD = ("<meta name=\"author\" content=\"A. Writer, B. ", "\"><meta name=\"keywords\" content=\"one, ,k", " \"><meta name=\"description\" content=\"first second  third fourth fifth sixth\">")
 _MORE = (

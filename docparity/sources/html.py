@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docparity.functions.text import clean_text, strip, url_to_id
 
-# --- expressions -----------------------------------------------------------------
+# --- expressions ---
 
 _META = r"""(?is)<meta\b(?=[^>]*\b{key}\s*=\s*["']{value}["'])[^>]*\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
@@ -96,7 +96,7 @@ def document_id(url: Column, path: Column | None = None) -> Column:
     return F.coalesce(url_to_id(url), stem, F.lit("html_doc"))
 
 
-# --- tree ------------------------------------------------------------------------
+# --- tree ---
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = frozenset(

@@ -88,7 +88,7 @@ def to_document(doc_id: Column, answer: Column, category: Column | None = None,
     )
 
 
-# --- prompts ------------------------------------------------------------------------
+# --- prompts ---
 
 _BASE = (
     "Read the page image and answer with one JSON object that has the fields title, authors, abstract, keywords, "

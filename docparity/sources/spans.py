@@ -92,7 +92,7 @@ def table_regions(cells: DataFrame) -> DataFrame:
     return cells.groupBy("doc_id", "page", "table").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-# --- the service's variant -------------------------------------------------------------
+# --- the service's variant ---
 
 
 def service_elements(spans: DataFrame, dpi: float = 150.0) -> DataFrame:
