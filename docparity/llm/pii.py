@@ -36,7 +36,7 @@ SPANS = T.ArrayType(
 )
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("normal", pa.string())]))
 
-# --- transducer 1: characters -------------------------------------------------
+# --- transducer 1: characters ---
 
 _LOOKS = {
     "АВЕКМНОРСТУХІЈЅԚԜ": "ABEKMHOPCTYXIJSQW",
@@ -57,7 +57,7 @@ _FOLD |= {c: n for c in range(0x1D400, 0x1D800) if len(n := unicodedata.normaliz
 _INVISIBLE = re.compile(f"[{_GONE}]")
 _FOLDED = re.compile("[" + re.escape("".join(map(chr, sorted({*_FOLD, *map(ord, _GONE)})))) + "]")
 
-# --- transducer 2: spelled digits ---------------------------------------------
+# --- transducer 2: spelled digits ---
 
 _WORDS = {
     "zero": 0, "oh": 0, "nought": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "niner": 9,
@@ -73,7 +73,7 @@ _SPELLED = re.compile(rf"(?<!\w)(?={_ITEM}[\s,.()+-]+{_ITEM})(?:{_ITEM}(?:[\s,()
 _SPELLED_HINT = re.compile(rf"(?<!\w){_DIGIT_WORD}\b[\s,.()+-]+{_ITEM}", re.I)
 _EACH = re.compile(rf"(?:(double|triple)\s+)?({'|'.join(sorted(_WORDS, key=len, reverse=True))}|[0-9])(?![a-zà-ÿ])", re.I)
 
-# --- transducer 3: at and dot ---------------------------------------------------
+# --- transducer 3: at and dot ---
 
 _OPEN, _SHUT = r"[(\[{<]\s*", r"\s*[)\]}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|@|arroba|arobase)", r"(?:dot|punto|point|punkt|\.)"
@@ -95,7 +95,7 @@ _AT_DOT = re.compile(rf"(?P<at>{_AT_B}|{_AT_M}|\s*@\s*|{_AT_BARE})|(?P<dot>{_DOT
 _PLAIN_AT = re.compile(rf"(?<![\w.])[^\W_][\w+%-]*(?:[._][\w+%-]+)+(\s+at\s+){_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}(?!\w)", re.I)
 _DISGUISE_HINT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_SHUT}|\s(?:dot|punto|punkt)\s|\s@|@\s|[-_*~|/]\s*dot\s*[-_*~|/]|\sat\s+[\w.-]*\.[a-z]", re.I)
 
-# --- detectors, the first wins where two overlap ---------------------------------
+# --- detectors, the first wins where two overlap ---
 
 _DETECT = (
     ("secret", re.compile(r"""(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b["']?\s*[:=]\s*["']?[^\s"']{8,}["']?|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_\w{36,}|\bsk-[\w-]{20,}|\b[0-9a-f]{32,64}\b""")),

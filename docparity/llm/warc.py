@@ -210,7 +210,7 @@ def read_warc_zst(paths: DataFrame) -> DataFrame:
     return files.repartition(max(1, min(n, 10_000)), F.monotonically_increasing_id()).mapInArrow(_read_rows, SCHEMA)
 
 
-# --- writer -------------------------------------------------------------------
+# --- writer ---
 
 
 def record_of(page_id: int | None, url: str | None, html: str | None) -> bytes:
