@@ -19,6 +19,8 @@ STOP_WORDS = tuple(
 )
 _SYMBOL = r"[#%&$*|<>{}~^\\_]"
 _STOP = r"(?:^|\s)(?:" + "|".join(STOP_WORDS) + r")(?:$|[\s.,;:!?])"
+#: The same words behind their first letters, so most places fail at one character.
+_STOP_BY_LETTER = r"(?:^|\s)(?:" + "|".join(f"{a}(?:{'|'.join(w[1:] for w in STOP_WORDS if w[0] == a)})" for a in sorted({w[0] for w in STOP_WORDS})) + r")(?:$|[\s.,;:!?])"
 
 
 @dataclass(frozen=True)
@@ -46,24 +48,39 @@ RULES = (
 METRICS = ("n_words", "symbol_ratio", "upper_ratio", "mean_word_chars", "distinct_word_ratio", "stop_word_ratio", "distinct_line_ratio")
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it; filters are pushed below projections, so a column would not do."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """The expressions behind the metric names. ``text`` must not be null."""
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = _count(text, r"\S+")
+def _left(text: Column, pattern: str) -> Column:
+    """Characters left when all runs of others are gone: one match for a run, so far fewer than characters."""
+    return F.length(F.regexp_replace(text, pattern, "")).cast("double")
+
+
+def metrics(text: Column) -> Column:
+    """Struct of the metrics. ``text`` must not be null."""
+    return _let(F.struct(text.alias("t"), F.lower(text).alias("l")), lambda x: _let(F.split(x["l"], r"\s+"), lambda w: _let(_words(w), lambda n: _struct(x["t"], x["l"], w, n))))
+
+
+def _words(parts: Column) -> Column:
+    """Number of words; white space at an end leaves an empty part there."""
+    ends = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - ends).cast("double")
+
+
+def _struct(text: Column, lower: Column, parts: Column, words: Column) -> Column:
+    chars, per_word = F.greatest(F.length(text), F.lit(1)).cast("double"), F.greatest(words, F.lit(1.0))
     lines = F.split(text, "\n")
-    return {
-        "n_words": words,
-        "symbol_ratio": _count(text, _SYMBOL) / chars,
-        "upper_ratio": _count(text, r"\p{Lu}") / chars,
-        "mean_word_chars": _count(text, r"\S") / F.greatest(words, F.lit(1.0)),
-        "distinct_word_ratio": F.size(F.array_distinct(F.split(F.lower(text), r"\s+"))).cast("double") / F.greatest(words, F.lit(1.0)),
-        "stop_word_ratio": _count(F.lower(text), _STOP) / F.greatest(words, F.lit(1.0)),
-        "distinct_line_ratio": F.size(F.array_distinct(lines)).cast("double") / F.size(lines).cast("double"),
-    }
+    return F.struct(
+        words.alias("n_words"),
+        (_left(text, _SYMBOL.replace("[", "[^") + "+") / chars).alias("symbol_ratio"),
+        (_left(text, r"\P{Lu}+") / chars).alias("upper_ratio"),
+        (_left(text, r"\s+") / per_word).alias("mean_word_chars"),
+        (F.size(F.array_distinct(parts)).cast("double") / per_word).alias("distinct_word_ratio"),
+        (F.regexp_count(lower, F.lit(_STOP_BY_LETTER)).cast("double") / per_word).alias("stop_word_ratio"),
+        (F.size(F.array_distinct(lines)).cast("double") / F.size(lines).cast("double")).alias("distinct_line_ratio"),
+    )
 
 
 def _broken(rule: Rule, metric, words, lit, both, either):
@@ -76,16 +93,16 @@ def _broken(rule: Rule, metric, words, lit, both, either):
     return bad
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``__dp_m`` (struct of metrics) and ``__dp_broken`` (names of broken rules, in table order).
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Struct of ``m`` (the metrics) and ``broken`` (names of broken rules, in table order).
 
     A null text is judged as an empty one: it breaks rule ``empty``.
     """
-    m = F.struct(*[c.alias(k) for k, c in metrics(F.coalesce(F.col(text), F.lit(""))).items()])
-    out = docs.withColumn("__dp_m", m)
-    words = F.col("__dp_m.n_words")
-    broken = [F.when(_broken(r, F.col(f"__dp_m.{r.metric}"), words, F.lit, lambda a, b: a & b, lambda a, b: a | b), F.lit(r.name)) for r in rules]
-    return out.withColumn("__dp_broken", F.array_compact(F.array(*broken)))
+    def judge(m: Column) -> Column:
+        broken = [F.when(_broken(r, m[r.metric], m["n_words"], F.lit, lambda a, b: a & b, lambda a, b: a | b), F.lit(r.name)) for r in rules]
+        return F.struct(m.alias("m"), F.array_compact(F.array(*broken)).alias("broken"))
+
+    return _let(metrics(F.coalesce(text, F.lit(""))), judge)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -95,18 +112,18 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     repeated rows are judged one by one; other columns of ``docs``, whatever
     their names, are not read. An empty table gives an empty result.
     """
-    out = judged(docs.select("doc_id", F.col(text).alias("text")), rules)
+    out = docs.select("doc_id", verdict(F.col(text), rules).alias("v"))
     return out.select(
         "doc_id",
-        *[F.round(F.col(f"__dp_m.{k}"), 6).alias(k) for k in METRICS],
-        F.concat_ws(",", "__dp_broken").alias("broken"),
-        (F.size("__dp_broken") == 0).alias("keep"),
+        *[F.round(F.col(f"v.m.{k}"), 6).alias(k) for k in METRICS],
+        F.concat_ws(",", "v.broken").alias("broken"),
+        (F.size("v.broken") == 0).alias("keep"),
     )
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that break no rule, with the columns of ``docs``; null and empty texts go."""
-    return judged(docs, rules, text).where(F.size("__dp_broken") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(F.size(verdict(F.col(text), rules)["broken"]) == 0)
 
 
 class _Sql(str):
@@ -122,8 +139,14 @@ class _Sql(str):
         return _Sql(f"{self} >= {other}")
 
 
+def _white(pattern: str) -> str:
+    """The pattern with white space spelled out."""
+    return pattern.replace(r"[\s", r"[\x09-\x0D ").replace(r"\s", r"[\x09-\x0D ]").replace(r"\S", r"[^\x09-\x0D ]")
+
+
 def _sql_metrics(table: str) -> str:
-    n = lambda p, of="t": f"len(regexp_extract_all({of}, '{p}'))::DOUBLE"
+    # \\s leaves out the vertical tab in RE2, but not in Spark
+    n = lambda p, of="t": f"len(regexp_extract_all({of}, '{_white(p)}'))::DOUBLE"
     words = n(r"\S+")
     per_word = f"greatest({words}, 1.0)"
     return f"""
@@ -131,7 +154,7 @@ def _sql_metrics(table: str) -> str:
         {n(_SYMBOL)} / greatest(length(t), 1) AS symbol_ratio,
         {n(r'\p{Lu}')} / greatest(length(t), 1) AS upper_ratio,
         {n(r'\S')} / {per_word} AS mean_word_chars,
-        len(list_distinct(regexp_split_to_array(lower(t), '\\s+')))::DOUBLE / {per_word} AS distinct_word_ratio,
+        len(list_distinct(regexp_split_to_array(lower(t), '[\\x09-\\x0D ]+')))::DOUBLE / {per_word} AS distinct_word_ratio,
         {n(_STOP, 'lower(t)')} / {per_word} AS stop_word_ratio,
         len(list_distinct(string_split(t, chr(10))))::DOUBLE / len(string_split(t, chr(10))) AS distinct_line_ratio
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM {table})"""
