@@ -69,7 +69,8 @@ def test_odd_rows(spark):
     at = docs(spark, ODD)
     for _, f in corpus_pipeline.STAGES:
         at = f(spark, at, SF)
-    assert {r["doc_id"] for r in at.collect()} >= {4, 5, None}
+    # nulls, empty texts and the sentence repeated 20,000 times break a rule; of the two rows of document 5 both stay
+    assert Counter(r["doc_id"] for r in at.collect()) == Counter([5, 5, None, 6, 7])
 
 
 def test_empty(spark):
