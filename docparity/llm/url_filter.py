@@ -85,19 +85,20 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     name. A null or malformed URL and a null fetch time match nothing and are not blocked. A
     null ``page_id`` stays null; repeated rows are judged one by one. Empty tables give empty results.
     """
-    valid = intervals(entries).select(F.col("list").alias("e_list"), F.col("kind").alias("e_kind"), F.col("key").alias("e_key"), "valid_from", "valid_to")
-    if valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS:
-        valid = F.broadcast(valid)
+    # one number says which of two entries decides, so grouping needs neither a sort nor the entries' strings
+    order = "row_number() over (order by length(key) desc, kind, list, key, valid_from) as e_rank"
+    valid = intervals(entries).selectExpr("list as e_list", "kind as e_kind", "key as e_key", "valid_from", "valid_to", order)
+    small = valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
+    side = F.broadcast if small else (lambda df: df)
     given = captures.select("page_id", "url", "fetch_time").withColumn("__dp_row", F.monotonically_increasing_id())
     asked = given.select("*", F.explode_outer(keys(F.coalesce("url", F.lit("")))).alias("key"))
     on = (F.col("key") == F.col("e_key")) & (F.col("valid_from") <= F.col("fetch_time")) & (F.col("valid_to").isNull() | (F.col("fetch_time") < F.col("valid_to")))
-    matched = asked.join(valid, on, "left")
-    # the least struct is the one that decides: longest key, then allow before block, then list and key
-    deciding = F.min(F.when(F.col("e_key").isNotNull(), F.struct((-F.length("e_key")).alias("n"), "e_kind", "e_list", "e_key"))).alias("d")
-    judged = matched.groupBy("__dp_row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.first("fetch_time").alias("fetch_time"), deciding)
-    return judged.select(
-        "page_id", "url", "fetch_time", F.coalesce(F.col("d.e_kind") == "block", F.lit(False)).alias("blocked"),
-        F.col("d.e_kind").alias("kind"), F.col("d.e_list").alias("list"), F.col("d.e_key").alias("key"),
+    matched = asked.join(side(valid.select("e_key", "valid_from", "valid_to", "e_rank")), on, "left")
+    judged = matched.groupBy("__dp_row", "page_id", "url", "fetch_time").agg(F.min("e_rank").alias("rank"))
+    decided = judged.join(side(valid.select(F.col("e_rank").alias("rank"), "e_kind", "e_list", "e_key")), "rank", "left")
+    return decided.select(
+        "page_id", "url", "fetch_time", F.coalesce(F.col("e_kind") == "block", F.lit(False)).alias("blocked"),
+        F.col("e_kind").alias("kind"), F.col("e_list").alias("list"), F.col("e_key").alias("key"),
     )
 
 
