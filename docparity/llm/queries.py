@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docparity.llm import knn, minhash, ngram_lm, packing, pieces, pii, quality, token_counts, url_filter, warc
+from docparity.llm import knn, minhash, packing, pieces, pii, quality, token_counts, url_filter, warc, word_lm
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return ngram_lm.score(docs, ngram_lm.train(docs))
+    return word_lm.score(docs, word_lm.train(docs))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
