@@ -78,8 +78,10 @@ _EACH = re.compile(rf"(?:(double|triple)\s+)?({'|'.join(sorted(_WORDS, key=len,
 _OPEN, _SHUT = r"[(\[{<]\s*", r"\s*[)\]}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|@|arroba|arobase)", r"(?:dot|punto|point|punkt|\.)"
 _AT_B, _DOT_B = rf"\s*{_OPEN}{_AT_WORD}{_SHUT}\s*", rf"\s*{_OPEN}{_DOT_WORD}{_SHUT}\s*"
-_AT_BARE, _DOT_BARE = r"\s+(?:at|arroba|arobase)\s+", r"\s+(?:dot|punto|punkt)\s+"
-_MARKS = r"\s*[-_*~|/]+\s*"
+_DOT_ALONE = "(?:dot|punto|punkt)"
+_AT_BARE, _DOT_BARE = r"\s+(?:at|arroba|arobase)\s+", rf"\s+{_DOT_ALONE}\s+"
+_MARK = "[-_*~|/]"
+_MARKS = rf"\s*{_MARK}+\s*"
 _AT_M, _DOT_M = rf"{_MARKS}{_AT_WORD}{_MARKS}", rf"{_MARKS}{_DOT_WORD}{_MARKS}"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 _LOCAL = rf"[\w+%-]+(?:(?:\.|{_DOT_B}|{_DOT_BARE})[\w+%-]+)*"
@@ -93,7 +95,9 @@ _DISGUISED = re.compile(
 _AT_DOT = re.compile(rf"(?P<at>{_AT_B}|{_AT_M}|\s*@\s*|{_AT_BARE})|(?P<dot>{_DOT_B}|{_DOT_M}|{_DOT_BARE})", re.I)
 # a bare "at" before plain dots counts after a local part that is no word: "jo.doe at example.com"
 _PLAIN_AT = re.compile(rf"(?<![\w.])[^\W_][\w+%-]*(?:[._][\w+%-]+)+(\s+at\s+){_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}(?!\w)", re.I)
-_DISGUISE_HINT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_SHUT}|\s(?:dot|punto|punkt)\s|\s@|@\s|[-_*~|/]\s*dot\s*[-_*~|/]|\sat\s+[\w.-]*\.[a-z]", re.I)
+# what each disguise has at least, of the same alternations; every address has a dot, so the marks around the at need no hint
+_DISGUISE = rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_SHUT}|\s{_DOT_ALONE}\s|\s@|@\s|{_MARK}\s*{_DOT_WORD}\s*{_MARK}|\sat\s+[^\s]*\.[a-z]"
+_DISGUISE_HINT = re.compile(_DISGUISE, re.I)
 
 # --- detectors, the first wins where two overlap ---
 
@@ -109,12 +113,14 @@ _DETECT = (
 _RUN = re.compile(r"(?<!\d)\d{7,15}(?!\d)")
 _TRIGGER = re.compile(r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
 
+#: White space and forms of i that the linear-time matcher takes for something else; a text with some counts as one with characters to fold.
+_OTHERWISE = {c for c in range(0x80, 0x10000) if chr(c).isspace()} | {0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x130, 0x131}
 
 _RE2 = (
     r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)",
-    "[" + "".join(f"\\x{{{c:x}}}" for c in sorted({*_FOLD, *map(ord, _GONE)})) + "]",
+    "[" + "".join(f"\\x{{{c:x}}}" for c in sorted({*_FOLD, *map(ord, _GONE), *_OTHERWISE})) + "]",
     rf"(?i)(?:{'|'.join(_WORDS)})[\s,.()+-]+(?:(?:double|triple)\s+)?(?:[0-9]|{'|'.join(_WORDS)})",
-    r"(?i)[(\[{<]\s*(?:at|@|arroba|arobase|dot|punto|point|punkt|\.)\s*[)\]}>]|\s(?:dot|punto|punkt)\s|\s@|@\s|[-_*~|/]\s*dot\s*[-_*~|/]|\sat\s+[^\s]*\.[a-z]",
+    f"(?i){_DISGUISE}",
 )
 
 

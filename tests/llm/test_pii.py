@@ -1,5 +1,7 @@
 import random
+import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from helpers import ODD, docs
@@ -87,3 +89,21 @@ def test_redact_keeps_columns(spark):
     assert out.schema == given.schema and sorted((r["text"] or "") for r in out.collect()) == ["", "clean", "to [EMAIL]!", "to [EMAIL]!"]
     with_size = pii.redact(spark.createDataFrame([(1, "to a@b.cd!", 10), (2, "x", None)], "doc_id long, text string, n_chars long"))
     assert {r["doc_id"]: r["n_chars"] for r in with_size.collect()} == {1: 11, 2: None}
+
+
+FORMS = [
+    f"schreib an jo{a}host{d}de bitte"
+    for a in (" (at) ", "[arroba]", "{arobase}", "<@>", " at ", " arroba ", " arobase ", "-at-", " *at* ", " -arroba- ", "_arobase_", "~@~", "|at|", "/at/", "\x0bat\x0b")
+    for d in (" (dot) ", "[punto]", "{point}", "<punkt>", " [.] ", " dot ", " punto ", " punkt ", "-dot-", " *punkt* ", " -punto- ", "_point_", "~.~", "|dot|", "/punkt/", "\x0bdot\x0b")
+] + ["jo @ host.de", "jo@ host.de", "jo dot doe@host.de", "une.92 at host.de", "jo at host.x *punkt* de"]
+
+
+NAMED = ["jo *at* host *punkt* de", "ana -arroba- correo -punto- es", "jean_arobase_exemple_point_fr", "jo at host/./de", "jo\x0bat\x0bhost\x0bdot\x0bde"]
+
+
+def test_hints_let_every_disguise_pass(monkeypatch):
+    hinted = pii.find_all(pa.array(FORMS + NAMED))[1]
+    monkeypatch.setattr(pii, "_DISGUISE_HINT", re.compile(""))
+    assert hinted == [pii.find(t) for t in FORMS + NAMED]
+    assert all([k for k, *_ in x] == ["email"] for x in hinted[len(FORMS) :])
+    assert sum(map(bool, hinted)) > len(FORMS) / 2
