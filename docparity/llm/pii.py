@@ -111,13 +111,14 @@ _DETECT = (
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])")),
 )
 _RUN = re.compile(r"(?<!\d)\d{7,15}(?!\d)")
-_TRIGGER = re.compile(r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
+_TRIGGERS = r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd|AKIA|\bsk-|\bgh[pousr]_|[a-f]{32})"
+_TRIGGER = re.compile(_TRIGGERS)
 
 #: White space and forms of i that the linear-time matcher takes for something else; a text with some counts as one with characters to fold.
 _OTHERWISE = {c for c in range(0x80, 0x10000) if chr(c).isspace()} | {0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x130, 0x131}
 
 _RE2 = (
-    r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)",
+    _TRIGGERS.replace(r"\b", ""),  # a word ends elsewhere for this matcher
     "[" + "".join(f"\\x{{{c:x}}}" for c in sorted({*_FOLD, *map(ord, _GONE), *_OTHERWISE})) + "]",
     rf"(?i)(?:{'|'.join(_WORDS)})[\s,.()+-]+(?:(?:double|triple)\s+)?(?:[0-9]|{'|'.join(_WORDS)})",
     f"(?i){_DISGUISE}",
