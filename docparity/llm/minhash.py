@@ -1,27 +1,30 @@
 """MinHash near-duplicate search by a signature-coordinate inverted join.
 
-Each document gets ``K`` MinHash coordinates over its word shingles. The pair
-(coordinate, value) is a token; documents are posted under tokens, and two
-documents whose signatures agree in at least ``matches`` coordinates share that
-many tokens. Three devices keep the join small without losing a pair:
-
-* *prefix*: with every document's tokens in one global order, two documents
-  with ``m`` common tokens have one in common among the first ``K - m + 1`` of
-  each, so only those are posted. The order is by the number of documents that
-  have the token, so passages that many documents share are hardly posted.
-* *skip by identity*: documents with one signature are one posting entry.
-* *skip by component*: a long posting list is first merged against a few
-  centres only, a number of pairs linear in the list. Lists whose members that
-  has connected are then skipped; elsewhere pairs across components are counted.
-
-What comes out is a set of counted pairs, each with at least ``matches`` agreeing
-coordinates, that connects exactly the documents connected by *all* such pairs.
-A group of n copies costs about n pairs and not n * n / 2; nothing is capped.
+Each text gets ``K`` MinHash coordinates over its word shingles. The pair
+(coordinate, value) is a token; texts are posted under tokens, and two texts
+whose signatures agree in at least ``matches`` coordinates collide under that
+many tokens. Texts with one signature are one posting entry, their copies.
+
+* *prefix*: with every text's tokens in one global order, two texts with ``m``
+  common tokens have one in common among the first ``K - m + 1`` of each, so
+  only those are posted. The order is by the number of texts that have the
+  token, so passages that many texts share are hardly posted.
+* *skip*: every posting list is first merged against one member, a number of
+  pairs linear in the list. A list whose members that has connected needs no
+  more; in the others, texts of different components are counted against each other.
+* *count*: within a component of linked texts the collisions of all pairs are
+  counted, in blocks of bounded size that are tasks of their own. What leaves a
+  block is a number for each text (or its pairs, where those are asked for).
+
+Lists and components are rows, never one value; no list is capped, and every
+pair above the threshold is counted. The counting takes time with the square of
+the different texts of one component, spread over its blocks; shuffles do not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,10 @@ from docparity.llm.common import cut, fresh, slices
 K = 64
 SHINGLE_WORDS = 2
 SIMILARITY = 0.5
-#: Posting lists up to this length are merged pair by pair at once; longer ones through their centres first.
-SHORT = 24
-CENTRES = 8
+#: Members of a block; two blocks are what a task holds at once.
+BLOCK = 2048
+#: Rows to drop are broadcast up to this many (24 bytes each), joined by shuffle beyond.
+BROADCAST_GONE = 500_000
 
 _U32 = np.uint32
 _rng = np.random.RandomState(20240229)
@@ -114,10 +118,10 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             sig, n = signatures(part.column("text"))
-            live = np.flatnonzero(n > 0)
-            sig = np.ascontiguousarray(sig[live])
-            rows = pa.Array.from_buffers(pa.binary(), len(live), [None, pa.py_buffer(np.arange(0, (len(live) + 1) * 4 * K, 4 * K, dtype=np.int32)), pa.py_buffer(sig)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(live)), rows], ["doc_id", "sig"])
+            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, 4 * K, 0))]).astype(np.int32)
+            valid = np.packbits(n > 0, bitorder="little")
+            rows = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(valid), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sig[n > 0]))])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("h"), rows], ["row", "doc_id", "h", "sig"])
 
 
 def _as_matrix(column: pa.Array) -> np.ndarray:
@@ -137,69 +141,143 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 5000):
             part = batch.slice(lo, 5000)
             token = _tokens(_as_matrix(part.column("sig")))
-            ids = np.repeat(part.column("doc_id").to_numpy(), K)
-            yield pa.RecordBatch.from_arrays([pa.array(token.ravel()), pa.array(ids)], ["token", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), K))], ["token", "rep"])
 
 
-def _order(docs: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """Members of a posting list, those with many copies first, else in an order that is the same in every list."""
-    return np.lexsort((_mix(docs.astype(np.uint64)), -copies))
-
-
-def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list's centres with all its members; of a short list that is all pairs."""
-    for docs, copies in _lists(batches):
-        yield from _blocks((d[o[:i]], d[o[i]]) for d, c in zip(docs, copies) for o in (_order(d, c),) for i in ([*range(1, len(d))] if len(d) <= SHORT else []))
-        yield from _blocks((d[o[i + 1 :]], d[o[i]]) for d, c in zip(docs, copies) if len(d) > SHORT for o in (_order(d, c),) for i in range(CENTRES))
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column("m")
-        flat, ends = column.flatten(), column.offsets.to_numpy()
-        cuts = (ends - ends[0])[1:-1]
-        yield np.split(flat.field("doc_id").to_numpy(), cuts), np.split(flat.field(1).to_numpy(), cuts)
-
-
-def _blocks(parts) -> Iterator[pa.RecordBatch]:
-    """Pairs (many documents, one document) as rows, the smaller document first."""
-    many: list[np.ndarray] = []
-    one: list[int] = []
-    size = 0
-    for xs, x in parts:
-        many.append(xs)
-        one.append(x)
-        size += len(xs)
-        if size > 300_000:
-            yield _pair_batch(many, one)
-            many, one, size = [], [], 0
-    if one:
-        yield _pair_batch(many, one)
-
+        n = (_as_matrix(batch.column("sig_a")) == _as_matrix(batch.column("sig_b"))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n.astype(np.int32))], ["a", "b", "matches"])
 
-def _pair_batch(many: list[np.ndarray], one: list[int]) -> pa.RecordBatch:
-    a, b = np.concatenate(many), np.repeat(np.array(one, np.int64), [len(x) for x in many])
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["doc_a", "doc_b"])
 
+def _counted(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least ``least`` coordinates."""
+    a = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
+    b = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
+    return both.mapInArrow(_matches, "a long, b long, matches int").where(F.col("matches") >= least)
 
-def _across_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list's members that are in different components."""
-    for docs, groups in _lists(batches):
-        yield from _blocks((d[i + 1 :][g[i + 1 :] != g[i]], d[i]) for d, g in zip(docs, groups) for i in range(len(d) - 1))
 
+def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many coordinates of each row of ``a`` agree with each row of ``b``."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for x, y in zip(a, b):
+        out += x[:, None] == y[None, :]
+    return out
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = (_as_matrix(batch.column("sig_a")) == _as_matrix(batch.column("sig_b"))).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_a"), batch.column("doc_b"), pa.array(n.astype(np.int32))], ["doc_a", "doc_b", "matches"])
 
+def _blocked(members: DataFrame, each, schema: str) -> DataFrame:
+    """``each`` applied to the members of all pairs of blocks of one ``key``.
 
-def _counted(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """The pairs whose signatures agree in at least ``least`` coordinates."""
-    a = sigs.select(F.col("doc_id").alias("doc_a"), F.col("sig").alias("sig_a"))
-    b = sigs.select(F.col("doc_id").alias("doc_b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", "sig_a", "sig_b")
-    return both.mapInArrow(_matches, "doc_a long, doc_b long, matches int").where(F.col("matches") >= least)
+    ``members``: ``key``, its number of members ``n``, ``rep``, ``sig`` and one more long, ``x``. A key's
+    members fall into blocks of about ``BLOCK``, and a row goes to every pair
+    of blocks that its own is in. ``each(own, other)`` gets (rep, sig, x) of both blocks,
+    ``other`` being None for the pairs within one block, and gives arrays in the order of ``schema``.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "rep", "x", "sig")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _groups(batches, ("key", "lo", "hi")):
+            rep, x, own, low, high = (t.column(c).to_numpy() for c in ("rep", "x", "own", "lo", "hi"))
+            sig = _as_matrix(t.column("sig").combine_chunks())
+            done, size = [], 0
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if low[i] == high[i]:
+                    sides = (slice(i, j), None)
+                else:
+                    mine = own[i:j] == low[i]
+                    if mine.all() or not mine.any():
+                        continue
+                    sides = (i + np.flatnonzero(mine), i + np.flatnonzero(~mine))
+                if j - i > 1:
+                    done.append(each(*(k if k is None else (rep[k], sig[k], x[k]) for k in sides)))
+                    size += len(done[-1][0])
+                if size > 200_000:
+                    yield _columns(done, names)
+                    done, size = [], 0
+            if done:
+                yield _columns(done, names)
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, schema)
+
+
+def _columns(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by the columns ``by``: tables, and where their groups begin and end."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            if not batch.num_rows or all(held[0].column(c)[0] == batch.column(c)[batch.num_rows - 1] for c in by):
+                continue
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        if not t.num_rows:
+            return
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in by])
+        starts = np.append(np.flatnonzero(new), t.num_rows)
+        if batch is not None:  # the last group may go on
+            starts, held = starts[:-1], t.slice(int(starts[-2])).to_batches()
+            t = t.slice(0, int(starts[-1]))
+        if len(starts) > 1:
+            yield t.combine_chunks(), starts
+
+
+def _across(least: int):
+    """Components (``x``) that a pair of texts with enough collisions connects."""
+
+    def each(own, other):
+        (_, sa, xa), (_, sb, xb) = own, other or own
+        hit = [(xa[i + r], xb[c]) for i in range(0, len(xa), 512) for r, c in [np.nonzero((_collisions(sa[i : i + 512], sb) >= least) & (xa[i : i + 512, None] != xb[None, :]))]]
+        a, b = (np.concatenate(x) for x in zip(*hit))
+        return list(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)) if len(a) else [a, b]
+
+    return each
+
+
+def _linked(least: int):
+    """For each text the number of others with enough collisions, copies (``x``) counted."""
+
+    def each(own, other):
+        if other is None:
+            rep, sig, x = own
+            n = np.concatenate([(_collisions(sig[i : i + 512], sig) >= least) @ x for i in range(0, len(rep), 512)]) - x
+            return [rep, n.astype(np.int64)]
+        (ra, sa, xa), (rb, sb, xb) = own, other
+        na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
+        for i in range(0, len(ra), 512):
+            hit = _collisions(sa[i : i + 512], sb) >= least
+            na[i : i + 512] = hit @ xb
+            nb += xa[i : i + 512] @ hit
+        return [np.concatenate([ra, rb]), np.concatenate([na, nb])]
+
+    return each
+
+
+def _pairs(least: int):
+    """The pairs of texts with enough collisions."""
+
+    def each(own, other):
+        (ra, sa, _), (rb, sb, _) = own, other or own
+        out = []
+        for i in range(0, len(ra), 512):
+            n = _collisions(sa[i : i + 512], sb)
+            r, c = np.nonzero(n >= least)
+            if other is None:
+                r, c = r[r + i < c], c[r + i < c]
+            out.append((ra[i + r], rb[c], n[r, c].astype(np.int32)))
+        return [np.concatenate(x) for x in zip(*out)]
+
+    return each
 
 
 def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -224,64 +302,107 @@ def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         before = state
 
 
+class _Search:
+    """The steps of a search; each is a table in the shared folder or made of such tables."""
+
+    def __init__(self, docs: DataFrame, similarity: float, text: str):
+        self.least = int(np.ceil(similarity * K))
+        given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+        self.rows = cut(given.mapInArrow(_signature_rows, "row long, doc_id long, h long, sig binary"))
+        # two hashes of 64 bits stand for a signature where texts are told apart by it
+        keys = self.rows.where("sig is not null").select("row", F.xxhash64("sig").alias("k1"), F.xxhash64("sig", F.lit(1)).alias("k2"))
+        copies = cut(keys.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
+        self.members = keys.join(copies, ["k1", "k2"]).select("row", "rep", "copies")
+        self.reps = cut(self.rows.select(F.col("row").alias("rep"), "sig").join(copies.select("rep", "copies"), "rep"))
+        self.groups = self._connected()
+
+    def _connected(self) -> DataFrame:
+        """(rep, grp) of every text that has a link to a different one."""
+        posted = cut(_postings(self.reps, K - self.least + 1))
+        centres = posted.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("o"), "rep")).alias("c")).where("n > 1")
+        stars = posted.join(centres, "token").where(F.col("rep") != F.col("c.rep")).select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        first = components(_counted(stars, self.reps, self.least), "a", "b")
+        placed = posted.join(first.select(F.col("doc_id").alias("rep"), F.col("group_id").alias("x")), "rep", "left").withColumn("x", F.coalesce("x", "rep"))
+        mixed = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1")).where("n > 2 and x0 <> x1").select(F.col("token").alias("key"), "n")
+        left = placed.join(mixed, F.col("token") == F.col("key")).join(self.reps.select("rep", "sig"), "rep").select("key", "n", "rep", "x", "sig")
+        more = _blocked(left, _across(self.least), "a long, b long")
+        edges = first.select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).union(more)
+        return components(edges, "a", "b").select(F.col("doc_id").alias("rep"), F.col("group_id").alias("grp"))
+
+    def counted(self, each, schema: str) -> DataFrame:
+        """All pairs of different texts within components."""
+        sizes = self.groups.groupBy("grp").agg(F.count("*").alias("n"))
+        inside = self.groups.join(sizes, "grp").join(self.reps, "rep").select(F.col("grp").alias("key"), "n", "rep", F.col("copies").alias("x"), "sig")
+        return _blocked(inside, each(self.least), schema)
+
+    def labelled(self) -> DataFrame:
+        """(row, rep, copies, grp) of the rows that have a near-duplicate or copy; ``grp`` is the same for all rows of a group."""
+        with_group = self.members.join(self.groups, "rep", "left")
+        return with_group.where("grp is not null or copies > 1").select("row", "rep", "copies", F.coalesce("grp", "rep").alias("grp"))
+
+    def kept(self) -> DataFrame:
+        """Labelled rows with ``doc_id``, ``h`` and their group's ``first``: the least ``doc_id`` (null comes last), hash and row."""
+        named = self.labelled().join(self.rows.select("row", "doc_id", "h"), "row")
+        first = named.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")).alias("first"))
+        return named.join(first, "grp")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
+    """(doc_id, class_id, links): one row for each row of ``docs``.
+
+    Two rows are linked if their signatures agree in at least ``ceil(similarity * 64)``
+    of 64 coordinates. ``links`` is the number of other rows linked to this
+    one, copies counted one by one; ``class_id`` is the least ``doc_id`` of the rows that links
+    connect it with, itself included. A row without links, such as one with an empty, blank
+    or null text, has its own ``doc_id`` and 0. Rows without ``doc_id`` take part, their
+    ``class_id`` is null if no row of the class has one. Repeated rows are copies
+    of each other. Only ``doc_id`` and the text column are read, whatever else
+    the table has. An empty table gives an empty result.
+    """
+    found = _Search(docs, similarity, text)
+    links = found.counted(_linked, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("different"))
+    classes = found.kept().select("row", "rep", "copies", F.col("first.doc_id").alias("class_id")).join(links, "rep", "left")
+    classes = classes.select("row", F.lit(True).alias("linked"), "class_id", (F.coalesce("different", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = found.rows.select("row", "doc_id").join(classes, "row", "left")
+    return out.select("doc_id", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def near_duplicate_pairs(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """(doc_a, doc_b, similarity) with doc_a < doc_b: counted pairs that connect all near-duplicates.
-
-    Every row has at least ``ceil(similarity * 64)`` of 64 coordinates in common, and two
-    documents are connected by rows exactly if they are connected by such pairs
-    (see the module's text). Documents with one signature hang on the least of
-    them. Empty, blank and null texts and rows without ``doc_id`` pair with
-    nothing. Rows with one ``doc_id`` are one document with several texts, so
-    copies of a row pair with nothing new. Only ``doc_id`` and the text column
-    are read, whatever else the table has. An empty table gives an empty result.
+    """(doc_a, doc_b, similarity): every linked pair of different texts, each text named by one of its rows, and every copy with that row.
+
+    Links are those of :func:`near_duplicates`. The rows grow with the square of a group's different texts. Of
+    texts with one signature the first row stands for all; rows without ``doc_id`` give a null there.
     """
-    return _search(docs, similarity, text)
-
-
-def _search(docs: DataFrame, similarity: float, text: str) -> DataFrame:
-    least = int(np.ceil(similarity * K))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    sigs = cut(given.mapInArrow(_signature_rows, "doc_id long, sig binary"))
-    reps = cut(sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    twins = (
-        sigs.alias("s").join(reps.where("copies > 1").alias("r"), "sig").where("s.doc_id <> r.doc_id")
-        .select(F.col("r.doc_id").alias("doc_a"), F.col("s.doc_id").alias("doc_b"), F.lit(K).alias("matches"))
-    )
-    lists = cut(_posting_lists(reps, K - least + 1))
-    stars = lists.mapInArrow(_star_rows, "doc_a long, doc_b long").where("doc_a <> doc_b").distinct()
-    first = cut(_counted(stars, reps, least))
-    members = lists.where(F.size("m") > SHORT).select(F.xxhash64("m").alias("list"), F.explode("m.doc_id").alias("doc_id"))
-    placed = members.join(components(first), "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
-    mixed = placed.groupBy("list").agg(F.collect_set(F.struct("doc_id", "group_id")).alias("m"), F.min("group_id").alias("g0"), F.max("group_id").alias("g1")).where("g0 <> g1").select("m")
-    across = mixed.mapInArrow(_across_rows, "doc_a long, doc_b long").distinct()
-    found = first.union(_counted(across, reps, least)).union(twins)
-    return found.where("doc_a <> doc_b").groupBy(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).agg((F.max("matches") / F.lit(float(K))).alias("similarity"))
-
-
-def _posting_lists(reps: DataFrame, prefix: int) -> DataFrame:
-    """Distinct lists ``m`` of two or more (doc_id, copies) posted under one token, rarest tokens first, ``prefix`` for each document.
-
-    Tokens of one document only are left out after they are counted as the
+    found = _Search(docs, similarity, text)
+    pairs = found.counted(_pairs, "a long, b long, matches int").union(found.members.where("row <> rep").select("rep", "row", F.lit(K)))
+    ids = found.rows.select("row", "doc_id")
+    named = pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
+    return named.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), (F.col("matches") / F.lit(float(K))).alias("similarity"))
+
+
+def _postings(reps: DataFrame, prefix: int) -> DataFrame:
+    """(token, rep): ``prefix`` tokens of each text, rarest first.
+
+    Tokens of one text only are left out after they are counted as the
     first of its order: they never collide but use up places of the prefix.
     """
-    tokens = reps.mapInArrow(_token_rows, "token long, doc_id long")
+    tokens = reps.mapInArrow(_token_rows, "token long, rep long")
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = tokens.join(often, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("token").alias("h"), "token"))).alias("t"))
-    room = F.lit(prefix - K) + F.size("t")  # places left after the tokens no other document has
-    posted = shared.where(room > 0).select("doc_id", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("doc_id", "p.token")
-    copies = reps.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return (
-        posted.join(copies, "doc_id").groupBy("token").agg(F.sort_array(F.collect_set(F.struct("doc_id", "copies"))).alias("m"))
-        .where(F.size("m") > 1).select("m").distinct()
-    )
+    shared = tokens.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("token").alias("h"), "token"))).alias("t"))
+    room = F.lit(prefix - K) + F.size("t")  # places left after the tokens no other text has
+    return shared.where(room > 0).select("rep", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("p.token", "rep")
 
 
 def near_duplicates_dropped(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates: of each group the rows of the least ``doc_id`` stay.
+    """``docs`` without the near-duplicates: of each class of :func:`near_duplicates` the row of the least ``doc_id`` stays.
 
-    Columns are those of ``docs``. Rows without ``doc_id`` and rows whose text
-    is null or blank belong to no group and stay. Rows that share a ``doc_id``
-    are one document and stay or go together.
+    Columns are those of ``docs``. Rows whose text is null or blank are in no class and
+    stay. Of one ``doc_id`` with several texts the one with the least hash
+    comes first; rows without ``doc_id`` come last. Rows repeated with ``doc_id`` and text stay or go together.
     """
-    gone = components(near_duplicate_pairs(docs, similarity, text)).where("doc_id <> group_id").select(F.col("doc_id").alias(name := fresh("__dp_gone", docs)))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    kept = _Search(docs, similarity, text).kept().where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))))
+    own_id, own_h = fresh("__dp_id", docs), fresh("__dp_h", docs)
+    gone = cut(kept.select(F.col("doc_id").alias(own_id), F.col("h").alias(own_h)).distinct())
+    if gone.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_h)), "left_anti")

@@ -35,7 +35,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicate_pairs(_docs(spark, sf_dir))
+    return minhash.near_duplicates(_docs(spark, sf_dir))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
