@@ -18,9 +18,10 @@ STOP_WORDS = tuple(
     "der die und das den ist mit im zu von auf dem ein eine nicht sich als".split()
 )
 _SYMBOL = r"[#%&$*|<>{}~^\\_]"
-_STOP = r"(?:^|\s)(?:" + "|".join(STOP_WORDS) + r")(?:$|[\s.,;:!?])"
-#: The same words behind their first letters, so most places fail at one character.
-_STOP_BY_LETTER = r"(?:^|\s)(?:" + "|".join(f"{a}(?:{'|'.join(w[1:] for w in STOP_WORDS if w[0] == a)})" for a in sorted({w[0] for w in STOP_WORDS})) + r")(?:$|[\s.,;:!?])"
+#: Marks that end a word; what follows them up to the next white space is not looked at.
+_MARKS = ".,;:!?"
+#: Stop words behind their first letters, so most places fail at one character. What ends a word is not consumed, as it may begin the next match.
+_STOP = r"(?:^|\s)(?:" + "|".join(f"{a}(?:{'|'.join(w[1:] for w in STOP_WORDS if w[0] == a)})" for a in sorted({w[0] for w in STOP_WORDS})) + rf")(?=$|[\s{_MARKS}])"
 
 
 @dataclass(frozen=True)
@@ -37,15 +38,16 @@ class Rule:
 
 RULES = (
     Rule("empty", "n_words", low=1),
+    Rule("length", "n_chars", low=2, high=5_000_000),
     Rule("symbols", "symbol_ratio", high=0.015, from_words=5),
     Rule("shouting", "upper_ratio", high=0.3, from_words=10),
     Rule("word_length", "mean_word_chars", low=2, high=15, from_words=10),
     Rule("repeated_words_short", "distinct_word_ratio", low=0.45, from_words=10, to_words=400),
     Rule("repeated_words_long", "distinct_word_ratio", low=0.15, from_words=400),
-    Rule("few_stop_words", "stop_word_ratio", low=0.04, from_words=50),
+    Rule("few_stop_words", "stop_word_ratio", low=0.06, from_words=50),
     Rule("repeated_lines", "distinct_line_ratio", low=0.4, from_words=20),
 )
-METRICS = ("n_words", "symbol_ratio", "upper_ratio", "mean_word_chars", "distinct_word_ratio", "stop_word_ratio", "distinct_line_ratio")
+METRICS = ("n_chars", "n_words", "symbol_ratio", "upper_ratio", "mean_word_chars", "distinct_word_ratio", "stop_word_ratio", "distinct_line_ratio")
 
 
 def _let(value: Column, body) -> Column:
@@ -73,12 +75,13 @@ def _struct(text: Column, lower: Column, parts: Column, words: Column) -> Column
     chars, per_word = F.greatest(F.length(text), F.lit(1)).cast("double"), F.greatest(words, F.lit(1.0))
     lines = F.split(text, "\n")
     return F.struct(
+        F.length(text).cast("double").alias("n_chars"),
         words.alias("n_words"),
         (_left(text, _SYMBOL.replace("[", "[^") + "+") / chars).alias("symbol_ratio"),
         (_left(text, r"\P{Lu}+") / chars).alias("upper_ratio"),
         (_left(text, r"\s+") / per_word).alias("mean_word_chars"),
         (F.size(F.array_distinct(parts)).cast("double") / per_word).alias("distinct_word_ratio"),
-        (F.regexp_count(lower, F.lit(_STOP_BY_LETTER)).cast("double") / per_word).alias("stop_word_ratio"),
+        (F.regexp_count(lower, F.lit(_STOP)).cast("double") / per_word).alias("stop_word_ratio"),
         (F.size(F.array_distinct(lines)).cast("double") / F.size(lines).cast("double")).alias("distinct_line_ratio"),
     )
 
@@ -96,7 +99,7 @@ def _broken(rule: Rule, metric, words, lit, both, either):
 def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Struct of ``m`` (the metrics) and ``broken`` (names of broken rules, in table order).
 
-    A null text is judged as an empty one: it breaks rule ``empty``.
+    A null text is judged as an empty one: it breaks the rules ``empty`` and ``length``.
     """
     def judge(m: Column) -> Column:
         broken = [F.when(_broken(r, m[r.metric], m["n_words"], F.lit, lambda a, b: a & b, lambda a, b: a | b), F.lit(r.name)) for r in rules]
@@ -108,7 +111,7 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """One row a document: ``doc_id``, the metrics rounded to 6 places, ``broken`` (rule names joined by commas) and ``keep``.
 
-    Null and empty texts break rule ``empty``; a null ``doc_id`` stays null;
+    Null and empty texts break the rules ``empty`` and ``length``; a null ``doc_id`` stays null;
     repeated rows are judged one by one; other columns of ``docs``, whatever
     their names, are not read. An empty table gives an empty result.
     """
@@ -149,13 +152,16 @@ def _sql_metrics(table: str) -> str:
     n = lambda p, of="t": f"len(regexp_extract_all({of}, '{_white(p)}'))::DOUBLE"
     words = n(r"\S+")
     per_word = f"greatest({words}, 1.0)"
+    # told apart word by word, not by the expression that Spark counts
+    heads = f"list_transform(regexp_split_to_array(lower(t), '{_white(r'\s+')}'), lambda x: regexp_extract(x, '^[^{_MARKS}]*'))"
+    stops = f"len(list_filter({heads}, lambda x: x IN ({', '.join(repr(w) for w in dict.fromkeys(STOP_WORDS))})))::DOUBLE"
     return f"""
-      SELECT doc_id, {words} AS n_words,
+      SELECT doc_id, length(t)::DOUBLE AS n_chars, {words} AS n_words,
         {n(_SYMBOL)} / greatest(length(t), 1) AS symbol_ratio,
         {n(r'\p{Lu}')} / greatest(length(t), 1) AS upper_ratio,
         {n(r'\S')} / {per_word} AS mean_word_chars,
         len(list_distinct(regexp_split_to_array(lower(t), '[\\x09-\\x0D ]+')))::DOUBLE / {per_word} AS distinct_word_ratio,
-        {n(_STOP, 'lower(t)')} / {per_word} AS stop_word_ratio,
+        {stops} / {per_word} AS stop_word_ratio,
         len(list_distinct(string_split(t, chr(10))))::DOUBLE / len(string_split(t, chr(10))) AS distinct_line_ratio
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM {table})"""
 
