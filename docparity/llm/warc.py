@@ -24,8 +24,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 _SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 _FRAME_MAGIC = 0xFD2FB528
 _REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
-#: A record declared larger than this is refused before memory is taken for it.
-LARGEST_RECORD = 1 << 30
+#: Bytes of the largest record, decoded, that is given with its payload: about what one value of a row holds.
+LARGEST_RECORD = 2_000_000_000
 #: Records whose texts train a file's dictionary, and its size. The dictionary only affects the ratio.
 DICTIONARY_SAMPLE, DICTIONARY_BYTES = 256, 32_768
 
@@ -46,54 +46,75 @@ class Truncated(ValueError):
     """The bytes end within a frame."""
 
 
-def frame_end(buf: bytes | memoryview, at: int) -> tuple[int, bool]:
-    """End of the frame that starts at ``at`` and whether it is a skippable one, from its header and block headers only."""
+class _Window:
+    """Bytes of a stream by their offset, read forward only."""
 
-    def need(n: int) -> None:
-        if len(buf) < n:
-            raise Truncated(n)
+    def __init__(self, stream, step: int):
+        self.stream, self.step, self.buf, self.start = stream, step, bytearray(), 0
 
-    need(at + 4)
-    magic = int.from_bytes(buf[at : at + 4], "little")
+    def _more(self, n: int) -> bool:
+        data = self.stream.read(max(n, self.step))
+        self.buf += data
+        return bool(data)
+
+    def read(self, at: int, n: int) -> bytes:
+        while at + n > self.start + len(self.buf):
+            if not self._more(at + n - self.start - len(self.buf)):
+                raise Truncated
+        return bytes(self.buf[at - self.start : at - self.start + n])
+
+    def drop(self, upto: int) -> None:
+        """Forget what comes before ``upto``, reading on where it lies ahead."""
+        while upto > self.start + len(self.buf):
+            self.start += len(self.buf)
+            self.buf.clear()
+            if not self._more(0):
+                raise Truncated
+        if upto - self.start > self.step:
+            del self.buf[: upto - self.start]
+            self.start = upto
+
+    def ended(self, at: int) -> bool:
+        return at >= self.start + len(self.buf) and not self._more(0)
+
+
+def _frame_end(window: _Window, at: int, most: int) -> tuple[int, bool]:
+    """End of the frame that starts at ``at`` and whether it is a skippable one, from its header and block headers only. Of a frame of more than ``most`` bytes nothing is held."""
+    magic = int.from_bytes(window.read(at, 4), "little")
     if magic in _SKIPPABLE:
-        need(at + 8)
-        end = at + 8 + int.from_bytes(buf[at + 4 : at + 8], "little")
-        need(end)
+        end = at + 8 + int.from_bytes(window.read(at + 4, 4), "little")
+        if end - at > most:
+            window.drop(end)
         return end, True
     if magic != _FRAME_MAGIC:
         raise ValueError(f"no Zstandard frame at byte {at}")
-    need(at + 5)
-    flags = buf[at + 4]
+    flags = window.read(at + 4, 1)[0]
     single = flags >> 5 & 1
     p = at + 5 + (not single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
     while True:
-        need(p + 3)
-        block = int.from_bytes(buf[p : p + 3], "little")
+        block = int.from_bytes(window.read(p, 3), "little")
         p += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        if p - at > most:
+            window.drop(p)
         if block & 1:
             break
     p += 4 * (flags >> 2 & 1)
-    need(p)
+    if p - at > most:
+        window.drop(p)
     return p, False
 
 
-def frames(stream, step: int = 1 << 20) -> Iterator[tuple[int, bytes, bool]]:
-    """(offset, bytes, skippable) of each frame of a stream; holds one frame and a step of input."""
-    buf, start, at = b"", 0, 0  # start: offset of buf in the stream; at: of the next frame in buf
-    while True:
+def frames(stream, step: int = 1 << 20, most: int = LARGEST_RECORD) -> Iterator[tuple[int, int, bytes | None, bool]]:
+    """(offset, size, bytes, skippable) of each frame of a stream; holds one frame and a step of input. A frame of more than ``most`` bytes is walked past and has no bytes."""
+    window, at = _Window(stream, step), 0
+    while not window.ended(at):
         try:
-            end, skippable = frame_end(buf, at)
+            end, skippable = _frame_end(window, at, most)
+            data = window.read(at, end - at) if end - at <= most else None
         except Truncated:
-            if len(buf) - at > LARGEST_RECORD:
-                raise ValueError(f"the frame at byte {start + at} is larger than {LARGEST_RECORD}") from None
-            more = stream.read(max(step, len(buf) - at))
-            if not more:
-                if at < len(buf):
-                    raise Truncated(f"the file ends within the frame at byte {start + at}") from None
-                return
-            buf, start, at = buf[at:] + more, start + at, 0
-            continue
-        yield start + at, buf[at:end], skippable
+            raise Truncated(f"the file ends within the frame at byte {at}") from None
+        yield at, end - at, data, skippable
+        window.drop(end)
         at = end
 
 
@@ -154,27 +175,45 @@ def parse_record(data: bytes) -> dict:
     return out
 
 
-def read_records(path: str, stream) -> Iterator[dict]:
-    """Records of one archive in order. A broken frame gives a row with ``error``; a file that cannot be walked on ends with one."""
+def _decoded(decoder: zstandard.ZstdDecompressor, frame: bytes | None, most: int) -> bytes:
+    """The record in a frame; ``ValueError`` if it is larger than ``most``, whatever its header declares."""
+    if frame is None or (size := zstandard.frame_content_size(frame)) > most:
+        raise ValueError(f"record of more than {most} bytes")
+    if size >= 0:
+        return decoder.decompress(frame)
+    with decoder.stream_reader(frame) as stream:
+        parts, left = [], most + 1
+        while left and (part := stream.read(min(left, 1 << 20))):
+            parts.append(part)
+            left -= len(part)
+    if not left:
+        raise ValueError(f"record of more than {most} bytes")
+    return b"".join(parts)
+
+
+def read_records(path: str, stream, most: int = LARGEST_RECORD) -> Iterator[dict]:
+    """Records of one archive in order. A broken frame gives a row with ``error``; a file that cannot be walked on ends with one.
+
+    A record of more than ``most`` bytes gives a row with ``error`` and no payload, and the next one follows.
+    """
     decoder = zstandard.ZstdDecompressor()
     first = True
     try:
-        for offset, frame, skippable in frames(stream):
+        # what does not compress takes a little more than its own length
+        for offset, size, frame, skippable in frames(stream, most=most + (most >> 6) + (1 << 16)):
             if skippable:
-                if first and (found := dictionary_of(frame)):
+                if first and frame is not None and (found := dictionary_of(frame)):
                     decoder = zstandard.ZstdDecompressor(dict_data=found)
                 first = False
                 continue
             first = False
-            where = {"path": path, "frame_offset": offset, "frame_bytes": len(frame)}
+            where = {"path": path, "frame_offset": offset, "frame_bytes": size}
             try:
-                size = zstandard.frame_content_size(frame)
-                if size > LARGEST_RECORD:
-                    raise zstandard.ZstdError(f"record of {size} bytes")
-                data = decoder.decompress(frame) if size >= 0 else decoder.decompressobj().decompress(frame)
-                yield where | parse_record(data)
+                yield where | parse_record(_decoded(decoder, frame, most))
             except zstandard.ZstdError as e:
                 yield where | {"headers": [], "error": f"frame does not decode: {e}"}
+            except ValueError as e:
+                yield where | {"headers": [], "error": str(e)}
     except (ValueError, zstandard.ZstdError) as e:
         yield {"path": path, "headers": [], "error": str(e)}
 
@@ -183,44 +222,50 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            rows, size = [], 0
-            with open_stream(path) as stream:
-                for row in read_records(path, stream):
-                    rows.append(row)
-                    size += len(row.get("payload") or b"")
-                    if size > 4 << 20 or len(rows) >= 2000:
-                        yield _batch(rows)
-                        rows, size = [], 0
-            if rows:
-                yield _batch(rows)
-
-
-def read_warc_zst(paths: DataFrame) -> DataFrame:
+def _read_rows(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                rows, size = [], 0
+                with open_stream(path) as stream:
+                    for row in read_records(path, stream, most):
+                        rows.append(row)
+                        size += len(row.get("payload") or b"")
+                        if size > 4 << 20 or len(rows) >= 2000:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
+
+    return run
+
+
+def read_warc_zst(paths: DataFrame, largest_record: int = LARGEST_RECORD) -> DataFrame:
     """Records of the archives listed in column ``path`` (null paths are skipped), one task a file; columns as in ``SCHEMA``.
 
-    An empty file gives no rows; a file listed twice is read twice. Other
-    columns of ``paths`` are not read. Every frame gives a row; what is wrong with it is in ``error``, null if
-    nothing is.
+    Every frame but skippable ones gives a row; what is wrong with it is in ``error``, null if
+    nothing is. A record of more than ``largest_record`` bytes is such an error, and those after it are
+    read; only bytes that are no frame, or end within one, end a file. An empty file gives no rows; a
+    file listed twice is read twice. Other columns of ``paths`` are not read.
     """
     files = paths.where("path is not null").select("path")
     n = files.count()
-    return files.repartition(max(1, min(n, 10_000)), F.monotonically_increasing_id()).mapInArrow(_read_rows, SCHEMA)
+    return files.repartition(max(1, min(n, 10_000)), F.monotonically_increasing_id()).mapInArrow(_read_rows(largest_record), SCHEMA)
 
 
 # --- writer ---
 
 
 def record_of(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """A response record of a page. Nulls are told apart from empty values by missing headers."""
+    """A response record of a page. Nulls are told apart from empty values by missing headers; a URL that a header cannot hold as it is, with line ends or white space at an end, stands in Base64 besides."""
+    raw = (url or "").encode()
+    odd = re.search(rb"[\r\n]", raw) or raw.strip() != raw
     body = (html or "").encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"X-No-Body: 1\r\n" if html is None else b"") + b"\r\n" + body
     digest = base64.b32encode(hashlib.sha1(http).digest()).decode()
     head = [
         "WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
-        *([] if url is None else [f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}"]),
+        *([] if url is None else [f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}"]), *([f"X-Target-URI-Base64: {base64.b64encode(raw).decode()}"] if odd else []),
         "Content-Type: application/http; msgtype=response", f"WARC-Block-Digest: sha1:{digest}", f"Content-Length: {len(http)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
@@ -270,11 +315,15 @@ def pages_of(records: DataFrame) -> DataFrame:
     """(page_id, url, html) of the sound records :func:`write_warc_zst` made."""
     return records.where("error is null").select(
         F.nullif(F.regexp_extract("record_id", r"^<urn:page:(-?\d*)>$", 1), F.lit("")).cast("long").alias("page_id"),
-        F.col("target_uri").alias("url"),
+        F.coalesce(F.decode(F.unbase64(F.col("headers")["X-Target-URI-Base64"]), "UTF-8"), "target_uri").alias("url"),
         F.when(~F.contains("http_headers", F.lit("X-No-Body: 1")), F.decode("payload", "UTF-8")).alias("html"),
     )
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write all pages as archives into the shared folder and read them back."""
+    """Write all pages as archives into the shared folder and read them back: (page_id, url, html).
+
+    Nulls, empty values, repeated rows and line ends in URLs come back as they were; a page without
+    ``page_id`` too. Other columns of ``pages`` are not read. An empty table gives an empty result.
+    """
     return pages_of(read_warc_zst(write_warc_zst(pages, new_folder(spark, "warc"))))

@@ -1,4 +1,5 @@
 import io
+import random
 
 import pytest
 import zstandard
@@ -26,7 +27,7 @@ def test_archive_with_dictionary():
     ends = [r["frame_offset"] + r["frame_bytes"] for r in got]
     assert ends[-1] == len(data) and ends[:-1] == [r["frame_offset"] for r in got[1:]]
     small = list(warc.frames(io.BytesIO(data), step=7))
-    assert [(o, len(f)) for o, f, s in small if not s] == [(r["frame_offset"], r["frame_bytes"]) for r in got]
+    assert [(o, len(f)) for o, n, f, s in small if not s and n == len(f)] == [(r["frame_offset"], r["frame_bytes"]) for r in got]
 
 
 @pytest.mark.parametrize("head", [b"", (0x184D2A50).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"])
@@ -66,13 +67,27 @@ def test_broken_frames():
     assert read(b"") == []
 
 
+@pytest.mark.parametrize("declared", [True, False])
+def test_records_over_the_limit(declared):
+    noise = random.Random(0).randbytes(400_000)
+    large = [warc.record_of(2, "http://a.b/2", "x" * 200_000), REC.replace(b"<p>x", noise)]
+    data = b"".join(frame(r, write_content_size=declared) for r in (REC, *large, REC))
+    skipped = (0x184D2A51).to_bytes(4, "little") + len(noise).to_bytes(4, "little") + noise
+    for step in (1 << 10, 1 << 20):
+        assert [n for _, n, f, _ in warc.frames(io.BytesIO(skipped + data), step, 1000) if f is None] == [len(noise) + 8, len(frame(large[1], write_content_size=declared))]
+    got = list(warc.read_records("f", io.BytesIO(data), 100_000))
+    assert [r["error"] for r in got] == [None, "record of more than 100000 bytes", "record of more than 100000 bytes", None] and got[3]["payload"] == b"<p>x"
+    assert [r["frame_offset"] + r["frame_bytes"] for r in got][:-1] == [r["frame_offset"] for r in got][1:]
+    assert "ends within" in list(warc.read_records("f", io.BytesIO(data[:-90_000]), 1000))[-1]["error"]
+
+
 def test_folded_and_repeated_headers():
     r = warc.parse_record(b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nWARC-Date: d\r\nX: 1\r\n  2\r\nx: 3\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")
     assert r["error"] is None and r["payload"] == b"ab" and dict(r["headers"])["X"] == "1 2"
 
 
 def test_round_trip(spark):
-    rows = [(1, "http://a", "<p>é"), (2, None, "x"), (3, "u", None), (None, "u", ""), (3, "u", None), (4, "", "\r\n\r\n"), (5, "v", "long " * 200_000)]
+    rows = [(1, "http://a", "<p>é"), (2, None, "x"), (3, "u", None), (None, "u", ""), (3, "u", None), (4, "", "\r\n\r\n"), (6, " http://a b\r\nX: y\t", "z"), (7, "\n", ""), (5, "v", "long " * 200_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
     got = [tuple(r) for r in warc.round_trip(spark, pages).collect()]
     assert sorted(got, key=str) == sorted(rows, key=str)
