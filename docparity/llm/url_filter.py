@@ -4,8 +4,9 @@ Block and allow lists change over time. Their dated entries ("added at", "remove
 at") become validity intervals by a window over each list and key; every
 capture is then judged by the entries that were active when it was fetched,
 with an equality join on the key and the interval as residual condition. Keys
-are hosts, parent domains and the first segments of paths, so a capture has as
-many keys as its host has parents, and no pattern is tried against every URL.
+are hosts, their parent domains down to one label, and each of these with the first segment of
+the path, so a capture has twice as many keys as its host has labels, and no
+pattern is tried against every URL. Entries with other keys are refused.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docparity.llm.common import cut
+
 #: Lists of up to so many intervals are broadcast, larger ones joined by shuffle.
 BROADCAST_INTERVALS = 100_000
 
 ENTRY_SCHEMA = "list string, kind string, key string, action string, at timestamp"
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_KEY = r"^[^/\s.]+(\.[^/\s.]+)*(/[^/?#\s]+)?$"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
@@ -53,23 +57,32 @@ def host(url: Column) -> Column:
 
 
 def keys(url: Column) -> Column:
-    """Keys of a URL with their ranks: host and parents of two labels and more; each with the first path segment. Longer is more specific."""
+    """Keys of a URL: host and parents down to the last label; each with the first path segment. Longer is more specific."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
     segment = F.lower(F.regexp_extract(url, _PATH, 1))
-    names = F.when((host(url) != "") & (n >= 2), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
+    names = F.when(host(url) != "", F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
     return F.when(segment != "", F.concat(names, F.transform(names, lambda x: F.concat(x, F.lit("/"), segment)))).otherwise(names)
 
 
+def _sound(entries: DataFrame) -> Column:
+    return F.coalesce(F.col("kind").isin("block", "allow") & F.col("action").isin("add", "remove") & F.rlike(F.trim("key"), F.lit(_KEY)), F.lit(False))
+
+
+def refused(entries: DataFrame) -> DataFrame:
+    """The entries that :func:`intervals` leaves out, as they are."""
+    return entries.where(~_sound(entries))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, key, valid_from, valid_to): each ``add`` holds until the next entry of its list and key.
 
     At one instant a ``remove`` comes after an ``add``, so it wins; adding twice
     changes nothing; an entry without ``at`` holds since ever; entries without
-    key, kind or action, or with an unknown action, are left out. Empty
-    intervals vanish, touching ones stay apart.
+    key, kind or action, with unknown ones, or whose key is not a host or a host and one
+    path segment are left out (:func:`refused` lists them). Empty intervals vanish, touching ones stay apart.
     """
-    clean = entries.where("key is not null and kind in ('block', 'allow') and action in ('add', 'remove')").select(
+    clean = entries.where(_sound(entries)).select(
         F.coalesce("list", F.lit("")).alias("list"), "kind", F.lower(F.trim("key")).alias("key"), "action", F.coalesce(F.col("at"), F.lit("0001-01-01 00:00:00").cast("timestamp")).alias("valid_from")
     )
     held = clean.selectExpr("*", "lead(valid_from) over (partition by list, kind, key order by valid_from, action) as valid_to")
@@ -85,9 +98,10 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     name. A null or malformed URL and a null fetch time match nothing and are not blocked. A
     null ``page_id`` stays null; repeated rows are judged one by one. Empty tables give empty results.
     """
-    # one number says which of two entries decides, so grouping needs neither a sort nor the entries' strings
-    order = "row_number() over (order by length(key) desc, kind, list, key, valid_from) as e_rank"
-    valid = intervals(entries).selectExpr("list as e_list", "kind as e_kind", "key as e_key", "valid_from", "valid_to", order)
+    # one number says which of two entries decides, so grouping needs neither a sort nor the entries' strings;
+    # after a sort by ranges, partition by partition, this one ascends
+    order = intervals(entries).orderBy(F.desc(F.length("key")), "kind", "list", "key", "valid_from")
+    valid = cut(order.selectExpr("list as e_list", "kind as e_kind", "key as e_key", "valid_from", "valid_to", "monotonically_increasing_id() as e_rank"))
     small = valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     side = F.broadcast if small else (lambda df: df)
     given = captures.select("page_id", "url", "fetch_time").withColumn("__dp_row", F.monotonically_increasing_id())
@@ -116,7 +130,7 @@ def verdicts_sql() -> str:
     parts AS (
       SELECT r, fetch_time, string_split(rtrim(lower(regexp_extract(url, '{_HOST}', 1)), '.'), '.') AS labels, lower(regexp_extract(url, '{_PATH}', 1)) AS seg FROM captures
     ),
-    names AS (SELECT r, fetch_time, seg, array_to_string(labels[i:len(labels)], '.') AS name FROM parts, range(1, 12) t(i) WHERE i < len(labels)),
+    names AS (SELECT r, fetch_time, seg, array_to_string(labels[i:len(labels)], '.') AS name FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM parts)),
     asked AS (SELECT r, fetch_time, name AS key FROM names UNION ALL SELECT r, fetch_time, name || '/' || seg FROM names WHERE seg <> ''),
     last AS (
       SELECT a.r, e.list, e.kind, e.key, arg_max(e.action, (e.since, e.action)) AS action
