@@ -13,7 +13,9 @@ their common prefix and computes those of the rest. A forward state holds
   neighbour when the two are merged by priority. So the same pass over the
   same states gives the model's own ids.
 
-Words are looked up once found; occurrences are gathered with arrays.
+Words fall apart further at places that no piece covers, between a letter and a
+mark that are neighbours in none. Such fragments are looked up once found;
+occurrences are told apart and gathered with arrays.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +36,16 @@ from docparity.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words a worker remembers; bounds memory, not results.
-REMEMBERED = 500_000
+#: Bytes of text a worker encodes at once.
+SLICE = 8 << 20
+#: Distinct fragments of words a worker remembers; bounds memory, not results.
+REMEMBERED = 400_000
 #: Pairs of pieces of which a worker remembers whether they stay apart; the same.
-APART = 800_000
-_NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
+APART = 600_000
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
+#: Bits of a symbol in a pair: ids, then letters.
+_BITS = 22
 UNIGRAM, BPE = 1, 2
 
 
@@ -88,6 +96,9 @@ class Model:
         self.kind = trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models have segmentations to search")
+        self.user = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == _USER}
+        if self.user and (self.kind != BPE or any(" " in p or MARK in p for p in self.user)):
+            raise ValueError("user-defined pieces are supported in BPE models only, and without white space")
         if normalizer.get(2) or trainer.get(24):
             raise ValueError("models with a normalization table or marks at word ends are not supported")
         self.dummy_prefix = bool(normalizer.get(3, 1))
@@ -102,19 +113,26 @@ class Model:
         self.alphabet = letters
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces go across words")
-        # a line end in no piece stands alone, so lines can be cut there as well
-        self.splitter = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if "\n" not in letters else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # a line end in no piece stands alone, so lines can be cut there as well, unless unknown letters next to it were one with it
+        self.splitter = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if "\n" not in letters and self.byte_fallback else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # user-defined pieces stand alone, the longest first; a letter and a mark that are neighbours in no piece are never merged
+        self._user = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
+        spans = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if re.match(_LETTER, p[i])}
+        apart = "".join(sorted(c for c in letters if c.isascii() and not c.isalnum() and not c.isspace() and c not in spans))
+        self.cut = f"({_LETTER})([{re.escape(apart)}])" if apart else None
         # no two pieces but runs of marks may have one score: then merges have one order
         seen: dict[float, str] = {}
         self.ties = {s for s in (self.scores[i] for p, i in self.ids.items() if len(p) > 1) if s in seen or seen.setdefault(s, "x") is None}
         self._rank = {p: self.scores[i] for p, i in self.ids.items()}
-        self._apart: dict[tuple[str, str], bool] = {}
-        self._own = {p: p for p in self.ids}  # one string object for each piece, however often it is kept
-        # lengths, longest first, of the pieces that end in given two letters (or are one letter)
+        self._apart: dict[int, bool] = {}
+        # lengths, longest first, of the pieces that end in given three letters, or in given two where no longer one ends so
         ending: dict[str, set[int]] = {}
         for p in self.ids:
-            ending.setdefault(p[-2:], set()).add(len(p))
+            ending.setdefault(p[-3:], set()).add(len(p))
+        for e, x in ending.items():
+            x |= {n for n in (1, 2) if e[-n:] in self.ids}
         self._ending = {e: sorted(x, reverse=True) for e, x in ending.items()}
+        self._length = [len(p) for p in self.pieces]
         self._raw: list[bytes] = []
         for p, t in zip(self.pieces, self.types):
             self._raw.append(bytes([int(p[3:5], 16)]) if t == _BYTE else b"" if t == 3 else " ⁇ ".encode() if t == _UNKNOWN else p.replace(MARK, " ").encode())
@@ -168,32 +186,34 @@ class Model:
             if at:
                 ranks[at - 1] = rank.get(parts[at - 1] + parts[at])
 
-    def _stay_apart(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self._apart.get(key)
-        if found is None:
-            if len(self._apart) > APART:
-                self._apart.clear()
-            own = self._own.get
-            found = self._apart[own(a, a), own(b, b)] = self.merged(a + b) == ([a, b] if a else [b])
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Whether the merges of the text of two symbols end in these two; ``left`` is -1 where nothing stands there."""
+        if len(self._apart) > APART:
+            self._apart.clear()
+        a, b = self._text(left), self._text(right)
+        found = self._apart[left << _BITS | right] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
+    def _text(self, symbol: int) -> str:
+        return "" if symbol < 0 else self.pieces[symbol] if symbol < len(self.pieces) else chr(symbol - len(self.pieces))
+
     # --- the forward pass ---
 
-    def _bpe_extend(self, word: str, last: list[str]) -> None:
-        """Append the last piece of the encoding of each prefix of ``word`` that is longer than those in ``last``."""
-        apart, ids, ending = self._apart.get, self.ids, self._ending.get
+    def _bpe_extend(self, word: str, last: list[int]) -> None:
+        """Append the last symbol of the encoding of each prefix of ``word`` that is longer than those in ``last``: a piece's id, or a letter that is no piece behind all ids."""
+        apart, ids, ending = self._apart.get, self.ids.get, self._ending.get
         for i in range(len(last), len(word) + 1):
-            for n in ending(word[i - 2 : i] if i > 1 else word[:i], ()):
+            lengths = ending(word[i - 3 : i]) if i > 2 else None
+            for n in lengths or ending(word[i - 2 : i] if i > 1 else word[:i]) or ending(word[i - 1 : i], ()):
                 start = i - n
-                if start >= 0 and (piece := word[start:i]) in ids:
+                if start >= 0 and (k := ids(word[start:i])) is not None:
                     left = last[start]
-                    ok = apart((left, piece))
-                    if ok or ok is None and self._stay_apart(left, piece):
-                        last.append(piece)
+                    ok = apart(left << _BITS | k)
+                    if ok or ok is None and self._stay_apart(left, k):
+                        last.append(k)
                         break
             else:
-                last.append(word[i - 1])
+                last.append(len(self.pieces) + ord(word[i - 1]))
 
     def _unigram_step(self, word: str, i: int, state: list[tuple[float, int]]) -> tuple[float, int]:
         """Best score of a segmentation of ``word[:i]`` and the start of its last piece; of equal scores the longest piece."""
@@ -209,9 +229,13 @@ class Model:
     def segmented(self, words: list[str]) -> dict[str, list[str]]:
         """Pieces of each word. Sorting lists the trie of the words depth-first; states of common prefixes are kept."""
         out: dict[str, list[str]] = {}
-        before, state = "", [("" if self.kind == BPE else (0.0, 0))]
+        bpe, lengths, n_pieces = self.kind == BPE, self._length, len(self.pieces)
+        before, state = "", [-1 if bpe else (0.0, 0)]
         for word in sorted(words):
-            if self.kind == BPE and word[:2] == MARK * 2:  # runs of marks share one score: their merges depend on the order
+            if word in self.user:
+                out[word] = [word]
+                continue
+            if bpe and word[:2] == MARK * 2:  # runs of marks share one score: their merges depend on the order
                 out[word] = self.merged(word)
                 continue
             same = 0
@@ -220,18 +244,18 @@ class Model:
                     break
                 same += 1
             del state[same + 1 :]
-            if self.kind == BPE:
+            if bpe:
                 self._bpe_extend(word, state)
             else:
                 for i in range(same + 1, len(word) + 1):
                     state.append(self._unigram_step(word, i, state))
             before = word
-            pieces, i = [], len(word)
+            found, i = [], len(word)
             while i:
-                start = i - len(state[i]) if self.kind == BPE else state[i][1]
-                pieces.append(word[start:i])
+                start = state[i][1] if not bpe else i - lengths[k] if (k := state[i]) < n_pieces else i - 1
+                found.append(word[start:i])
                 i = start
-            out[word] = pieces[::-1]
+            out[word] = found[::-1]
         return out
 
     def piece_ids(self, pieces: list[str]) -> list[int]:
@@ -242,7 +266,7 @@ class Model:
         out: list[int] = []
         was_unknown = False
         for p in pieces:
-            k = self.ids.get(p)
+            k = self.ids.get(p, self.user.get(p))
             if k is not None:
                 out.append(k)
             elif self.byte_fallback:
@@ -258,7 +282,13 @@ class Model:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return []
-        return self.splitter.findall((MARK + text if self.dummy_prefix else text).replace(" ", MARK))
+        return self.split((MARK + text if self.dummy_prefix else text).replace(" ", MARK))
+
+    def split(self, marked: str) -> list[str]:
+        """Marked words and user-defined pieces of marked text."""
+        if self._user is None or not self._user.search(marked):
+            return self.splitter.findall(marked)
+        return [w for x in self._user.split(marked) if x for w in ([x] if x in self.user else self.splitter.findall(x))]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of a sequence of ids; bytes that are no UTF-8 become U+FFFD, one each as the model's own library does."""
@@ -303,8 +333,15 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
+def _gathered(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the entries ``code`` of a list of lists one after the other, and where each entry's begin and the last ends."""
+    start, n = np.cumsum(size) - size, size[code]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class Encoder:
-    """Ids of whole columns; remembers the words it has met."""
+    """Ids of whole columns; remembers the fragments of words it has met."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -312,30 +349,65 @@ class Encoder:
         self.flat = np.zeros(0, np.int32)
         self.size = np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = [(w, self.model.piece_ids(p)) for w, p in self.model.segmented(words).items()]
-        for w, _ in ids:
-            self.place[w] = len(self.place)
-        self.flat = np.concatenate([self.flat, np.array([i for _, x in ids for i in x], np.int32)])
-        self.size = np.concatenate([self.size, np.array([len(x) for _, x in ids], np.int64)])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number for each text."""
-        words = [self.model.words(t) if t else [] for t in texts]
-        new = list({w for x in words for w in x} - self.place.keys())
+    def _learn(self, fragments: list[str]) -> None:
+        pieces = self.model.segmented(fragments)
+        ids = [self.model.piece_ids(pieces[f]) for f in fragments]
+        self.place.update(zip(fragments, range(len(self.place), len(self.place) + len(fragments))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.size = np.concatenate([self.size, np.array([len(x) for x in ids], np.int64)])
+
+    def _units(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct fragments; those of distinct units as places in them, and how many each unit has; the units of all texts as places, and how many each text has.
+
+        A text with single spaces falls into units at these; they fall into fragments at line ends and
+        where :attr:`Model.cut` says. In other texts each word the model's expression finds is a unit and a fragment.
+        """
+        model = self.model
+        if model.dummy_prefix and not model.user:
+            odd = pc.fill_null(pc.match_substring_regex(column, f"^$|^ |  | $|{MARK}|\\x00"), True).to_numpy(zero_copy_only=False)
+        else:
+            odd = np.ones(len(column), bool)
+        split = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        code, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(len(column), np.int64)
+        n[~odd] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        units = pc.binary_join_element_wise(MARK, coded.dictionary, "")
+        if model.byte_fallback and "\n" not in model.alphabet:
+            units = pc.replace_substring(units, "\n", "\0\n\0")
+        if model.cut:
+            units = pc.replace_substring_regex(units, model.cut, "\\1\0\\2")
+        split = pc.split_pattern(units, "\0")
+        flat = pc.list_flatten(split)
+        there = pc.greater(pc.binary_length(flat), 0)
+        coded = flat.filter(there).dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        size = np.diff(np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[ends])
+        names, part = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if odd.any():
+            words = [model.words(t) if t else [] for t in column.filter(pa.array(odd)).to_pylist()]
+            own: dict[str, int] = {}
+            more = np.fromiter((own.setdefault(w, len(own)) for x in words for w in x), np.int64) + len(size)
+            n[odd] = [len(x) for x in words]
+            both, where = np.empty(len(code) + len(more), np.int64), np.repeat(odd, n)
+            both[where], both[~where] = more, code
+            code, size, part = both, np.concatenate([size, np.ones(len(own), np.int64)]), np.concatenate([part, len(names) + np.arange(len(own))])
+            names += own
+        return names, part, size, code, n
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and the number for each text; none for null."""
+        names, part, n_parts, code, n_units = self._units(column)
+        new = list(dict.fromkeys(f for f in names if f not in self.place))
         known, flat_known = len(self.place), len(self.flat)
         self._learn(new)
-        code = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
-        start = np.concatenate([[0], np.cumsum(self.size)])
-        n = self.size[code]
-        before = np.concatenate([[0], np.cumsum(n)])
-        flat = self.flat[np.repeat(start[:-1][code] - before[:-1], n) + np.arange(before[-1])]
-        ends = np.cumsum([0, *map(len, words)])
+        place = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        flat, ends = _gathered(self.flat, self.size, place[part])
+        flat, ends = _gathered(flat, np.diff(ends[np.concatenate([[0], np.cumsum(n_parts)])]), code)
         if len(self.place) > REMEMBERED:  # what is full forgets the latest words, as rare ones come late
-            for w in new:
-                del self.place[w]
+            for f in new:
+                del self.place[f]
             self.flat, self.size = self.flat[:flat_known], self.size[:known]
-        return flat, np.diff(before[ends])
+        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(n_units)])])
 
 
 @lru_cache(maxsize=1)
@@ -348,11 +420,10 @@ def _encode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                texts = part.column("text").to_pylist()
-                flat, sizes = encoder.encode(texts)
+            for part in slices(batch, "text", SLICE):
+                flat, sizes = encoder.encode(part.column("text"))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                gone = np.array([t is None for t in texts])
+                gone = pc.is_null(part.column("text")).to_numpy(zero_copy_only=False)
                 offsets = pa.array(ends.astype(np.int32), mask=np.append(gone, False))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])

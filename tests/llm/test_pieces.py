@@ -1,6 +1,8 @@
 import random
 import struct
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import ODD, docs
@@ -13,7 +15,7 @@ MODEL = pieces.load(pieces.MODEL)
 
 def both(texts):
     enc = pieces.Encoder(MODEL)
-    flat, sizes = enc.encode(texts)
+    flat, sizes = enc.encode(pa.array(texts, pa.string()))
     out, at = [], 0
     for n in sizes:
         out.append(flat[at : at + n].tolist())
@@ -49,12 +51,12 @@ def test_forgetting_changes_nothing(monkeypatch):
     enc = pieces.Encoder(MODEL)
     for i in range(5):
         texts = [f"word{j} again and again {i}" for j in range(30)]
-        flat, sizes = enc.encode(texts)
+        flat, sizes = enc.encode(pa.array(texts, pa.string()))
         assert flat.tolist() == [x for t in SP.encode(texts) for x in t]
 
 
-def unigram(entries):
-    """Bytes of a unigram model with these (piece, score)."""
+def unigram(entries, kind=1, user=()):
+    """Bytes of a model with these (piece, score) and user-defined pieces; of a unigram one, if not told otherwise."""
 
     def field(n, data):
         return bytes([n << 3 | 2, *_varint(len(data))]) + data
@@ -69,8 +71,36 @@ def unigram(entries):
     def piece(text, score, kind):
         return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + bytes([3 << 3, kind]))
 
-    body = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3) + b"".join(piece(t, s, 1) for t, s in entries)
-    return body + field(2, bytes([3 << 3, 1])) + field(3, field(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1]))
+    body = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3) + b"".join(piece(t, s, 1) for t, s in entries) + b"".join(piece(t, 0.0, 4) for t in user)
+    return body + field(2, bytes([3 << 3, kind])) + field(3, field(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1]))
+
+
+def test_user_defined_pieces():
+    data = unigram([("▁", -9.0), ("a", -8.0), ("x", -7.0), ("y", -6.0), ("ax", -1.0), ("ya", -2.0), ("▁a", -3.0), (",", -5.0)], 2, ["xy", "xyx", "é"])
+    theirs, model = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Model(data)
+    rng = random.Random(3)
+    texts = ["axya", "xy", "xyxy", "a xy a", "ax,xy", *("".join(rng.choices("axyé, \n", k=rng.randrange(30))) for _ in range(200))]
+    flat, sizes = pieces.Encoder(model).encode(pa.array(texts))
+    assert flat.tolist() == [i for t in texts for i in theirs.encode(t)] and sizes.tolist() == [len(theirs.encode(t)) for t in texts]
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.Model(unigram([("a", -1.0)], 1, ["xy"]))
+
+
+def test_unigram_model_over_a_table(spark, tmp_path):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rng, seen = random.Random(5), Counter(w[i:j] for t in texts for w in t.replace("\n", " ").split() for i in range(len(w)) for j in range(i + 1, min(len(w), i + 5) + 1))
+    # scores that no two pieces share, so that the best segmentation is one
+    entries = [("▁", -4.0), *((c, -9 - rng.random()) for c in sorted({c for t in texts for c in t if not c.isspace()})), *((p, -5 - rng.random() * 4) for p, n in seen.most_common(1500) if len(p) > 1)]
+    path = tmp_path / "own.model"
+    path.write_bytes(unigram(entries))
+    theirs, own = sentencepiece.SentencePieceProcessor(model_proto=path.read_bytes()), dict(entries)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pieces.load(str(path))
+    for r in pieces.encode(table, str(path)).collect():
+        want = theirs.encode(texts[r["doc_id"]])
+        score = lambda ids: sum(own.get(model.pieces[i], 0.0) for i in ids)
+        # the library adds up in single precision over the whole text, so it may take a slightly worse one of two that are nearly equal
+        assert r["ids"] == want or score(want) - 1e-6 <= score(r["ids"]) <= score(want) + 0.01
 
 
 def test_unigram_against_all_segmentations():
