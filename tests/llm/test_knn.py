@@ -33,8 +33,21 @@ def test_against_brute_force(spark, dim, n, grid):
     assert got(knn.top_k(table(spark, rows), k=5, shard_vectors=60, leaf=8)) == brute(rows, 5)
 
 
+def test_shards_of_a_cell_and_a_set_of_queries(spark):
+    x = np.random.default_rng(7).normal(size=(300, 4))
+    x[:100] = x[0]  # a third of all rows in one place
+    rows = list(zip(range(300), x.tolist()))
+    given = table(spark, rows)
+    want = {r for r in brute(rows, 5) if r[0] % 50 == 0}
+    assert got(knn.top_k(given, given.where("vec_id % 50 = 0"), k=5, shard_vectors=16, leaf=4, most_cells=4)) == want and len(want) == 30
+    assert got(knn.top_k(given, given.where("vec_id < 0"), k=5)) == set()
+    far = table(spark, [(-1, [50.0, 0, 0, 0]), (-2, [1.0])])
+    nearest = np.lexsort((range(300), ((x.astype(np.float32).astype(float) - [50, 0, 0, 0]) ** 2).sum(axis=1)))[:5]
+    assert [r["neighbor_id"] for r in knn.top_k(given, far, k=5).orderBy("rank").collect()] == nearest.tolist()
+
+
 def test_odd_rows(spark):
-    rows = [(1, [0, 0]), (2, [1, 0]), (2, [5, 5]), (3, [0, 1]), (4, [0, 0]), (None, [1, 1]), (5, None), (6, []), (7, [1]), (8, [None, 1]), (9, [float("nan"), 0]), (1, [0, 0])]
+    rows = [(1, [0, 0]), (2, [1, 0]), (2, [5, 5]), (3, [0, 1]), (4, [0, 0]), (None, [1, 1]), (5, None), (6, []), (7, [1]), (8, [None, 1]), (9, [float("nan"), 0]), (10, [float("inf"), 0]), (1, [0, 0])]
     assert got(knn.top_k(table(spark, rows), k=10)) == brute([(1, [0, 0]), (2, [1, 0]), (3, [0, 1]), (4, [0, 0])], 10)
 
 
