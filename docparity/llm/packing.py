@@ -23,8 +23,8 @@ from docparity.llm.common import cut
 
 #: Characters of a sequence: about 2,048 tokens of byte-level BPE.
 CAPACITY = 8192
-#: Ranks are dealt per (length, one of so many parts), so a length that very many documents share is no one task's work.
-RANK_PARTS = 32
+#: Pieces of one length that are ranked together, about; a length that more share falls into parts by hash, so it is no one task's work.
+PART_PIECES = 500_000
 #: Slots are broadcast up to this many, joined by shuffle beyond.
 BROADCAST_SLOTS = 200_000
 
@@ -207,18 +207,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataF
     which bin follows ``doc_id``.
     """
     n = F.coalesce(F.length(F.col(text)), F.lit(0))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("row"))
     count = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int")
-    pieces = given.select("doc_id", "n", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece")).select(
+    pieces = given.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece")).select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"),
         F.least(F.col("n") - F.col("piece").cast("long") * capacity, F.lit(capacity)).alias("length"),
-        F.pmod(F.coalesce("doc_id", F.lit(0)) + F.col("piece"), F.lit(RANK_PARTS)).cast("int").alias("part"),
+        F.xxhash64("doc_id", "piece", F.when(F.col("doc_id").isNull(), F.col("row"))).alias("hash"),
     )
     pieces = cut(pieces)
+    # at most one row for each length up to the capacity
+    histogram = {int(s): int(n) for s, n in pieces.where("length > 0").groupBy("length").count().collect()}
     full = pieces.where("length > 0")
-    counts = full.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = cut(counts)
-    histogram = {int(s): int(n) for s, n in counts.groupBy("length").agg(F.sum("n")).collect()}
+    if many := [(s, -(-n // PART_PIECES)) for s, n in histogram.items() if n > PART_PIECES]:
+        full = full.join(F.broadcast(docs.sparkSession.createDataFrame(many, "length int, parts long")), "length", "left")
+        full = full.withColumn("part", F.pmod("hash", F.coalesce("parts", F.lit(1).cast("long"))).cast("int")).drop("parts")
+    else:
+        full = full.withColumn("part", F.lit(0))
+    full = full.drop("hash")
+    counts = cut(full.groupBy("length", "part").agg(F.count("*").alias("n")))
     table = slots(histogram, capacity)
     spark = docs.sparkSession
     slot = spark.createDataFrame(table, "size long, from_rank long, to_rank long, from_bin long, each long, at long, fixed boolean")

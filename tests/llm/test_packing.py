@@ -96,6 +96,17 @@ def test_bins_against_brute_force(spark):
     assert n == sum(k for _, k in fixed) + sum(k for _, k in packing.best_fit(rest, 100)) >= -(-sum(pieces) // 100)
 
 
+@pytest.mark.parametrize("slots", [packing.BROADCAST_SLOTS, 0])
+def test_lengths_that_many_pieces_share(spark, monkeypatch, slots):
+    monkeypatch.setattr(packing, "PART_PIECES", 7)
+    monkeypatch.setattr(packing, "BROADCAST_SLOTS", slots)
+    rng = random.Random(4)
+    given = [(rng.choice([None, *range(30)]), "x" * rng.choice([10, 10, 10, 100, 250, 33])) for _ in range(300)]
+    rows = packing.pack(docs(spark, given), capacity=100).collect()
+    assert check(rows, given, 100) == check(packing.pack(docs(spark, given), capacity=100).collect(), given, 100)
+    assert len({(r["bin_id"], r["bin_offset"]) for r in rows}) == len(rows)
+
+
 def test_capacity_is_a_parameter(spark):
     check(packing.pack(docs(spark, [(1, LONG)]), capacity=7).collect(), [(1, LONG)], 7)
 
