@@ -17,6 +17,7 @@ the found spans is never changed.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -81,20 +82,24 @@ _AT_B, _DOT_B = rf"\s*{_OPEN}{_AT_WORD}{_SHUT}\s*", rf"\s*{_OPEN}{_DOT_WORD}{_SH
 _DOT_ALONE = "(?:dot|punto|punkt)"
 _AT_BARE, _DOT_BARE = r"\s+(?:at|arroba|arobase)\s+", rf"\s+{_DOT_ALONE}\s+"
 _MARK = "[-_*~|/]"
-_MARKS = rf"\s*{_MARK}+\s*"
-_AT_M, _DOT_M = rf"{_MARKS}{_AT_WORD}{_MARKS}", rf"{_MARKS}{_DOT_WORD}{_MARKS}"
+_MARKS, _MARKS_AFTER = rf"\s*(?<!{_MARK}){_MARK}+\s*", rf"\s*{_MARK}+\s*"
+_AT_M, _DOT_M = rf"{_MARKS}{_AT_WORD}{_MARKS_AFTER}", rf"{_MARKS}{_DOT_WORD}{_MARKS_AFTER}"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
-_LOCAL = rf"[\w+%-]+(?:(?:\.|{_DOT_B}|{_DOT_BARE})[\w+%-]+)*"
 # a bare "at" counts only if a dot is disguised as well: "look at example.com" is prose
-_DISGUISED = re.compile(
-    rf"(?<![\w])(?:{_LOCAL})(?:"
+_AT_HOST = re.compile(
     rf"(?:{_AT_B}|\s*@\s*){_LABEL}(?:(?:\.|{_DOT_B}|{_DOT_BARE}){_LABEL})+"
-    rf"|(?:{_AT_BARE}|{_AT_M}){_LABEL}(?:\.{_LABEL})*?(?:(?:{_DOT_M}|{_DOT_B}|{_DOT_BARE}){_LABEL})+(?:\.{_LABEL})*)",
+    rf"|(?:{_AT_BARE}|{_AT_M}){_LABEL}(?:\.{_LABEL})*?(?:(?:{_DOT_M}|{_DOT_B}|{_DOT_BARE}){_LABEL})+(?:\.{_LABEL})*",
     re.I,
 )
 _AT_DOT = re.compile(rf"(?P<at>{_AT_B}|{_AT_M}|\s*@\s*|{_AT_BARE})|(?P<dot>{_DOT_B}|{_DOT_M}|{_DOT_BARE})", re.I)
+# every disguise has an at; from there the local part is read backwards, so text without one costs one pass
+_AT_ANY = re.compile(rf"(?<!\s)(?:\s*+(?:[(\[{{<]\s*+{_AT_WORD}\s*+[)\]}}>]|(?<!{_MARK}){_MARK}++\s*+{_AT_WORD}\s*+{_MARK}|@)|\s++(?:at|arroba|arobase)\s)", re.I)
+_LOCAL_BACK = re.compile(r"[\w+%-]++(?:(?:\.|\s*+[)\]}>]\s*+(?:tod|otnup|tniop|tknup|\.)\s*+[(\[{<]\s*+|\s++(?:tod|otnup|tknup)\s++)[\w+%-]++)*+", re.I)
 # a bare "at" before plain dots counts after a local part that is no word: "jo.doe at example.com"
-_PLAIN_AT = re.compile(rf"(?<![\w.])[^\W_][\w+%-]*(?:[._][\w+%-]+)+(\s+at\s+){_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}(?!\w)", re.I)
+_BARE_AT = re.compile(r"(?<!\s)\s++at\s++", re.I)
+_NO_WORD_BACK = re.compile(r"[\w+%.-]++")
+_NO_WORD = re.compile(r"[+%-]*+(?=[^\W_][\w+%-]*[._][\w+%-])[\w+%-]++(?:\.[\w+%-]++)*+")
+_PLAIN_HOST = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}(?!\w)", re.I)
 # what each disguise has at least, of the same alternations; every address has a dot, so the marks around the at need no hint
 _DISGUISE = rf"{_OPEN}(?:{_AT_WORD}|{_DOT_WORD}){_SHUT}|\s{_DOT_ALONE}\s|\s@|@\s|{_MARK}\s*{_DOT_WORD}\s*{_MARK}|\sat\s+[^\s]*\.[a-z]"
 _DISGUISE_HINT = re.compile(_DISGUISE, re.I)
@@ -103,7 +108,8 @@ _DISGUISE_HINT = re.compile(_DISGUISE, re.I)
 
 _DETECT = (
     ("secret", re.compile(r"""(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b["']?\s*[:=]\s*["']?[^\s"']{8,}["']?|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_\w{36,}|\bsk-[\w-]{20,}|\b[0-9a-f]{32,64}\b""")),
-    ("email", re.compile(r"[\w+%-]+(?:\.[\w+%-]+)*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+|(?<!\S)\.[\w+%.-]+@[\w-]+(?:\.[\w-]+)+")),
+    # begins where no local part is under way, so a run is read once
+    ("email", re.compile(r"(?<![\w+%-])(?<![\w+%-]\.)[\w+%-]++(?:\.[\w+%-]++)*+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+|(?<!\S)\.[\w+%.-]+@[\w-]+(?:\.[\w-]+)+")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")),
@@ -196,11 +202,21 @@ def mail(a: Aligned) -> Aligned:
     """Disguised addresses to plain ones."""
     if not _DISGUISE_HINT.search(a.text):
         return a
-    edits = []
-    for m in _DISGUISED.finditer(a.text):
-        edits += [(x.start(), x.end(), "@" if x["at"] else ".", None) for x in _AT_DOT.finditer(a.text, m.start(), m.end()) if x[0] not in ("@", ".")]
+    edits, done, back = [], 0, a.text[::-1]
+    for at in _AT_ANY.finditer(a.text):
+        if at.start() <= done or not (m := _AT_HOST.match(a.text, at.start())):
+            continue
+        local = _LOCAL_BACK.match(back, len(back) - at.start(), len(back) - done)
+        if local:
+            edits += [(x.start(), x.end(), "@" if x["at"] else ".", None) for x in _AT_DOT.finditer(a.text, len(back) - local.end(), m.end()) if x[0] not in ("@", ".")]
+            done = m.end()
     a = a.rewritten(edits)
-    return a.rewritten([(m.start(1), m.end(1), "@", None) for m in _PLAIN_AT.finditer(a.text)])
+    plain, back = [], a.text[::-1]
+    for at in _BARE_AT.finditer(a.text):
+        local = _NO_WORD_BACK.match(back, len(back) - at.start())
+        if local and _NO_WORD.fullmatch(a.text, len(back) - local.end(), at.start()) and _PLAIN_HOST.match(a.text, at.end()):
+            plain.append((at.start(), at.end(), "@", None))
+    return a.rewritten(plain)
 
 
 def hints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,20 +241,23 @@ def find(text: str, folds: bool = True, spelled: bool = True, disguised: bool =
             a = step(a)
     if not _TRIGGER.search(a.text):
         return []
-    found: list[tuple[str, int, int, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # ascending and apart
+
+    def add(kind: str, s: int, e: int, normal: str) -> None:
+        k = bisect.bisect(found, (s,))
+        if (not k or found[k - 1][1] <= s) and (k == len(found) or e <= found[k][0]):
+            found.insert(k, (s, e, kind, normal))
+
     for kind, pattern in _DETECT:
         for m in pattern.finditer(a.text):
-            if kind == "iban" and not _iban_ok(m[0]):
-                continue
-            s, e = a.source(m.start(), m.end())
-            if all(e <= x[1] or x[2] <= s for x in found):
-                found.append((kind, s, e, m[0]))
+            if kind != "iban" or _iban_ok(m[0]):
+                add(kind, *a.source(m.start(), m.end()), m[0])
     if spelled:  # digits that someone took the trouble to spell are no ordinary number
         for m in _RUN.finditer(a.text):
             s, e = a.source(m.start(), m.end())
-            if any(c.isalpha() for c in text[s:e]) and all(e <= x[1] or x[2] <= s for x in found):
-                found.append(("phone", s, e, m[0]))
-    return sorted(found, key=lambda x: x[1])
+            if any(c.isalpha() for c in text[s:e]):
+                add("phone", s, e, m[0])
+    return [(kind, s, e, normal) for s, e, kind, normal in found]
 
 
 def find_all(column: pa.Array) -> tuple[list[str | None], list[list[tuple[str, int, int, str]]]]:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -113,3 +114,17 @@ def test_hints_let_every_disguise_pass(monkeypatch):
 def test_keys_without_digits(key):
     text = f"use {key} here"
     assert kinds(text) == [("secret", key, key)] and pii.find_all(pa.array([text]))[1] == [pii.find(text)]
+
+
+RUNS = {
+    "a": "a" * 1_000_000 + " 1", "a-": "a-" * 500_000 + " @ x", "hex": "".join(random.Random(0).choices("0123456789abcdef", k=1_000_000)) + " (at) x", "a.": "a." * 500_000 + "@ ",
+    "base64url": "".join(random.Random(1).choices("ABCDEabcdefghijklmnopqrstuvwxyz0123456789-_", k=1_000_000)) + " @ x.y at", "dots": "a dot " * 170_000 + " at b", "blanks": " " * 1_000_000 + "@ 1",
+    "dashes": "-" * 1_000_000 + " at 1 @ ", "a_": "a_" * 500_000 + " at x.de", "ats": "at " * 330_000 + "@ dot 1", "host": "x@" + "a" * 1_000_000, "many": "jo (at) x (dot) de " * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_long_runs_take_linear_time(name):
+    began = time.process_time()
+    found = pii.find(RUNS[name])
+    assert time.process_time() - began < 8 and len(found) == {"a_": 1, "many": 50_000}.get(name, len(found))
