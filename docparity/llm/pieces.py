@@ -37,11 +37,11 @@ from docparity.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text a worker encodes at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Distinct fragments of words a worker remembers; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Pairs of pieces of which a worker remembers whether they stay apart; the same.
-APART = 600_000
+APART = 400_000
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 #: Bits of a symbol in a pair: ids, then letters.
