@@ -12,7 +12,7 @@ from docparity.operators import equivalence as E
 from docparity.operators import escalation as A
 from docparity.operators import images, report, validators
 from docparity.plans import inputs as I
-from docparity.plans.confidence import _metrics
+from docparity.plans.confidence import _CT, _TEXT, _WIN, _metrics, _ratios, _sums
 from docparity.plans.registry import query, r6, r6_sql
 from docparity.schemas import QUALITIES
 from docparity.streaming import ingest
@@ -230,7 +230,12 @@ def k_json(spark, sf_dir):
     return j.select(F.from_json("j", "n_nationkey int, name string, region int, gone string").alias("v")).select("v.*")
 
 
-@query("k3_pipeline_reports")
+_N = lambda c: f"CASE WHEN success THEN {c}::VARCHAR ELSE '-' END"
+
+
+@query("k3_pipeline_reports", f"""WITH {_WIN} SELECT doc_id, '| pipeline | status | time (s) | content | tables | figures | text length |' || chr(10) || '|---|---|---|---|---|---|---|' || chr(10)
+  || string_agg('| ' || concat_ws(' | ', pipeline, CASE WHEN success THEN 'ok' ELSE 'failed' END, {', '.join(map(_N, ('time_seconds', 'elements', '0', '0', 'text_length')))}) || ' |', chr(10) ORDER BY ord)
+  || chr(10) || chr(10) || '- **Fastest:** ' || fastest || chr(10) || '- **Most content:** ' || most_content AS report FROM pm JOIN wi USING (doc_id) GROUP BY doc_id, fastest, most_content""")
 def k_reports(spark, sf_dir):
     m = _metrics(spark, sf_dir)
     return report.pipeline_report(m, A.winners(m), "markdown")
@@ -281,7 +286,12 @@ def diff_images(spark, sf_dir):
 # --- streaming ---
 
 
-@query("stream_text_scores")
+_LINES = I.EL.replace(I.MD, "md AS (SELECT doc_id, coalesce(text, '') AS md FROM documents)")
+_LINE_COUNTS = _CT.replace(I.BX, f"{_LINES}, bx AS (SELECT *, NULL::INTEGER AS page, 1e0 AS x FROM el)")
+
+
+# a text without lines only loses what empty blocks cost
+@query("stream_text_scores", f"WITH {_LINE_COUNTS}, s AS ({_sums('doc_id')}), r AS ({_ratios('s')}) SELECT doc_id, round(coalesce({_TEXT}, 0.7e0), 6) AS text_score FROM documents LEFT JOIN r USING (doc_id)")
 def stream_text_scores(spark, sf_dir):
     """The projection the stream runs, here over the whole table at once; tests run it as a stream."""
     return ingest.text_scores(I.table(spark, sf_dir, "documents")).select("doc_id", F.round("text_score", 6).alias("text_score"))

@@ -9,7 +9,7 @@ from docparity.functions import geometry as G
 from docparity.functions import text as T
 from docparity.plans import inputs as I
 from docparity.plans.registry import query, r6, r6_sql
-from docparity.sources import files, html, markdown, model_json, spans
+from docparity.sources import converters, files, html, markdown, model_json, spans
 
 _W = T.WHITE
 
@@ -206,6 +206,14 @@ def s_regions(spark, sf_dir):
     return spans.table_regions(I.cells(spark, sf_dir))
 
 
+@query("s9_text_tables", f"""WITH {I.SP}, tx AS (SELECT *, (block - 1) // 3 + 1 AS page FROM li0 WHERE block % 7 <> 6)
+SELECT doc_id, 'tab_p' || page || '_t1' AS id, page, string_agg('part ' || part || '|' || supp, ';' ORDER BY block) AS rows, 50e0 AS x0, min(block) * 40e0 AS y0, 170e0 AS x1, max(block) * 40e0 + 12 AS y1
+FROM tx GROUP BY doc_id, page HAVING count(*) >= 3""")
+def s_text_tables(spark, sf_dir):
+    words = I.spans(spark, sf_dir).where("block_type = 0")
+    return spans.found_tables(spans.TableSettings("text", "text"), words=words).select("doc_id", "id", "page", _flat("rows"), "x0", "y0", "x1", "y1")
+
+
 @query("s3_page_count", f"WITH {I.SP} SELECT doc_id, count(DISTINCT page) AS pages FROM sp GROUP BY doc_id")
 def s_pages(spark, sf_dir):
     return spans.page_count(I.spans(spark, sf_dir))
@@ -227,6 +235,14 @@ def p_service(spark, sf_dir):
     return spans.service_elements(I.spans(spark, sf_dir)).select("doc_id", "id", "type", "content", "font_size", *r6("x", "y", "width", "height"))
 
 
+@query("p8_service_boxes", f"""WITH {I.SP}, {I.CE}, bo AS (
+  SELECT doc_id, ((block - 1) // 3 + 1)::INTEGER AS page, 'tool_img_' || block AS id, 'figure' AS type, 'Image (120x12)' AS content, 50e0 AS x0, block * 40e0 AS y0, 170e0 AS x1, block * 40e0 + 12 AS y1 FROM li0 WHERE block % 7 = 6
+  UNION ALL SELECT doc_id, page, 'tool_table_0', 'table', 'Table (' || count(*) || ' rows × 2 cols)', min(x0), min(y0), max(x1), max(y1) FROM ce GROUP BY doc_id, page)
+SELECT doc_id, page, id, type, content, round(x0 * 150 / 72, 6) AS x, round(y0 * 150 / 72, 6) AS y, round((x1 - x0) * 150 / 72, 6) AS width, round((y1 - y0) * 150 / 72, 6) AS height FROM bo""")
+def p_service_boxes(spark, sf_dir):
+    return spans.service_boxes(I.spans(spark, sf_dir), I.cells(spark, sf_dir)).select("doc_id", "page", "id", "type", "content", *r6("x", "y", "width", "height"))
+
+
 @query("p9_second_extractor", f"""WITH {_SV} SELECT doc_id, replace(id, 'tool_', 'vlm_') AS id, CASE WHEN type = 'paragraph' AND len(content) < 50 THEN 'caption' ELSE type END AS type,
   round(x + 2, 6) AS x, round(y + 1, 6) AS y, round(width - 4, 6) AS width, round(height - 2, 6) AS height FROM sv""")
 def p_second(spark, sf_dir):
@@ -293,11 +309,27 @@ def j_documents(spark, sf_dir):
     return d.select("conv_id", F.explode("d.content").alias("e")).select("conv_id", "e.id", "e.type", "e.content")
 
 
-@query("j4_prompts", "SELECT * FROM (VALUES ('academic_paper', true), ('blog_post', true), ('report', false), (NULL, false)) t(category, special)")
+_ASK = (
+    "Read the page image and answer with one JSON object that has the fields title, authors, abstract, keywords, content (type, text, level), tables (caption, data) and figures (caption). Leave out what the page does not show."
+)
+
+
+@query("j4_prompts", f"""SELECT doc_id, '{_ASK}' || CASE {I.CATEGORY} WHEN 'academic_paper' THEN ' Mind the abstract, section headings, captions and references.' WHEN 'blog_post' THEN ' Mind the author, the date of publication, tags and the main text.'
+  WHEN 'technical_documentation' THEN ' Mind code blocks, command lines, parameter tables and cross-references.' ELSE '' END AS prompt FROM documents""")
 def j_prompts(spark, sf_dir):
-    c = spark.createDataFrame([("academic_paper",), ("blog_post",), ("report",), (None,)], "category string")
-    base = model_json.extraction_prompt(F.lit(None).cast("string"))
-    return c.select("category", (model_json.extraction_prompt(F.col("category")) != base).alias("special"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", model_json.extraction_prompt(F.expr(I.CATEGORY)).alias("prompt"))
+
+
+@query("s11_tables_from_images", """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'table_' || event_id END AS id, CASE WHEN event_id % 4 < 2 THEN 'of ' || user_id END AS caption, CASE WHEN event_id % 4 < 2 THEN 'k|' || (props->>'k') || ';|' END AS rows,
+  CASE WHEN event_id % 4 = 0 THEN 3 END AS page, CASE WHEN event_id % 4 >= 2 THEN 'no table in the answer' END AS error FROM events""")
+def s_image_tables(spark, sf_dir):
+    k = "get_json_object(props, '$.k')"
+    rows = f"""'{{"rows": [["k", "', {k}, '"], ["", null]], "caption": "of ', user_id, '"'"""
+    kinds = f"""CASE event_id % 4 WHEN 0 THEN concat({rows}, ', "bbox": {{"page": 3, "x": 1.5}}}}') WHEN 1 THEN concat('Here:\\n```json\\n', {rows}, '}}\\n```') WHEN 2 THEN 'There is no table.' ELSE '{{"caption": "only"}}' END"""
+    e = I.table(spark, sf_dir, "events").select("event_id", F.expr(kinds).alias("raw"))
+    v = e.select("event_id", model_json.table_answer(F.col("raw"), F.concat(F.lit("table_"), F.col("event_id").cast("string"))).alias("a"))
+    flat = F.when(F.col("a.value").isNotNull(), F.array_join(F.transform("a.value.rows", lambda r: F.array_join(r, "|")), ";"))
+    return v.select("event_id", "a.value.id", "a.value.caption", flat.alias("rows"), F.col("a.value.bbox.page").alias("page"), "a.error")
 
 
 @query("j5_categories", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'report' WHEN 1 THEN 'academic_paper' ELSE 'blog_post' END AS category FROM documents")
@@ -306,6 +338,44 @@ def j_categories(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", T.category_by_name(name, schemas.CATEGORIES).alias("category"))
 
 
+# --- converters ---
+
+
+@query("s2_laid_out_text", f"""WITH {I.TF}, ln AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM tf)
+SELECT path AS doc_id, (n // 60 + 1)::INTEGER AS page, (n % 60)::INTEGER AS block, line AS text, round(n % 60 * 12e0, 6) AS y0, len(line) * 5e0 AS x1, false AS failed FROM ln WHERE {I.strip_sql('line')} <> ''
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, true FROM tf WHERE text IS NULL""")
+def s_laid_out(spark, sf_dir):
+    s = converters.to_spans(I.text_files(spark, sf_dir), converters.plain_spans)
+    return s.select("doc_id", "page", "block", "text", F.round("y0", 6).alias("y0"), "x1", F.col("error").isNotNull().alias("failed"))
+
+
+def _counts(content: bytes) -> dict:
+    text = content.decode("utf-8")
+    return {"lines": text.count("\n") + 1, "characters": len(text)}
+
+
+@query("s5_json", f"WITH {I.TF} SELECT path, CASE WHEN text IS NOT NULL THEN json_object('lines', len(string_split(text, chr(10))), 'characters', len(text))::VARCHAR END AS json, text IS NULL AS failed FROM tf")
+def s_json(spark, sf_dir):
+    return converters.to_json(I.text_files(spark, sf_dir), _counts).select("path", "json", F.col("error").isNotNull().alias("failed"))
+
+
+@query("s6_described", f"""WITH {I.EL}, ne AS (SELECT doc_id, count(*) AS n FROM el GROUP BY doc_id)
+SELECT doc_id, source AS title, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE n END::INTEGER AS elements, CASE WHEN doc_id % 7 = 0 THEN lang ELSE source END AS first_content,
+  ['', 'table_1:0', 'table_1:0,table_2:0'][doc_id % 3 + 1] AS tables, CASE WHEN doc_id % 2 = 0 THEN 'figure_1=' || lang || ',figure_2=?' ELSE '' END AS figures FROM documents JOIN ne USING (doc_id)""")
+def s_described(spark, sf_dir):
+    d = I.markdown(spark, sf_dir)
+    answer = F.struct(
+        F.col("source").alias("title"), F.when(F.col("doc_id") % 7 != 0, F.col("md")).alias("markdown"), F.col("lang").alias("text"), (F.col("doc_id") % 3).cast("int").alias("tables"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.col("lang"), F.lit(None).cast("string"))).alias("pictures"),
+    )
+    d = d.select("doc_id", converters.described(answer.cast(converters.DESCRIBED)).alias("d"))
+    return d.select(
+        "doc_id", "d.title", F.size("d.content").alias("elements"), F.get("d.content", F.lit(0))["content"].alias("first_content"),
+        F.array_join(F.transform("d.tables", lambda t: F.concat(t["id"], F.lit(":"), F.size(t["rows"]).cast("string"))), ",").alias("tables"),
+        F.array_join(F.transform("d.figures", lambda f: F.concat(f["id"], F.lit("="), F.coalesce(f["caption"], F.lit("?")))), ",").alias("figures"),
+    )
+
+
 # --- files ---
 
 

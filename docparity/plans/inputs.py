@@ -58,8 +58,8 @@ bx AS (
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, table_no, page, cells): an order's lines as a table of every fifth document, ragged and with empty cells; an order without lines is a table without rows."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id").distinct()
+    """(doc_id, table_no, page, cells): an order's lines as a table of each document, ragged and with empty cells; an order without lines is a table without rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id").distinct()
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")  # noqa: E741
     second = F.when(F.col("l_quantity") > 25, "").otherwise(F.col("l_linestatus"))
     cells = F.when(F.col("l_linenumber") % 4 == 0, F.array("l_returnflag", "l_linestatus", F.lit(""))).when(F.col("l_linenumber").isNotNull(), F.array(F.col("l_returnflag"), second))
@@ -68,16 +68,16 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TR = """tr AS (
   SELECT doc_id, CASE WHEN l_linenumber % 4 = 0 THEN [l_returnflag, l_linestatus, ''] WHEN l_linenumber IS NOT NULL THEN [l_returnflag, CASE WHEN l_quantity > 25 THEN '' ELSE l_linestatus END] END AS cells
-  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 = 0) LEFT JOIN lineitem ON doc_id = l_orderkey)"""
+  FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN lineitem ON doc_id = l_orderkey)"""
 
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, page, caption, label, width, height): a figure of every fourth document, without caption or area in some."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 1")
+    """(doc_id, page, caption, label, width, height): a figure of each document, without caption or area in some."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", (1 + F.col("doc_id") % 2).cast("int").alias("page"), F.when(F.col("doc_id") % 8 != 1, F.col("lang")).alias("caption"), F.col("source").alias("label"), (F.col("doc_id") % 3).cast("double").alias("width"), F.lit(10.0).alias("height"))
 
 
-FG = "fg AS (SELECT doc_id, (1 + doc_id % 2)::INTEGER AS page, CASE WHEN doc_id % 8 <> 1 THEN lang END AS caption, source AS label, (doc_id % 3)::DOUBLE AS width, 10e0 AS height FROM documents WHERE doc_id % 4 = 1)"
+FG = "fg AS (SELECT doc_id, (1 + doc_id % 2)::INTEGER AS page, CASE WHEN doc_id % 8 <> 1 THEN lang END AS caption, source AS label, (doc_id % 3)::DOUBLE AS width, 10e0 AS height FROM documents)"
 
 
 # --- order lines as text spans ---
@@ -192,3 +192,15 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 RP = f"""rp AS (
   SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN regexp_replace(h, '<title>[^<]*</title>', '<title> </title><meta property="og:title" content="Graph title">', 'g') ELSE h END AS html
   FROM (SELECT page_id, url, replace(replace(html, '</head>', '{_HEAD[0]}' || page_id || '{_HEAD[1]}' || page_id % 7 || '{_HEAD[2]}</head>'), '</article>', '{_MORE[0]}' || page_id || '{_MORE[1]}' || page_id || '{_MORE[2]}</article>') AS h FROM pages))"""
+
+
+# --- files that converters read ---
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): the documents as files of text, every tenth of them broken."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 10 == 3, F.unhex(F.lit("41FF"))).otherwise(F.encode("text", "UTF-8")).alias("content"))
+
+
+TF = "tf AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 <> 3 THEN text END AS text FROM documents)"

@@ -88,12 +88,33 @@ def to_document(doc_id: Column, answer: Column, category: Column | None = None,
     )
 
 
+#: What a model says of the image of one table.
+TABLE_ANSWER = f"struct<rows:array<array<string>>,caption:string,label:string,bbox:{schemas.BBOX}>"
+
+
+def table_answer(raw: Column, table_id: Column | None = None) -> Column:
+    """(value, error) of an answer to :func:`table_prompt`: one table under the given identifier; cells that are null are empty.
+
+    An answer that is no JSON, or has no rows, is an error; a null one gives nulls.
+    """
+    v = _parsed(fenced_text(raw), TABLE_ANSWER)
+    rows = F.transform(v["rows"], lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit(""))))
+    name = F.lit("table_1") if table_id is None else table_id
+    made = F.struct(name.alias("id"), v["caption"].alias("caption"), v["label"].alias("label"), v["bbox"].alias("bbox"), rows.alias("rows"))
+    bad = raw.isNotNull() & v["rows"].isNull()
+    return F.struct(F.when(v["rows"].isNotNull(), made).alias("value"), F.when(bad, "no table in the answer").alias("error"))
+
+
 # --- prompts ---
 
 _BASE = (
     "Read the page image and answer with one JSON object that has the fields title, authors, abstract, keywords, "
     "content (type, text, level), tables (caption, data) and figures (caption). Leave out what the page does not show."
 )
+_TABLE = (
+    "Read the one table in this image and answer with one JSON object that has the fields rows (a list of rows, each a list of cells), "
+    "caption, label and bbox (page, x, y, width, height). Give every cell its place; a cell without content is an empty string."
+)
 _BY_CATEGORY = {
     "academic_paper": "Mind the abstract, section headings, captions and references.",
     "blog_post": "Mind the author, the date of publication, tags and the main text.",
@@ -107,3 +128,8 @@ def extraction_prompt(category: Column) -> Column:
     for name, text in _BY_CATEGORY.items():
         more = F.when(category == name, f" {text}") if more is None else more.when(category == name, f" {text}")
     return F.concat(F.lit(_BASE), more.otherwise(""))
+
+
+def table_prompt() -> Column:
+    """The instruction that goes with the image of one table."""
+    return F.lit(_TABLE)

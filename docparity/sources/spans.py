@@ -7,6 +7,8 @@ is summed up from blocks, so text is shuffled once and never sorted globally.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,6 +94,68 @@ def table_regions(cells: DataFrame) -> DataFrame:
     return cells.groupBy("doc_id", "page", "table").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+@dataclass(frozen=True)
+class TableSettings:
+    """How tables are found: by ruled cells (``lines``, ``lines_strict``) or by where words stand (``text``). Distances are in points.
+
+    What only ruled lines need (``join_tolerance``, ``edge_min_length``,
+    ``intersection_tolerance``) is for the reader that finds the cells.
+    """
+
+    vertical_strategy: str = "lines"
+    horizontal_strategy: str = "lines"
+    snap_tolerance: float = 3
+    join_tolerance: float = 3
+    edge_min_length: float = 3
+    min_words_vertical: int = 3
+    min_words_horizontal: int = 1
+    text_tolerance: float = 3
+    intersection_tolerance: float = 3
+
+
+def _clusters(at: str, over: list[str], tolerance: float) -> tuple[Column, Column]:
+    """Number of the run of values, each no farther than the tolerance from the one before, and whether one begins (as ``__dp_new``)."""
+    w = W.partitionBy(*over).orderBy(at)
+    return F.sum("__dp_new").over(w.rangeBetween(W.unboundedPreceding, 0)), F.when(F.col(at) - F.lag(at).over(w) <= tolerance, 0).otherwise(1)
+
+
+def text_tables(words: DataFrame, settings: TableSettings = TableSettings("text", "text")) -> DataFrame:
+    """Tables without ruled lines: (doc_id, id, page, table, rows, x0, y0, x1, y1), at most one a page.
+
+    ``words``: doc_id, page, text, x0, y0, x1, y1. Words whose tops follow each other within
+    ``snap_tolerance`` are a row if there are ``min_words_horizontal`` of them; left edges that do so are
+    a column if there are ``min_words_vertical``. A word belongs to the last column that begins no
+    more than ``text_tolerance`` behind its left edge, to the first if none does; words of one cell are
+    joined by spaces, cells without words are empty. A page without columns has no table; words without text or position are left out.
+    """
+    page = ["doc_id", "page"]
+    t = words.select(*page, "text", "x0", "y0", "x1", "y1").where("trim(text) <> '' and x0 is not null and y0 is not null")
+    for at, name in (("y0", "__dp_row"), ("x0", "__dp_col")):
+        number, new = _clusters(at, page, settings.snap_tolerance)
+        t = t.withColumn("__dp_new", new).withColumn(name, number).drop("__dp_new")
+    t = t.withColumn("__dp_in_row", F.count("*").over(W.partitionBy(*page, "__dp_row"))).where(F.col("__dp_in_row") >= settings.min_words_horizontal)
+    edges = t.groupBy(*page, "__dp_col").agg(F.count("*").alias("n"), F.min("x0").alias("left")).where(F.col("n") >= settings.min_words_vertical)
+    edges = edges.groupBy(*page).agg(F.sort_array(F.collect_list("left")).alias("edges"))
+    placed = t.join(edges, page).withColumn("col", F.greatest(F.size(F.filter("edges", lambda e: e <= F.col("x0") + settings.text_tolerance)), F.lit(1)))
+    cell = placed.groupBy(*page, "__dp_row", "col").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "y0", "text"))), lambda w: w["text"]), " ").alias("text"), F.size(F.first("edges")).alias("cols"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+    )
+    corners = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    row = cell.groupBy(*page, "__dp_row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("cols").alias("cols"), *corners)
+    row = row.withColumn("cells", F.transform(F.sequence(F.lit(1), F.col("cols")), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))))
+    found = row.groupBy(*page).agg(F.transform(F.sort_array(F.collect_list(F.struct("__dp_row", "cells"))), lambda r: r["cells"]).alias("rows"), *corners)
+    return found.select("doc_id", F.format_string("tab_p%d_t%d", "page", F.lit(1)).alias("id"), "page", F.lit(1).alias("table"), "rows", "x0", "y0", "x1", "y1")
+
+
+def found_tables(settings: TableSettings, cells: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Tables by the strategies of the settings: of ruled ``cells``, or of ``words`` if both are ``text``."""
+    text = {settings.vertical_strategy, settings.horizontal_strategy}
+    if not text <= {"lines", "lines_strict", "text"} or ("text" in text and len(text) > 1):
+        raise ValueError(f"strategies {sorted(text)}: both must be 'text', or ruled lines")
+    return text_tables(words, settings) if "text" in text else tables(cells)
+
+
 # --- the service's variant ---
 
 
@@ -115,6 +179,18 @@ def service_table(rows: Column) -> Column:
     return F.format_string("Table (%d rows × %d cols)", F.size(rows), F.size(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>"))))
 
 
+def service_boxes(spans: DataFrame, cells: DataFrame, dpi: float = 150.0) -> DataFrame:
+    """The service's other elements, in pixels: a figure for each image block, a table for each table. Tables count from 0 on each page."""
+    k = F.lit(dpi / 72)
+    px = [(F.col("x0") * k).alias("x"), (F.col("y0") * k).alias("y"), ((F.col("x1") - F.col("x0")) * k).alias("width"), ((F.col("y1") - F.col("y0")) * k).alias("height")]
+    images = spans.where("block_type = 1").groupBy("doc_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    shown = service_image(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    figures = images.select("doc_id", "page", F.concat(F.lit("tool_img_"), F.col("block").cast("string")).alias("id"), F.lit("figure").alias("type"), shown.alias("content"), *px)
+    found = tables(cells).join(table_regions(cells), ["doc_id", "page", "table"])
+    number = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("table")) - 1
+    return figures.union(found.select("doc_id", "page", F.concat(F.lit("tool_table_"), number.cast("string")).alias("id"), F.lit("table").alias("type"), service_table(F.col("rows")).alias("content"), *px))
+
+
 def second_extractor(elements: DataFrame) -> DataFrame:
     """Stand-in for a second extractor: boxes shifted and shrunk a little, short paragraphs as captions. Needs id, type, content and a box."""
     return elements.withColumns({

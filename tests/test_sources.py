@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docparity import sinks
-from docparity.sources import converters, files, html
+from docparity.sources import converters, files, html, model_json, spans
 from docparity.streaming import ingest
 
 PAGE = """<html><head><title> T &amp; t </title><meta name="author" content="A, B"><meta name=keywords content="x, ,y"></head><body>
@@ -97,3 +97,47 @@ def test_converters(spark):
     got = {r["path"]: r for r in converters.merged_or_whole(converters.to_markdown(given, convert)).collect()}
     assert [e["content"] for e in got["a"]["elements"]] == ["T", "text more"] and got["a"]["error"] is None
     assert "Unicode" in got["b"]["error"] and [e["content"] for e in got["c"]["elements"]] == [""]
+
+
+def test_a_broken_file_is_a_row(spark):
+    given = spark.createDataFrame([("a", b"one\n\n  two"), ("b", b"\xff"), ("c", None), ("d", b" \n")], "path string, content binary")
+    got = converters.to_spans(given, converters.plain_spans).collect()
+    assert sorted((r["doc_id"], r["block"], r["text"]) for r in got if r["error"] is None) == [("a", 0, "one"), ("a", 2, "  two")]
+    failed = {r["doc_id"]: r["error"] for r in got if r["error"] is not None}
+    assert set(failed) == {"b", "c"} and failed["b"].startswith("UnicodeDecodeError")
+    made = {r["path"]: (r["json"], r["error"]) for r in converters.to_json(given, lambda b: {"n": len(b), "odd": {1}}).collect()}
+    assert made["a"] == ('{"n":10,"odd":"{1}"}', None) and made["c"][0] is None and "TypeError" in made["c"][1]
+
+
+def test_pdf_reader(spark):
+    got = converters.pdf_spans(spark.createDataFrame([("x.pdf", b"no pdf")], "path string, content binary")).collect()
+    assert len(got) == 1 and got[0]["doc_id"] == "x.pdf" and got[0]["error"] and got[0]["text"] is None
+
+
+def test_described(spark):
+    rows = [(1, ("T", "# h\nline", None, 2, ["a", None])), (2, (None, None, "whole", None, None)), (3, None), (4, (None, None, None, 0, []))]
+    got = {r["k"]: r["d"] for r in spark.createDataFrame(rows, f"k int, a {converters.DESCRIBED}").select("k", converters.described(F.col("a")).alias("d")).collect()}
+    assert [tuple(e) for e in got[1]["content"]] == [("elem_1", "heading", "h", 1), ("elem_2", "paragraph", "line", None)]
+    assert [tuple(t) for t in got[1]["tables"]] == [("table_1", []), ("table_2", [])] and [tuple(f) for f in got[1]["figures"]] == [("figure_1", "a"), ("figure_2", None)]
+    assert [e["content"] for e in got[2]["content"]] == ["whole"] and all(got[k]["content"] == got[k]["tables"] == got[k]["figures"] == [] for k in (3, 4))
+
+
+def test_tables_by_where_words_stand(spark):
+    words = [(1, 1, w, float(x), float(y), x + 10.0, y + 8.0) for w, x, y in (
+        ("a", 50, 100), ("b", 101, 101), ("c", 200, 99), ("d", 51, 120), ("e", 102, 121), ("f", 112, 120), ("g", 49, 140), ("h", 201, 141), ("i", 100, 142), ("j", 199, 160), ("k", 30, 180))]
+    words += [(1, 2, "lonely", 50.0, 10.0, 60.0, 18.0), (2, 1, None, 50.0, 10.0, 60.0, 18.0), (2, 1, "x", None, None, None, None)]
+    table = spark.createDataFrame(words, "doc_id long, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = spans.text_tables(table).collect()
+    assert [(r["doc_id"], r["id"], r["rows"]) for r in got] == [(1, "tab_p1_t1", [["a", "b", "c"], ["d", "e f", ""], ["g", "i", "h"], ["", "", "j"], ["k", "", ""]])]
+    assert (got[0]["x0"], got[0]["y0"], got[0]["x1"], got[0]["y1"]) == (30.0, 99.0, 211.0, 188.0)
+    strict = spans.TableSettings("text", "text", min_words_horizontal=2)
+    assert spans.found_tables(strict, words=table).first()["rows"] == [["a", "b c"], ["d", "e f"], ["g", "i h"]]
+    with pytest.raises(ValueError, match="strategies"):
+        spans.found_tables(spans.TableSettings("text", "lines"), words=table)
+
+
+def test_table_answers(spark):
+    raw = ['{"rows": [["a", null], null], "label": "Table 1"}', "```json\n{\"rows\": []}\n```", "none", '{"caption": "x"}', None]
+    got = spark.createDataFrame(list(enumerate(raw)), "k int, raw string").select("k", model_json.table_answer(F.col("raw")).alias("a")).orderBy("k").collect()
+    assert got[0]["a"]["value"]["rows"] == [["a", ""], []] and got[0]["a"]["value"]["id"] == "table_1" and got[1]["a"]["value"]["rows"] == []
+    assert [r["a"]["error"] is not None for r in got] == [False, False, True, True, False] and got[4]["a"]["value"] is None
