@@ -71,7 +71,7 @@ _DIGIT_WORD = r"(?:(?:double|triple)\s+)?(?:" + "|".join(sorted(_WORDS, key=len,
 _ITEM = rf"(?:{_DIGIT_WORD}\b|[0-9]+)"
 #: At least three in a row, one of them spelled; single number words are prose.
 _SPELLED = re.compile(rf"(?<!\w)(?={_ITEM}[\s,.()+-]+{_ITEM})(?:{_ITEM}(?:[\s,()-]+|[.]\s*)){{2,}}{_ITEM}(?!\w)", re.I)
-_SPELLED_HINT = re.compile(rf"(?<!\w){_DIGIT_WORD}\b[\s,.()+-]+{_ITEM}", re.I)
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}\b[\s,.()+-]+{_ITEM}|[0-9]++[\s,.()-]+{_DIGIT_WORD}\b)", re.I)
 _EACH = re.compile(rf"(?:(double|triple)\s+)?({'|'.join(sorted(_WORDS, key=len, reverse=True))}|[0-9])(?![a-zà-ÿ])", re.I)
 
 # --- transducer 3: at and dot ---
@@ -93,7 +93,7 @@ _AT_HOST = re.compile(
 )
 _AT_DOT = re.compile(rf"(?P<at>{_AT_B}|{_AT_M}|\s*@\s*|{_AT_BARE})|(?P<dot>{_DOT_B}|{_DOT_M}|{_DOT_BARE})", re.I)
 # every disguise has an at; from there the local part is read backwards, so text without one costs one pass
-_AT_ANY = re.compile(rf"(?<!\s)(?:\s*+(?:[(\[{{<]\s*+{_AT_WORD}\s*+[)\]}}>]|(?<!{_MARK}){_MARK}++\s*+{_AT_WORD}\s*+{_MARK}|@)|\s++(?:at|arroba|arobase)\s)", re.I)
+_AT_ANY = re.compile(rf"(?<!\s)(?:\s*+(?:[(\[{{<]\s*+{_AT_WORD}\s*+[)\]}}>]|(?<!{_MARK}){_MARK}++\s*+{_AT_WORD}(?=\s*+{_MARK})|@)|\s++(?:at|arroba|arobase)(?=\s))", re.I)
 _LOCAL_BACK = re.compile(r"[\w+%-]++(?:(?:\.|\s*+[)\]}>]\s*+(?:tod|otnup|tniop|tknup|\.)\s*+[(\[{<]\s*+|\s++(?:tod|otnup|tknup)\s++)[\w+%-]++)*+", re.I)
 # a bare "at" before plain dots counts after a local part that is no word: "jo.doe at example.com"
 _BARE_AT = re.compile(r"(?<!\s)\s++at\s++", re.I)
@@ -126,7 +126,7 @@ _OTHERWISE = {c for c in range(0x80, 0x10000) if chr(c).isspace()} | {0x0B, 0x1C
 _RE2 = (
     _TRIGGERS.replace(r"\b", ""),  # a word ends elsewhere for this matcher
     "[" + "".join(f"\\x{{{c:x}}}" for c in sorted({*_FOLD, *map(ord, _GONE), *_OTHERWISE})) + "]",
-    rf"(?i)(?:{'|'.join(_WORDS)})[\s,.()+-]+(?:(?:double|triple)\s+)?(?:[0-9]|{'|'.join(_WORDS)})",
+    rf"(?i)(?:{'|'.join(_WORDS)})[\s,.()+-]+(?:(?:double|triple)\s+)?(?:[0-9]|{'|'.join(_WORDS)})|[0-9][\s,.()-]+(?:(?:double|triple)\s+)?(?:{'|'.join(_WORDS)})",
     f"(?i){_DISGUISE}",
 )
 

@@ -5,6 +5,7 @@ import time
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import slow_pii
 from helpers import ODD, docs
 
 from docparity.llm import pii
@@ -128,3 +129,22 @@ def test_long_runs_take_linear_time(name):
     began = time.process_time()
     found = pii.find(RUNS[name])
     assert time.process_time() - began < 8 and len(found) == {"a_": 1, "many": 50_000}.get(name, len(found))
+
+
+def test_against_brute_force_over_a_table():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").combine_chunks()
+    found = pii.find_all(texts)[1]
+    short = [(t, f) for t, f in zip(texts.to_pylist(), found) if len(t) < 20_000]
+    assert [f for _, f in short] == [slow_pii.find(t) for t, _ in short] and sum(map(bool, found)) > 5
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_against_brute_force_over_made_up_texts(seed):
+    rng = random.Random(seed)
+    bits = [
+        "jo", "a.b", "host", "de", "x_y", " at ", "-at-", " (at) ", " dot ", "-dot-", "[.]", " [dot] ", "@", ".", " ", "  ", "-", "_", "+", "%", "one ", "two ", "three ", "Drei, ", "double ", "five", "7", "55", "1234", "123-45-6789",
+        "10.0.0.1", "256.1.1.1", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "+49 30 1234567", "(555) 123-4567", "password: ", "sk-", "ａ", "０", "е", "\u200b", "\n", "é", "日本", "abcdef0123456789" * 2, "(", ")", ",", "/", "*",
+    ]
+    for _ in range(400):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        assert pii.find(text) == slow_pii.find(text), text

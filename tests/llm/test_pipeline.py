@@ -6,11 +6,12 @@ import corpus_pipeline
 import duckdb
 import pandas as pd
 import pytest
+import slow_pii
 from helpers import ODD, docs
 from test_minhash import brute, groups
 from test_packing import check
 
-from docparity.llm import packing, pii, quality
+from docparity.llm import packing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,7 +46,7 @@ def test_quality_stage(stages):
 def test_dedup_stage(stages):
     before = rows(stages[1])
     texts = [(d, r["text"]) for d, r in before.items()]
-    gone = {d for g in groups(brute(texts)) for d in g if d != min(g)}
+    gone = {texts[i][0] for g in groups(brute(texts)) for i in g if texts[i][0] != min(texts[j][0] for j in g)}
     assert set(rows(stages[2])) == set(before) - gone and gone
 
 
@@ -53,7 +54,9 @@ def test_pii_stage(stages):
     before, after = rows(stages[2]), rows(stages[3])
     assert set(before) == set(after) and any(before[d]["text"] != after[d]["text"] for d in before)
     for d, r in after.items():
-        assert r["text"] == pii.redacted(before[d]["text"], pii.find(before[d]["text"])) and r["n_chars"] in (before[d]["n_chars"], len(r["text"]))
+        assert r["n_chars"] in (before[d]["n_chars"], len(r["text"]))
+        if len(before[d]["text"]) < 20_000:
+            assert r["text"] == slow_pii.redacted(before[d]["text"])
 
 
 def test_packing_stage(stages):
