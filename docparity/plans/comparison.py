@@ -129,6 +129,33 @@ def equivalence(spark, sf_dir):
 
 
 _QUALITY = "CASE WHEN score >= 0.99e0 THEN 'exact' WHEN score >= 0.95e0 THEN 'excellent' WHEN score >= 0.85e0 THEN 'good' WHEN score >= 0.7e0 THEN 'fair' WHEN score >= 0.5e0 THEN 'poor' ELSE 'failed' END"
+_SHORT = f"""sd AS (
+  SELECT p_partkey AS doc_id, {_tokens_sql("p_name || ' ' || p_type")} AS a, {_tokens_sql("CASE WHEN p_partkey % 2 = 1 THEN p_name || ' ' || p_brand ELSE p_name END")} AS b FROM part), pairs AS (SELECT DISTINCT a, b FROM sd)"""
+
+
+@query("e4_e9_short_documents", f"""WITH RECURSIVE {_lcs_sql(_SHORT)},
+sc AS (SELECT doc_id, ratio AS text_ratio, ((CASE WHEN doc_id % 3 = 0 THEN 0e0 ELSE 1e0 END) + 0e0 + 0.5e0) / 3 AS metadata_score, 0.7e0 * ratio + 0.3e0 * (CASE WHEN doc_id % 2 = 1 THEN 1e0 ELSE 0.5e0 END) AS content_score FROM sd JOIN lc USING (a, b)),
+ov AS (SELECT *, 0.2e0 * metadata_score + 0.5e0 * content_score + 0.15e0 AS score FROM sc)
+SELECT doc_id, round(metadata_score, 6) AS metadata_score, round(content_score, 6) AS content_score, 1e0 AS figures_score, 0e0 AS tables_score, round(score, 6) AS score, {_QUALITY} AS match_quality,
+  CASE WHEN text_ratio < {E.THRESHOLD}e0 THEN printf('Text similarity (%.2f%%) below threshold ({E.THRESHOLD * 100:.2f}%%)', text_ratio * 100) ELSE '' END AS warnings FROM ov""")
+def short_documents(spark, sf_dir):
+    """The whole comparison, of documents short enough for subsequences in SQL."""
+    p, c = I.table(spark, sf_dir, "part"), F.col
+    element = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("content"), F.lit(None).cast("struct<page:int,x:double,y:double,width:double,height:double>").alias("bbox"))
+    none = F.array().cast("array<struct<bbox:struct<page:int,x:double,y:double,width:double,height:double>>>")
+    a = p.select(
+        c("p_partkey").alias("doc_id"), c("p_name").alias("title"), F.array("p_brand").alias("authors"), F.array("p_type", "p_brand").alias("keywords"), F.array(element("heading", c("p_name")), element("paragraph", c("p_type"))).alias("content"),
+        none.alias("figures"), F.array(F.struct(F.array(F.array(F.lit("c"))).alias("rows"))).alias("tables"),
+    )
+    more = F.when(c("p_partkey") % 2 == 1, F.array(element("paragraph", c("p_brand")))).otherwise(F.slice(F.array(element("paragraph", c("p_brand"))), 1, 0))
+    b = p.select(
+        c("p_partkey").alias("doc_id"), F.when(c("p_partkey") % 3 != 0, c("p_name")).alias("title"), F.array().cast("array<string>").alias("authors"), F.array("p_brand").alias("keywords"), F.concat(F.array(element("heading", c("p_name"))), more).alias("content"),
+        none.alias("figures"), F.array().cast("array<struct<rows:array<array<string>>>>").alias("tables"),
+    )
+    d = E.compare(a, b)
+    return d.select("doc_id", *r6("metadata_score", "content_score", "figures_score", "tables_score", "score"), "match_quality", F.concat_ws(";", "warnings").alias("warnings"))
+
+
 _RS = f"rs AS (SELECT doc_id, lang, score, {_QUALITY} AS match_quality FROM (SELECT doc_id, lang, (doc_id * 37 % 1000) / 1000e0 AS score FROM documents))"
 
 
