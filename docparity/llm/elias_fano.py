@@ -1,8 +1,9 @@
 """Elias-Fano sequences over flat 64-bit words, read many places at a time.
 
 A non-decreasing sequence of n values up to u takes about 2 + log2(u / n) bits
-a value: the low bits are packed, the high bits are written in unary. A count
-of the ones before every 512 bits makes the place of the i-th one quick to find.
+a value: the low bits are packed, the high bits are written in unary. The place
+of every 64th one leads to the i-th, and where zeros keep them far apart a count
+of the ones before every 512 bits does.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import numpy as np
 
 _U64 = np.uint64
 _BLOCK = 8  # words
+_EACH = 64
 
 _SELECT8 = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -45,13 +47,16 @@ class EliasFano:
     HEADER = 4  # words: n, width of the low bits, words of low bits, words of high bits
 
     def __init__(self, words: np.ndarray):
+        words = words.view(np.ndarray)
         n, width, n_low, n_high = (int(x) for x in words[: self.HEADER])
         self.n, self.width = n, width
         at = self.HEADER
         self.low, at = words[at : at + n_low], at + n_low
         self.high, at = words[at : at + n_high], at + n_high
         n_dir = n_high // _BLOCK
-        self.before, at = words[at : at + n_dir].astype(np.int64), at + n_dir
+        self.before, at = words[at : at + n_dir].view(np.int64), at + n_dir
+        n_sel = -(-n // _EACH)
+        self.select, at = words[at : at + n_sel].view(np.int64), at + n_sel
         self.size = at
 
     @staticmethod
@@ -66,24 +71,42 @@ class EliasFano:
         np.bitwise_or.at(high, ones >> 6, _U64(1) << (ones & 63).astype(_U64))
         per_block = np.bitwise_count(high).astype(np.int64).reshape(-1, _BLOCK).sum(axis=1)
         before = np.cumsum(per_block) - per_block
-        return np.concatenate([np.array([n, width, len(low), n_high], _U64), low, high, before.astype(_U64)])
+        return np.concatenate([np.array([n, width, len(low), n_high], _U64), low, high, before.astype(_U64), ones[::_EACH].astype(_U64)])
 
-    def __len__(self) -> int:
-        return self.n
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at the places ``i``."""
+    def _by_block(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word of the high bits that has the i-th one, and how many of its ones come before it."""
         block = np.searchsorted(self.before, i, side="right") - 1
-        rest = i - self.before[block]
-        word = block * _BLOCK
+        rest, word = i - self.before[block], block * _BLOCK
         for _ in range(_BLOCK - 1):
             ones = np.bitwise_count(self.high[word]).astype(np.int64)
             over = rest >= ones
             if not over.any():
                 break
-            rest = np.where(over, rest - ones, rest)
-            word = np.where(over, word + 1, word)
-        w, shift = self.high[word], np.zeros(len(i), _U64)
+            rest, word = np.where(over, rest - ones, rest), np.where(over, word + 1, word)
+        return word, rest
+
+    def __len__(self) -> int:
+        return self.n
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Values at the places ``i``."""
+        near = self.select[i // _EACH]
+        word, rest = near >> 6, i % _EACH
+        w = self.high[word] & (_U64(0xFFFFFFFFFFFFFFFF) << (near & 63).astype(_U64))
+        ones = np.bitwise_count(w).astype(np.int64)
+        live = np.flatnonzero(rest >= ones)
+        for _ in range(_BLOCK):
+            if not live.size:
+                break
+            rest[live] -= ones[live]
+            word[live] += 1
+            w[live] = self.high[word[live]]
+            ones[live] = np.bitwise_count(w[live])
+            live = live[rest[live] >= ones[live]]
+        if live.size:
+            word[live], rest[live] = self._by_block(i[live])
+            w[live] = self.high[word[live]]
+        shift = np.zeros(len(i), _U64)
         for half in (32, 16, 8):
             ones = np.bitwise_count((w >> shift) & _U64((1 << half) - 1)).astype(np.int64)
             over = rest >= ones
@@ -104,3 +127,18 @@ class EliasFano:
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
         return lo
+
+    def find(self, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each key its place in [lo, hi), -1 if it is not there. The sequence ascends there."""
+        out, lo, hi = np.full(len(key), -1, np.int64), lo.copy(), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while live.size:
+            mid = (lo[live] + hi[live]) >> 1
+            value = self.get(mid)
+            there = value == key[live]
+            out[live[there]] = mid[there]
+            less = value < key[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[~there & (lo[live] < hi[live])]
+        return out

@@ -5,15 +5,18 @@ written without spaces, or one mark. Every word of the corpus is in the
 vocabulary, the most frequent first; a word that is not there is the unknown
 symbol. Words are told apart by 64 bits of hash.
 
-Every position sends its n-gram to the part that its last two context words
+Every slice of texts sends its n-grams, each once with its count, to the part that their last two context words
 give, so all counts of orders 3 to 5 are made within a part; order 2 is summed
 up over parts by its context word, order 1 over those. Nothing is pruned.
 
 A part is a trie of contexts, from the last word to the first, with the words
 that follow each context. A node's children are a range of the next level; the
 symbols of a level are made monotone by adding to each range the last value of
-the range before it. Counts are kept as their running sums. All are Elias-Fano
-coded, and exact: discounts apply when a text is scored, from the unigram up.
+the range before it. All are Elias-Fano coded. When the discounts of all
+orders are known, each part gets a second file with the smoothed probability of
+every word after its context and the weight every context leaves to shorter
+ones, each quantised to a byte by a code book of its level: exact where a level has no more than
+256 values, else by steps of equal ratio. Scoring adds them up from the unigram on.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ EDGE, UNKNOWN, FIRST = 0, 1, 2
 #: Bits of a symbol where two share a number.
 BITS = 31
 #: Values of a sequence between two that are also kept plain, where a search begins.
-SAMPLE = 256
+SAMPLE = 64
 #: n-grams of a part, about; parts are by hash, so a pair of words is never split.
 PART_GRAMS = 2_000_000
 #: Symbols of a file of unigram counts.
@@ -162,7 +165,12 @@ def _gram_rows(folder: str, files: list[list[int]], parts: int):
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
                 w = _grams(piece.column("text"), vocabulary)[0]
-                yield pa.RecordBatch.from_arrays(_rows(list(_sent(_part(w[3] << BITS | w[2], parts), w))), ["part", "blob", "stats"])
+                near = w[3] << BITS | w[2]
+                part = _part(near, parts)
+                # each n-gram once with its count; in order they also take less room
+                _, order, at = _distinct(part, near, w[1] << BITS | w[0], w[4])
+                first = order[at]
+                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part[first], [*(x[first] for x in w), np.diff(np.append(at, len(order)))]))), ["part", "blob", "stats"])
 
     return run
 
@@ -187,8 +195,58 @@ def _monotone(symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return symbol + np.repeat(base, np.diff(starts))
 
 
-def _followers(symbol: np.ndarray, count: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    return [starts, _monotone(symbol, starts), np.concatenate([[0], np.cumsum(count)])]
+def _followers(symbol: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    return [starts, _monotone(symbol, starts)]
+
+
+def _counts(levels: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
+    """For each level the counts of its words and how many follow each context, to be smoothed later."""
+    for column in (x for count, starts in levels for x in (count, np.diff(starts))):
+        data = _packed([column, column >> 32])
+        yield len(data).to_bytes(8, "little") + data
+
+
+def _counts_of(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        low, high = _unpacked([data[at + 8 : at + 8 + size]], 2)
+        out.append(high << 32 | low)
+        at += 8 + size
+    return out
+
+
+def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each of these positive numbers, and the 256 values the bytes stand for."""
+    exact, place, n = np.unique(values, return_inverse=True, return_counts=True)
+    book = np.ones(256)
+    if len(exact) <= 256:
+        book[: len(exact)] = exact
+        return place.astype(np.uint8), book
+    log = np.log(exact)
+    low, step = log.min(), (log.max() - log.min()) / 255 or 1.0
+    code = np.rint((log - low) / step).astype(np.int64)
+    weight, total = np.bincount(code, n, 256), np.bincount(code, n * log, 256)
+    used = weight > 0
+    book[used] = np.exp(total[used] / weight[used])
+    return code.astype(np.uint8)[place], book
+
+
+def _write_smoothed(folder: str, kind: str, d: list[float]):
+    """Second files of the parts, once discounts ``d`` of their levels are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stats in batch.column("stats").to_pylist():
+                name, out = f"{folder}/{json.loads(stats)['part']}.{kind}", []
+                columns = _counts_of(open_mapped(f"{name}.counts").tobytes())
+                for count, kinds, discount in zip(columns[::2], columns[1::2], d):
+                    total = np.add.reduceat(count, np.cumsum(kinds) - kinds)
+                    codes = quantised((count - discount) / np.repeat(total, kinds)), quantised(discount * kinds / total)
+                    out += [x for code, book in codes for x in (len(code).to_bytes(8, "little"), book.tobytes(), code.tobytes().ljust(-(-len(code) // 8) * 8, b"\0"))]
+                yield pa.RecordBatch.from_arrays([pa.array([write_whole(f"{name}.smoothed", iter(out))], pa.int64())], ["bytes"])
+
+    return run
 
 
 def _file(sequences: list[np.ndarray]) -> bytes:
@@ -206,9 +264,9 @@ def _write_tail(folder: str, heads: int):
     """Orders 3 to 5 of a part; sends on its bigrams."""
 
     def write(key, table):
-        a, b, c, d, e = _unpacked(table.column("blob").to_pylist(), ORDER)
-        (near, far, word), _, at = _distinct(d << BITS | c, b << BITS | a, e)
-        n5 = np.diff(np.append(at, len(e)))
+        a, b, c, d, e, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1)
+        (near, far, word), order, at = _distinct(d << BITS | c, b << BITS | a, e)
+        n5 = np.add.reduceat(n[order], at)
         b = far >> BITS
         two, three, four = (_starts(*x) for x in ((near,), (near, b), (near, far)))
         (near4, b4, word4), _, at = _distinct(near, b, word)
@@ -219,11 +277,12 @@ def _write_tail(folder: str, heads: int):
         mask = (1 << BITS) - 1
         above3, above4 = np.searchsorted(three, two), np.searchsorted(four, three)
         block = _file([
-            near[two[:-1]], *_followers(word3, n3, _starts(near3)),
-            above3, _monotone(b[three[:-1]], above3), *_followers(word4, n4, _starts(near4, b4)),
-            above4, _monotone(far[four[:-1]] & mask, above4), *_followers(word, n5, four),
+            near[two[:-1]], *_followers(word3, starts3 := _starts(near3)),
+            above3, _monotone(b[three[:-1]], above3), *_followers(word4, starts4 := _starts(near4, b4)),
+            above4, _monotone(far[four[:-1]] & mask, above4), *_followers(word, four),
         ])
         size = write_whole(f"{folder}/{key[0].as_py()}.tail", iter([block]))
+        write_whole(f"{folder}/{key[0].as_py()}.tail.counts", _counts([(n3, starts3), (n4, starts4), (n5, four)]))
         stats = {"3": _once_and_twice(n3), "4": _once_and_twice(n4), "5": _once_and_twice(n5), "grams": [len(n3), len(n4), len(n5)], "bytes": size, "part": key[0].as_py()}
         context, word = pairs >> BITS, pairs & mask
         return pa.table(_rows(list(_sent(_part(context, heads), [context, word, n2])), stats), ["part", "blob", "stats"])
@@ -239,7 +298,8 @@ def _write_head(folder: str):
         (context, word), order, at = _distinct(context, word)
         n = np.add.reduceat(n[order], at)
         starts = _starts(context)
-        size = write_whole(f"{folder}/{key[0].as_py()}.head", iter([_file([context[starts[:-1]], *_followers(word, n, starts)])]))
+        size = write_whole(f"{folder}/{key[0].as_py()}.head", iter([_file([context[starts[:-1]], *_followers(word, starts)])]))
+        write_whole(f"{folder}/{key[0].as_py()}.head.counts", _counts([(n, starts)]))
         words, kinds = np.unique(word, return_counts=True)
         return pa.table(_rows(list(_sent(words // BLOCK, [words, kinds])), {"2": _once_and_twice(n), "grams": [len(n)], "bytes": size, "part": key[0].as_py()}), ["part", "blob", "stats"])
 
@@ -299,14 +359,17 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     meta["grams"] = list(chain.from_iterable(np.sum([s["grams"] for s in x] or [[0]], axis=0).tolist() for x in stats))
     meta["heads"], meta["tails"] = ([s["part"] for s in x] for x in stats[1:])
     meta["total"], meta["blocks"] = sum(s["total"] for s in stats[0]), [s["block"] for s in stats[0]]
-    meta["bytes"] = sum(s["bytes"] for x in stats for s in x)
+    for kind, rows, orders in (("head", heads, (2,)), ("tail", tails, (3, 4, 5))):
+        smoothed = rows.where("part < 0").select("stats").mapInArrow(_write_smoothed(folder, kind, [meta["d"][str(n)] for n in orders]), "bytes long")
+        meta["bytes"] = meta.get("bytes", 0) + (smoothed.agg(F.sum("bytes")).first()[0] or 0)
+    meta["bytes"] += sum(s["bytes"] for x in stats for s in x)
     return meta
 
 
 class Part:
-    """One file of the model: its first contexts, then for each level the words that follow and the contexts one word longer."""
+    """The two files of a part: its first contexts, then for each level the words that follow and the contexts one word longer; smoothed probabilities and weights."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, smoothed: np.ndarray):
         n = int.from_bytes(data[:8].tobytes(), "little")
         words, at, self.s = data[8 + n :].view(np.uint64), 0, []
         sizes = iter(json.loads(data[8 : 8 + n].tobytes()))
@@ -314,36 +377,40 @@ class Part:
             self.s.append(EliasFano(words[at : at + size]))
             self.s[-1].sample = words[at + size : at + size + more].view(np.int64)
             at += size + more
+        self.q, at = [], 0  # (codes, code book), of words and of contexts in turn
+        smoothed = smoothed.view(np.ndarray)
+        while at < len(smoothed):
+            n = int(smoothed[at : at + 8].view(np.int64)[0])
+            self.q.append((smoothed[at + 2056 : at + 2056 + n], smoothed[at + 8 : at + 2056].view(np.float64)))
+            at += 2056 + -(-n // 8) * 8
 
     @staticmethod
     def _in_range(seq: EliasFano, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         key = np.where(lo > 0, seq.get(np.maximum(lo - 1, 0)), 0) + symbol
-        # the whole sequence ascends, so the sample bounds the place
-        near = np.searchsorted(seq.sample, key) * SAMPLE
-        at = seq.successor(key, np.maximum(lo, near - SAMPLE), np.minimum(hi, near))
-        hit = at < hi
-        hit[hit] = seq.get(at[hit]) == key[hit]
-        return np.where(hit, at, -1)
-
-    def follow(self, p: np.ndarray, context: np.ndarray, further: list[np.ndarray], word: np.ndarray, d: list[float]) -> np.ndarray:
+        wide = np.flatnonzero(hi - lo > SAMPLE)
+        if wide.size:  # the whole sequence ascends, so the sample bounds the place
+            lo, hi = lo.copy(), hi.copy()
+            near = np.searchsorted(seq.sample, key[wide]) * SAMPLE
+            lo[wide], hi[wide] = np.maximum(lo[wide], near - SAMPLE), np.minimum(hi[wide], near + 1)
+        return seq.find(key, lo, hi)
+
+    def follow(self, p: np.ndarray, context: np.ndarray, further: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         """``p`` of ``word`` without these contexts, refined by each that is in the model."""
         p, live = p.copy(), np.arange(len(p))
         zero = np.zeros(len(p), np.int64)
         node = self._in_range(self.s[0], zero, zero + len(self.s[0]), context)
-        for level in range(len(d)):
+        for level in range(len(further) + 1):
             live, node = live[node >= 0], node[node >= 0]
             if not live.size:
                 break
-            starts, words, sums = self.s[1 + 5 * level : 4 + 5 * level]
-            lo, hi = starts.get(node), starts.get(node + 1)
-            total = sums.get(hi) - sums.get(lo)
-            at = self._in_range(words, lo, hi, word[live])
-            count = np.zeros(len(live), np.int64)
+            starts, words = self.s[1 + 4 * level : 3 + 4 * level]
+            (codes, book), (weights, weight_book) = self.q[2 * level : 2 * level + 2]
+            at = self._in_range(words, starts.get(node), starts.get(node + 1), word[live])
+            p[live] *= weight_book[weights[node]]
             hit = np.flatnonzero(at >= 0)
-            count[hit] = sums.get(at[hit] + 1) - sums.get(at[hit])
-            p[live] = np.maximum(count - d[level], 0) / total + d[level] * (hi - lo) / total * p[live]
-            if level + 1 < len(d):
-                above, symbols = self.s[4 + 5 * level : 6 + 5 * level]
+            p[live[hit]] += book[codes[at[hit]]]
+            if level < len(further):
+                above, symbols = self.s[3 + 4 * level : 5 + 4 * level]
                 node = self._in_range(symbols, above.get(node), above.get(node + 1), further[level][live])
         return p
 
@@ -354,7 +421,7 @@ class Model:
     def __init__(self, meta: dict):
         self.meta = meta
         self.vocabulary = Vocabulary(meta["folder"], meta["files"])
-        self.d = [meta["d"][str(n)] for n in range(1, ORDER + 1)]
+        self.d = meta["d"]["1"]
         self.there = {kind: set(meta[f"{kind}s"]) for kind in ("head", "tail")}
 
     def _opened(self, name: str, make):
@@ -367,7 +434,7 @@ class Model:
             if mine.size:
                 count[mine] = self._opened(f"{b}.unigrams", lambda x: x.view(np.int64))[word[mine] - b * BLOCK]
         uniform, total = 1.0 / self.meta["symbols"], self.meta["total"]
-        return np.maximum(count - self.d[0], 0) / total + self.d[0] * self.meta["grams"][0] / total * uniform if total else np.full(len(word), uniform)
+        return np.maximum(count - self.d, 0) / total + self.d * self.meta["grams"][0] / total * uniform if total else np.full(len(word), uniform)
 
     def probability(self, w: list[np.ndarray]) -> np.ndarray:
         """Of the last word of each n-gram after the others."""
@@ -375,14 +442,15 @@ class Model:
         if not self.meta["total"]:
             return p
         pair = w[3] << BITS | w[2]
-        for kind, context, further, d in (("head", w[3], [], self.d[1:2]), ("tail", pair, [w[1], w[0]], self.d[2:])):
-            part = _part(context, self.meta["parts"])
-            order = np.argsort(part, kind="stable")
-            starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for kind, context, further in (("head", w[3], []), ("tail", pair, [w[1], w[0]])):
+            of = _part(context, self.meta["parts"])
+            order = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.diff(of[order], prepend=-1))
             for i, j in zip(starts, np.append(starts[1:], len(order))):
                 mine = order[i:j]
-                if (k := int(part[mine[0]])) in self.there[kind]:
-                    p[mine] = self._opened(f"{k}.{kind}", Part).follow(p[mine], context[mine], [x[mine] for x in further], w[4][mine], d)
+                if (k := int(of[mine[0]])) in self.there[kind]:
+                    part = Part(*(open_mapped(f"{self.meta['folder']}/{k}.{kind}{x}") for x in ("", ".smoothed")))
+                    p[mine] = part.follow(p[mine], context[mine], [x[mine] for x in further], w[4][mine])
         return p
 
 

@@ -2,10 +2,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import ODD, docs
 
 from docparity.llm import queries, word_lm as lm
+from docparity.llm.elias_fano import EliasFano
 
 
 class Slow:
@@ -88,3 +90,26 @@ def test_model_of_nothing(spark):
     meta = lm.train(docs(spark, [(1, None), (2, "")]))
     assert lm.score(docs(spark, [(1, "ab")]), meta).first()["perplexity"] == pytest.approx(2)
     assert lm.score(docs(spark, []), meta).collect() == []
+
+
+def test_quantised():
+    rng = np.random.default_rng(1)
+    few = rng.choice(rng.random(256), 5000)
+    codes, book = lm.quantised(few)
+    assert codes.dtype == np.uint8 and (book[codes] == few).all()
+    many = 10 ** rng.uniform(-7, 0, 50_000)
+    codes, book = lm.quantised(many)
+    assert np.abs(np.log10(book[codes] / many)).max() <= 7 / 255 + 1e-9 and abs(np.log10(book[codes] / many).mean()) < 1e-9
+
+
+def test_elias_fano_with_far_gaps():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 63, 64, 65, 3000):
+        for top, jump in ((1, 0), (10**6, 0), (10**6, 10**9), (10**12, 1)):
+            v = np.sort(rng.integers(0, top, n))
+            v[n // 2 :] += jump * 1000
+            e, i = EliasFano(EliasFano.build(v)), rng.permutation(n)
+            assert (e.get(i) == v[i]).all()
+            k, z = np.concatenate([v, v + 1]), np.zeros(2 * n, np.int64)
+            at = e.find(k, z, z + n)
+            assert ((at >= 0) == np.isin(k, v)).all() and (v[at[at >= 0]] == k[at >= 0]).all() and (e.successor(k, z, z + n) == np.searchsorted(v, k)).all()
