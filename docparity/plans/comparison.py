@@ -249,12 +249,12 @@ def r_rollup(spark, sf_dir):
     return report.by_group(_results(spark, sf_dir), "lang").withColumn("avg_score", F.round("avg_score", 6))
 
 
-@query("k1_json", "SELECT n_nationkey, n_name AS name, n_regionkey AS region, NULL::VARCHAR AS gone FROM nation")
+@query("k1_json", "SELECT c_custkey, c_name AS name, c_nationkey AS nation, NULL::VARCHAR AS gone FROM customer")
 def k_json(spark, sf_dir):
     """Written as JSON objects, nulls kept, and read back."""
-    n = I.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.lit(None).cast("string").alias("gone"))
-    j = n.select(sinks.as_json("n_nationkey", "name", "region", "gone").alias("j"))
-    return j.select(F.from_json("j", "n_nationkey int, name string, region int, gone string").alias("v")).select("v.*")
+    n = I.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.lit(None).cast("string").alias("gone"))
+    j = n.select(sinks.as_json("c_custkey", "name", "nation", "gone").alias("j"))
+    return j.select(F.from_json("j", "c_custkey long, name string, nation int, gone string").alias("v")).select("v.*")
 
 
 _N = lambda c: f"CASE WHEN success THEN {c}::VARCHAR ELSE '-' END"
@@ -270,14 +270,14 @@ def k_reports(spark, sf_dir):
 
 # --- images ---
 
-_PX = "px AS (SELECT n_nationkey AS img_id, y, x, (y * 13 + x * 7 + n_nationkey) % 256 AS r, (y * x) % 256 AS g, (x * 11) % 256 AS b FROM nation, range(0, 20) a(y), range(0, 24) c(x)), py AS (SELECT img_id, y, x, CASE WHEN (x + y * 3 + img_id) % 17 = 0 AND img_id > 0 THEN 255 - r ELSE r END AS r, g, b FROM px)"
+_PX = "px AS (SELECT s_suppkey AS img_id, y, x, (y * 13 + x * 7 + s_suppkey) % 256 AS r, (y * x) % 256 AS g, (x * 11) % 256 AS b FROM supplier, range(0, 20) a(y), range(0, 24) c(x)), py AS (SELECT img_id, y, x, CASE WHEN (x + y * 3 + img_id) % 17 = 0 AND img_id % 5 > 0 THEN 255 - r ELSE r END AS r, g, b FROM px)"
 
 
 def _pixels(spark, sf_dir):
-    n = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("img_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    n = I.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
     c = F.col
     a = n.select("img_id", "y", "x", ((c("y") * 13 + c("x") * 7 + c("img_id")) % 256).alias("r"), (c("y") * c("x") % 256).alias("g"), (c("x") * 11 % 256).alias("b"))
-    b = a.withColumn("r", F.when(((c("x") + c("y") * 3 + c("img_id")) % 17 == 0) & (c("img_id") > 0), 255 - c("r")).otherwise(c("r")))
+    b = a.withColumn("r", F.when(((c("x") + c("y") * 3 + c("img_id")) % 17 == 0) & (c("img_id") % 5 > 0), 255 - c("r")).otherwise(c("r")))
     return a, b
 
 
