@@ -162,6 +162,16 @@ def test_dropped(spark, monkeypatch, most):
     assert [r["doc_id"] for r in mh.near_duplicates_dropped(clash).collect()] == [1]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_edges(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)]
+    got = {}
+    for r in mh.components(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect():
+        got.setdefault(r["group_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == {g for g in groups(edges) if len(g) > 1} and all(k == min(g) for k, g in got.items())
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "doc_a long, doc_b long")
     assert {r["group_id"] for r in mh.components(edges).collect()} == {0} and mh.components(edges).count() == 61
