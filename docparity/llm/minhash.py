@@ -408,3 +408,28 @@ def near_duplicates_dropped(docs: DataFrame, similarity: float = SIMILARITY, tex
     if gone.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_h)), "left_anti")
+
+
+def near_duplicates_sql(table: str = "documents") -> str:
+    """DuckDB SQL for :func:`near_duplicates`, signatures by their definition and every pair counted; for tables whose ``doc_id`` is a key."""
+    let = lambda value, body: f"list_transform([{value}], lambda {body[0]}: {body[1]})[1]"
+    times = lambda x, k: f"(({x})::UHUGEINT * {k}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    half = lambda x, name: let(x, (name, f"xor({name}, {name} >> 33)"))
+    mix = lambda x: half(times(half(times(half(x, "m1"), 0xFF51AFD7ED558CCD), "m2"), 0xC4CEB9FE1A85EC53), "m3")
+    plus = lambda a, b: f"((({a})::UHUGEINT + ({b})::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    swapped = "concat(" + ", ".join(f"substr(c, {k}, 2)" for k in range(15, 0, -2)) + ")"
+    chunks = f"list_transform(range(0, (octet_length(encode(w)) + 7) // 8), lambda k: {let('rpad(substr(hex(encode(w)), 16 * k + 1, 16), 16, chr(48))', ('c', f"('0x' || {swapped})::UBIGINT"))})"
+    start = mix(plus("octet_length(encode(w))", str(0x9E3779B97F4A7C15)))
+    coordinates = ", ".join(f"({i}, {a}::UBIGINT, {b}::UBIGINT)" for i, (a, b) in enumerate(zip(_SEEDS.tolist(), _MULTS.tolist())))
+    return f"""
+    WITH RECURSIVE ws AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS l FROM {table}),
+    wd AS (SELECT w, list_reduce(list_prepend({start}, {chunks}), lambda h, c: {mix("xor(h, c)")}) AS h FROM (SELECT DISTINCT unnest(l) AS w FROM ws)),
+    po AS (SELECT doc_id, unnest(l) AS w, unnest(range(0, len(l))) AS place, len(l) AS n FROM ws),
+    hs AS (SELECT doc_id, n, h, lead(h) OVER (PARTITION BY doc_id ORDER BY place) AS h2 FROM po JOIN wd USING (w)),
+    ro AS (SELECT doc_id, CASE WHEN n = 1 THEN {times('h', 3)} ELSE {mix(plus('h', times('h2', 3)))} END AS r FROM hs WHERE n = 1 OR h2 IS NOT NULL),
+    sh AS (SELECT DISTINCT doc_id, {mix('r')} >> 32 AS x FROM ro),
+    y1 AS (SELECT doc_id, i, xor(x, seed) * mult % 4294967296 AS y FROM sh, (VALUES {coordinates}) c(i, seed, mult)),
+    sg AS (SELECT doc_id, i, min(xor(y, y >> 16) * 2246822507 % 4294967296) AS v FROM y1 GROUP BY doc_id, i),
+    li AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sg a JOIN sg b ON a.i = b.i AND a.v = b.v AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= {int(np.ceil(SIMILARITY * K))}),
+    re AS (SELECT a, b FROM li UNION SELECT re.a, li.b FROM re JOIN li ON re.b = li.a)
+    SELECT doc_id, least(doc_id, (SELECT min(b) FROM re WHERE re.a = doc_id)) AS class_id, (SELECT count(*) FROM li WHERE li.a = doc_id) AS links FROM {table}"""

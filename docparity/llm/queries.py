@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_warc_zst": "SELECT page_id, url, html FROM pages",
     "op5_exact_top_k": knn.top_k_sql(),
+    "op6_minhash_near_dedup": minhash.near_duplicates_sql(),
     "op7_quality_rules": quality.report_sql(),
     "op10_url_filter": url_filter.verdicts_sql(),
 }
