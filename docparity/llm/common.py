@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -50,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, so that shuffle files of steps that are over go now and not when its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, longer if a column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

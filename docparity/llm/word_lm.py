@@ -5,18 +5,22 @@ written without spaces, or one mark. Every word of the corpus is in the
 vocabulary, the most frequent first; a word that is not there is the unknown
 symbol. Words are told apart by 64 bits of hash.
 
-Every slice of texts sends its n-grams, each once with its count, to the part that their last two context words
-give, so all counts of orders 3 to 5 are made within a part; order 2 is summed
-up over parts by its context word, order 1 over those. Nothing is pruned.
+Every slice of texts sends its n-grams, each with its count, to the part that
+their last two context words give, so all counts of orders 3 to 5 are made within
+a part; order 2 is summed up over parts by its context word, order 1 over those.
+Nothing is pruned. The parts are made in three rounds over the texts, so that a
+third of the n-grams is on disk at a time.
 
 A part is a trie of contexts, from the last word to the first, with the words
 that follow each context. A node's children are a range of the next level; the
 symbols of a level are made monotone by adding to each range the last value of
-the range before it. All are Elias-Fano coded. When the discounts of all
-orders are known, each part gets a second file with the smoothed probability of
-every word after its context and the weight every context leaves to shorter
-ones, each quantised to a byte by a code book of its level: exact where a level has no more than
-256 values, else by steps of equal ratio. Scoring adds them up from the unigram on.
+the range before it. All are Elias-Fano coded. A word that follows a context also
+follows the one a word shorter, so from order 4 on its symbol is its place among
+the words there. The counts of the words, and what each context's total has above
+their number, take two bits, from 3 on a byte more: by a code book, exact where a
+level has no more than 256 such values, else by steps of equal ratio. They give
+the smoothed probabilities and weights once the discounts of all orders are known;
+scoring adds them up from the unigram on.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -35,22 +39,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docparity.llm.common import byte_lengths, cut, new_folder, open_mapped, slices, write_whole
-from docparity.llm.elias_fano import EliasFano
+from docparity.llm.common import byte_lengths, cut, new_folder, open_mapped, released, slices, write_whole
+from docparity.llm.elias_fano import EliasFano, Plain, Small
 
 ORDER = 5
 EDGE, UNKNOWN, FIRST = 0, 1, 2
 #: Bits of a symbol where two share a number.
 BITS = 31
-#: Values of a sequence between two that are also kept plain, where a search begins.
+#: Values of a sequence between two where a search over many begins.
 SAMPLE = 64
 #: n-grams of a part, about; parts are by hash, so a pair of words is never split.
 PART_GRAMS = 2_000_000
+#: Rounds over the texts in which the parts are made.
+ROUNDS = 3
 #: Symbols of a file of unigram counts.
 BLOCK = 1 << 20
 #: Bytes of text a worker takes at once.
 SLICE = 8 << 20
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])\w)+|[^\w\s]")
+#: Bytes of text scored at once: the more, the more look-ups of a part come together.
+SCORED = 16 << 20
+#: Values that are decoded one after the other in the time of one look-up.
+DECODED = 24
+_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+|[^\w\s]")
+_WORD_OR_END = re.compile(_WORD.pattern + r"|\n")
 _SENT = "part int, blob binary, stats string"
 
 
@@ -58,10 +69,15 @@ def _words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the words of all texts as places in them, and how many each text has."""
     split = pc.utf8_split_whitespace(pc.fill_null(column, ""))
     coded = pc.list_flatten(split).dictionary_encode()
-    parts = [_WORD.findall(x) for x in coded.dictionary.to_pylist()]
-    names = list(chain.from_iterable(parts))
+    # white space has been split at, so a line end is free to close each entry
+    names = _WORD_OR_END.findall("\n".join([*coded.dictionary.to_numpy(zero_copy_only=False), ""]))
     codes, distinct = pd.factorize(np.array(names, dtype=object))
-    k = np.array([len(x) for x in parts], np.int64)
+    closed = np.flatnonzero(codes == codes[-1]) if names else np.zeros(0, np.int64)
+    k = np.diff(closed, prepend=-1) - 1
+    if names:
+        end = codes[-1]
+        codes, distinct = np.delete(codes, closed), np.delete(distinct, end)
+        codes[codes > end] -= 1
     at = coded.indices.to_numpy(zero_copy_only=False)
     times, first = k[at], (np.cumsum(k) - k)[at]
     place = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
@@ -110,7 +126,7 @@ def _grams(column: pa.Array, vocabulary: Vocabulary) -> tuple[list[np.ndarray],
     size = np.where(live, n + 1, 0)
     step = n[live] + ORDER
     starts = np.cumsum(step) - step
-    padded = np.full(int(step.sum()), EDGE, np.int64)
+    padded = np.full(int(step.sum()), EDGE, np.int32)
     at = np.repeat(starts + ORDER - 1 - (np.cumsum(n[live]) - n[live]), n[live]) + np.arange(len(codes))
     padded[at] = vocabulary.ids(_hashes(words))[codes]
     keep = np.ones(len(padded), bool)
@@ -119,6 +135,10 @@ def _grams(column: pa.Array, vocabulary: Vocabulary) -> tuple[list[np.ndarray],
     return [padded[keep - k] for k in range(ORDER - 1, -1, -1)], size
 
 
+def _pair(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return a.astype(np.int64) << bits | b
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -159,28 +179,58 @@ def _rows(sent: list[tuple[int, bytes]], stats: dict | None = None) -> list[pa.A
     return [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.array([None] * len(sent) + [json.dumps(stats)] * len(more), pa.string())]
 
 
-def _gram_rows(folder: str, files: list[list[int]], parts: int):
+def _gram_rows(folder: str, files: list[list[int]], parts: int, now: int, rounds: int):
+    """The n-grams of one of the rounds."""
+    bits = _bits(files)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder, files)
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
                 w = _grams(piece.column("text"), vocabulary)[0]
-                near = w[3] << BITS | w[2]
-                part = _part(near, parts)
-                # each n-gram once with its count; in order they also take less room
-                _, order, at = _distinct(part, near, w[1] << BITS | w[0], w[4])
-                first = order[at]
-                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part[first], [*(x[first] for x in w), np.diff(np.append(at, len(order)))]))), ["part", "blob", "stats"])
+                part = _part(_pair(w[3], w[2]), parts)
+                mine = np.flatnonzero(part % rounds == now)
+                part, w = part[mine], [x[mine] for x in w]
+                # by part and near context, and equal n-grams side by side but for rare clashes, which the part adds up
+                mixed = (_mixed(_pair(w[1], w[0])) ^ _mixed(w[4])).astype(np.int64)
+                order = np.argsort(_folded([(part, parts.bit_length()), (w[3], bits), (w[2], bits), (mixed & 255, 8)]))
+                w = [x[order] for x in w]
+                at = _starts(*w)
+                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part[order][at[:-1]], [*(x[at[:-1]] for x in w), np.diff(at)]))), ["part", "blob", "stats"])
 
     return run
 
 
-def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows in order, the order of all rows, and where each distinct one begins in it."""
-    order = np.lexsort(keys[::-1])
-    ordered = [k[order] for k in keys]
-    at = _starts(*ordered)[:-1]
-    return [k[at] for k in ordered], order, at
+def _bits(files: list[list[int]]) -> int:
+    """Bits of a symbol of this vocabulary."""
+    return (FIRST + sum(n for _, n in files)).bit_length()
+
+
+def _folded(keys: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """One number a row in the order of these keys of so many bits; where they take over 63, what comes first is replaced by its ranks."""
+    out, used = keys[0][0].astype(np.int64), keys[0][1]
+    for key, bits in keys[1:]:
+        if used + bits > 63:
+            order = np.argsort(out)
+            ranks = np.repeat(np.arange(len(at := _starts(out[order])) - 1), np.diff(at))
+            out = np.empty(len(order), np.int64)
+            out[order], used = ranks, len(at).bit_length()
+        out, used = out << bits | key, used + bits
+    return out
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the order of all rows, and where each distinct one begins in it, with the end."""
+    order = np.argsort(key)
+    at = _starts(ordered := key[order])
+    return ordered[at[:-1]], order, at
+
+
+def _ranked(order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the place of its key among the distinct ones."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return out
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -199,23 +249,6 @@ def _followers(symbol: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [starts, _monotone(symbol, starts)]
 
 
-def _counts(levels: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
-    """For each level the counts of its words and how many follow each context, to be smoothed later."""
-    for column in (x for count, starts in levels for x in (count, np.diff(starts))):
-        data = _packed([column, column >> 32])
-        yield len(data).to_bytes(8, "little") + data
-
-
-def _counts_of(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        size = int.from_bytes(data[at : at + 8], "little")
-        low, high = _unpacked([data[at + 8 : at + 8 + size]], 2)
-        out.append(high << 32 | low)
-        at += 8 + size
-    return out
-
-
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A byte for each of these positive numbers, and the 256 values the bytes stand for."""
     exact, place, n = np.unique(values, return_inverse=True, return_counts=True)
@@ -232,25 +265,11 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8)[place], book
 
 
-def _write_smoothed(folder: str, kind: str, d: list[float]):
-    """Second files of the parts, once discounts ``d`` of their levels are known."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for stats in batch.column("stats").to_pylist():
-                name, out = f"{folder}/{json.loads(stats)['part']}.{kind}", []
-                columns = _counts_of(open_mapped(f"{name}.counts").tobytes())
-                for count, kinds, discount in zip(columns[::2], columns[1::2], d):
-                    total = np.add.reduceat(count, np.cumsum(kinds) - kinds)
-                    codes = quantised((count - discount) / np.repeat(total, kinds)), quantised(discount * kinds / total)
-                    out += [x for code, book in codes for x in (len(code).to_bytes(8, "little"), book.tobytes(), code.tobytes().ljust(-(-len(code) // 8) * 8, b"\0"))]
-                yield pa.RecordBatch.from_arrays([pa.array([write_whole(f"{name}.smoothed", iter(out))], pa.int64())], ["bytes"])
-
-    return run
-
-
-def _file(sequences: list[np.ndarray]) -> bytes:
-    arrays = [a for x in sequences for a in (EliasFano.build(x.astype(np.int64)), x[::SAMPLE].astype(np.uint64))]
+def _file(sequences: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Sequences, and for each level the counts of its words by the ranges that follow each context."""
+    arrays = [EliasFano.build(x.astype(np.int64)) for x in sequences]
+    for n, starts in counts:
+        arrays += [Small.build(n - 1, quantised), Small.build(np.add.reduceat(n - 1, starts[:-1]), quantised)]
     head = json.dumps([len(a) for a in arrays]).encode()
     head = head.ljust(-(-len(head) // 8) * 8, b" ")
     return len(head).to_bytes(8, "little") + head + b"".join(a.tobytes() for a in arrays)
@@ -260,29 +279,31 @@ def _once_and_twice(count: np.ndarray) -> list[int]:
     return [int((count == 1).sum()), int((count == 2).sum())]
 
 
-def _write_tail(folder: str, heads: int):
+def _write_tail(folder: str, heads: int, bits: int):
     """Orders 3 to 5 of a part; sends on its bigrams."""
 
     def write(key, table):
-        a, b, c, d, e, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1)
-        (near, far, word), order, at = _distinct(d << BITS | c, b << BITS | a, e)
-        n5 = np.add.reduceat(n[order], at)
-        b = far >> BITS
-        two, three, four = (_starts(*x) for x in ((near,), (near, b), (near, far)))
-        (near4, b4, word4), _, at = _distinct(near, b, word)
-        n4 = np.diff(np.append(at, len(word)))
-        (near3, word3), _, at = _distinct(near4, word4)
-        n3 = np.diff(np.append(at, len(word4)))
-        pairs, n2 = np.unique((near3 >> BITS) << BITS | word3, return_counts=True)
-        mask = (1 << BITS) - 1
-        above3, above4 = np.searchsorted(three, two), np.searchsorted(four, three)
+        *w, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1)
+        _, order, at = _distinct(_folded([(w[k], bits) for k in (3, 2, 1, 0, 4)]))
+        n5 = np.add.reduceat(n[order], at[:-1])
+        a, b, c, d, word = (x[order[at[:-1]]] for x in w)
+        # contexts of two to four words in order, and which of them a row has
+        two, three, four = _starts(d, c), _starts(d, c, b), _starts(d, c, b, a)
+        in3, in4 = (np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in (three, four))
+        mask, above3, above4 = (1 << BITS) - 1, np.searchsorted(three, two), np.searchsorted(four, three)
+        in2 = np.repeat(np.arange(len(two) - 1), np.diff(above3))  # of a context of three
+        key4, order, at = _distinct(in3 << BITS | word)
+        n4, place4, starts4 = np.diff(at), _ranked(order, at), _starts(key4 >> BITS)
+        key3, order, at = _distinct(in2[key4 >> BITS] << BITS | key4 & mask)
+        n3, place3, starts3 = np.diff(at), _ranked(order, at), _starts(key3 >> BITS)
+        word3 = key3 & mask
+        pairs, n2 = np.unique(d[two[:-1]][key3 >> BITS] << BITS | word3, return_counts=True)
         block = _file([
-            near[two[:-1]], *_followers(word3, starts3 := _starts(near3)),
-            above3, _monotone(b[three[:-1]], above3), *_followers(word4, starts4 := _starts(near4, b4)),
-            above4, _monotone(far[four[:-1]] & mask, above4), *_followers(word, four),
-        ])
+            d[two[:-1]] << bits | c[two[:-1]], *_followers(word3, starts3),
+            above3, _monotone(b[three[:-1]], above3), *_followers(place3 - starts3[in2[key4 >> BITS]], starts4),
+            above4, _monotone(a[four[:-1]], above4), *_followers(place4 - starts4[in3], four),
+        ], [(n3, starts3), (n4, starts4), (n5, four)])
         size = write_whole(f"{folder}/{key[0].as_py()}.tail", iter([block]))
-        write_whole(f"{folder}/{key[0].as_py()}.tail.counts", _counts([(n3, starts3), (n4, starts4), (n5, four)]))
         stats = {"3": _once_and_twice(n3), "4": _once_and_twice(n4), "5": _once_and_twice(n5), "grams": [len(n3), len(n4), len(n5)], "bytes": size, "part": key[0].as_py()}
         context, word = pairs >> BITS, pairs & mask
         return pa.table(_rows(list(_sent(_part(context, heads), [context, word, n2])), stats), ["part", "blob", "stats"])
@@ -295,11 +316,11 @@ def _write_head(folder: str):
 
     def write(key, table):
         context, word, n = _unpacked(table.column("blob").to_pylist(), 3)
-        (context, word), order, at = _distinct(context, word)
-        n = np.add.reduceat(n[order], at)
+        pairs, order, at = _distinct(context << BITS | word)
+        n = np.add.reduceat(n[order], at[:-1])
+        context, word = pairs >> BITS, pairs & (1 << BITS) - 1
         starts = _starts(context)
-        size = write_whole(f"{folder}/{key[0].as_py()}.head", iter([_file([context[starts[:-1]], *_followers(word, starts)])]))
-        write_whole(f"{folder}/{key[0].as_py()}.head.counts", _counts([(n, starts)]))
+        size = write_whole(f"{folder}/{key[0].as_py()}.head", iter([_file([context[starts[:-1]], *_followers(word, starts)], [(n, starts)])]))
         words, kinds = np.unique(word, return_counts=True)
         return pa.table(_rows(list(_sent(words // BLOCK, [words, kinds])), {"2": _once_and_twice(n), "grams": [len(n)], "bytes": size, "part": key[0].as_py()}), ["part", "blob", "stats"])
 
@@ -312,7 +333,7 @@ def _write_unigrams(folder: str):
         word, n = _unpacked(table.column("blob").to_pylist(), 2)
         counts = np.zeros(BLOCK, np.int64)
         np.add.at(counts, word - block * BLOCK, n)
-        size = write_whole(f"{folder}/{block}.unigrams", iter([counts.tobytes()]))
+        size = write_whole(f"{folder}/{block}.unigrams", iter([counts[: max(UNKNOWN, int(word.max()) - block * BLOCK) + 1].tobytes()]))
         return pa.table(_rows([], {"1": _once_and_twice(counts), "total": int(counts.sum()), "grams": [int((counts > 0).sum())], "bytes": size, "block": block}), ["part", "blob", "stats"])
 
     return write
@@ -344,13 +365,20 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     counted = cut(given.mapInArrow(_word_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     tokens = (counted.agg(F.sum("n")).first()[0] or 0) + given.count()
     files = sorted([r["name"], r["n"]] for r in counted.orderBy(F.desc("n"), "h").select("h").mapInArrow(_write_words(folder), "name int, n long").collect())
+    del counted
+    released(docs.sparkSession)
     symbols = FIRST + sum(n for _, n in files)
     if symbols >= 1 << BITS:
         raise ValueError(f"more than {1 << BITS} distinct words")
     parts = -(-tokens // PART_GRAMS) or 1
     meta: dict = {"folder": folder, "files": files, "symbols": symbols, "parts": parts, "d": {}}
-    tails = cut(given.mapInArrow(_gram_rows(folder, files, parts), _SENT).groupBy("part").applyInArrow(_write_tail(folder, parts), _SENT))
+    made, rounds = [], min(ROUNDS, parts)
+    for now in range(rounds):
+        made.append(cut(given.mapInArrow(_gram_rows(folder, files, parts, now, rounds), _SENT).groupBy("part").applyInArrow(_write_tail(folder, parts, _bits(files)), _SENT)))
+        released(docs.sparkSession)
+    tails = reduce(DataFrame.union, made)
     heads = cut(tails.where("part >= 0").groupBy("part").applyInArrow(_write_head(folder), _SENT))
+    released(docs.sparkSession)
     blocks = cut(heads.where("part >= 0").groupBy("part").applyInArrow(_write_unigrams(folder), _SENT))
     stats = [_stats(x) for x in (blocks, heads, tails)]
     for n in range(1, ORDER + 1):
@@ -359,59 +387,78 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     meta["grams"] = list(chain.from_iterable(np.sum([s["grams"] for s in x] or [[0]], axis=0).tolist() for x in stats))
     meta["heads"], meta["tails"] = ([s["part"] for s in x] for x in stats[1:])
     meta["total"], meta["blocks"] = sum(s["total"] for s in stats[0]), [s["block"] for s in stats[0]]
-    for kind, rows, orders in (("head", heads, (2,)), ("tail", tails, (3, 4, 5))):
-        smoothed = rows.where("part < 0").select("stats").mapInArrow(_write_smoothed(folder, kind, [meta["d"][str(n)] for n in orders]), "bytes long")
-        meta["bytes"] = meta.get("bytes", 0) + (smoothed.agg(F.sum("bytes")).first()[0] or 0)
-    meta["bytes"] += sum(s["bytes"] for x in stats for s in x)
+    meta["bytes"] = sum(s["bytes"] for x in stats for s in x)
     return meta
 
 
 class Part:
-    """The two files of a part: its first contexts, then for each level the words that follow and the contexts one word longer; smoothed probabilities and weights."""
+    """The file of a part: its first contexts, then for each level the words that follow and the contexts one word longer, and the counts. ``d``: the discounts of its levels. A sequence that ``asked`` look-ups take longer to search than to decode is decoded as a whole."""
 
-    def __init__(self, data: np.ndarray, smoothed: np.ndarray):
+    def __init__(self, data: np.ndarray, d: list[float], asked: int = 0):
         n = int.from_bytes(data[:8].tobytes(), "little")
-        words, at, self.s = data[8 + n :].view(np.uint64), 0, []
-        sizes = iter(json.loads(data[8 : 8 + n].tobytes()))
-        for size, more in zip(sizes, sizes):
-            self.s.append(EliasFano(words[at : at + size]))
-            self.s[-1].sample = words[at + size : at + size + more].view(np.int64)
-            at += size + more
-        self.q, at = [], 0  # (codes, code book), of words and of contexts in turn
-        smoothed = smoothed.view(np.ndarray)
-        while at < len(smoothed):
-            n = int(smoothed[at : at + 8].view(np.int64)[0])
-            self.q.append((smoothed[at + 2056 : at + 2056 + n], smoothed[at + 8 : at + 2056].view(np.float64)))
-            at += 2056 + -(-n // 8) * 8
+        words, at, arrays = data[8 + n :].view(np.uint64), 0, []
+        for size in json.loads(data[8 : 8 + n].tobytes()):
+            arrays.append(words[at : at + size])
+            at += size
+        self.d, split = d, len(arrays) - 2 * len(d)
+        self.s, self.n = [EliasFano(x) for x in arrays[:split]], [Small(x) for x in arrays[split:]]
+        self.s = [Plain(x) if asked * DECODED > len(x) else x for x in self.s]
 
     @staticmethod
-    def _in_range(seq: EliasFano, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        key = np.where(lo > 0, seq.get(np.maximum(lo - 1, 0)), 0) + symbol
-        wide = np.flatnonzero(hi - lo > SAMPLE)
-        if wide.size:  # the whole sequence ascends, so the sample bounds the place
-            lo, hi = lo.copy(), hi.copy()
-            near = np.searchsorted(seq.sample, key[wide]) * SAMPLE
-            lo[wide], hi[wide] = np.maximum(lo[wide], near - SAMPLE), np.minimum(hi[wide], near + 1)
-        return seq.find(key, lo, hi)
+    def _in_range(seq: EliasFano | Plain, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Places of the symbols in ranges that are not empty, -1 where they are not there."""
+        base, first = seq.both(np.maximum(lo - 1, 0)) if len(seq) > 1 else (seq.get(lo), seq.get(lo))
+        zero = lo == 0
+        key = np.where(zero, 0, base) + symbol
+        first = np.where(zero, base, first)
+        out = np.where(first == key, lo, -1)
+        left = np.flatnonzero((first < key) & (hi - lo > 1))
+        if left.size:
+            lo, hi, key = lo[left] + 1, hi[left], key[left]
+            if isinstance(seq, Plain):
+                at = np.minimum(np.searchsorted(seq.v, key), hi - 1)
+                out[left] = np.where(seq.v[at] == key, at, -1)
+                return out
+            wide = np.flatnonzero(hi - lo > SAMPLE)
+            if wide.size:  # the whole sequence ascends, so every 64th value bounds the place
+                near = np.searchsorted(seq.sampled(), key[wide]) * SAMPLE
+                lo[wide], hi[wide] = np.maximum(lo[wide], near - SAMPLE), np.minimum(hi[wide], near + 1)
+            out[left] = seq.find(key, lo, hi)
+        return out
+
+    def _smoothed(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Range of the words that follow each context, total of their counts and weight left to the context one word shorter."""
+        lo, hi = self.s[1 + 4 * level].both(node)
+        total = hi - lo + self.n[2 * level + 1].get(node)
+        return lo, hi, total, self.d[level] * (hi - lo) / total
 
     def follow(self, p: np.ndarray, context: np.ndarray, further: list[np.ndarray], word: np.ndarray) -> np.ndarray:
-        """``p`` of ``word`` without these contexts, refined by each that is in the model."""
-        p, live = p.copy(), np.arange(len(p))
-        zero = np.zeros(len(p), np.int64)
-        node = self._in_range(self.s[0], zero, zero + len(self.s[0]), context)
+        """``p`` of ``word`` without these contexts, refined by each that is in the model. Equal contexts side by side are looked up once."""
+        p, runs = p.copy(), _starts(context)
+        first, times = context[runs[:-1]], np.diff(runs)
+        zero = np.zeros(len(first), np.int64)
+        found = self._in_range(self.s[0], zero, zero + len(self.s[0]), first)
+        live, times = np.flatnonzero(np.repeat(found >= 0, times)), times[found >= 0]
+        node = found[found >= 0]
+        of = [np.repeat(x, times) for x in self._smoothed(0, node)] if live.size else []
+        node, symbol = np.repeat(node, times), word[live]
         for level in range(len(further) + 1):
-            live, node = live[node >= 0], node[node >= 0]
             if not live.size:
                 break
-            starts, words = self.s[1 + 4 * level : 3 + 4 * level]
-            (codes, book), (weights, weight_book) = self.q[2 * level : 2 * level + 2]
-            at = self._in_range(words, starts.get(node), starts.get(node + 1), word[live])
-            p[live] *= weight_book[weights[node]]
-            hit = np.flatnonzero(at >= 0)
-            p[live[hit]] += book[codes[at[hit]]]
+            lo, hi, total, weight = of if level == 0 else self._smoothed(level, node)
+            there = np.flatnonzero(symbol >= 0)
+            at = self._in_range(self.s[2 + 4 * level], lo[there], hi[there], symbol[there])
+            p[live] *= weight
+            hit = at >= 0
+            there, at = there[hit], at[hit]
+            p[live[there]] += (1 + self.n[2 * level].get(at) - self.d[level]) / total[there]
             if level < len(further):
-                above, symbols = self.s[3 + 4 * level : 5 + 4 * level]
-                node = self._in_range(symbols, above.get(node), above.get(node + 1), further[level][live])
+                # what does not follow here follows no longer context
+                symbol = np.full(len(live), -1, np.int64)
+                symbol[there] = at - lo[there]
+                node = self._in_range(self.s[4 + 4 * level], *self.s[3 + 4 * level].both(node), further[level][live])
+                known = node >= 0
+                live, node, symbol = live[known], node[known], symbol[known]
         return p
 
 
@@ -438,20 +485,26 @@ class Model:
 
     def probability(self, w: list[np.ndarray]) -> np.ndarray:
         """Of the last word of each n-gram after the others."""
-        p = self._unigrams(w[4])
+        bits = _bits(self.meta["files"])
+        pairs, at = np.unique(_pair(w[3], w[4], bits), return_inverse=True)
+        context, word = pairs >> bits, pairs & (1 << bits) - 1
+        p = self._unigrams(word)
         if not self.meta["total"]:
-            return p
-        pair = w[3] << BITS | w[2]
-        for kind, context, further in (("head", w[3], []), ("tail", pair, [w[1], w[0]])):
-            of = _part(context, self.meta["parts"])
-            order = np.argsort(of, kind="stable")
-            starts = np.flatnonzero(np.diff(of[order], prepend=-1))
-            for i, j in zip(starts, np.append(starts[1:], len(order))):
-                mine = order[i:j]
-                if (k := int(of[mine[0]])) in self.there[kind]:
-                    part = Part(*(open_mapped(f"{self.meta['folder']}/{k}.{kind}{x}") for x in ("", ".smoothed")))
-                    p[mine] = part.follow(p[mine], context[mine], [x[mine] for x in further], w[4][mine])
-        return p
+            return p[at]
+        p = self._refined("head", _part(context, self.meta["parts"]), p, [context], [], word)[at]
+        return self._refined("tail", _part(_pair(w[3], w[2]), self.meta["parts"]), p, [w[3], w[2]], [w[1], w[0]], w[4])
+
+    def _refined(self, kind: str, of: np.ndarray, p: np.ndarray, first: list[np.ndarray], further: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        bits = _bits(self.meta["files"])
+        order = np.argsort(_folded([(of, self.meta["parts"].bit_length()), *((x, bits) for x in first)]))
+        context = _folded([(x, bits) for x in first])
+        starts, out = _starts(of[order]), p.copy()
+        for i, j in zip(starts, starts[1:]):
+            mine = order[i:j]
+            if (k := int(of[mine[0]])) in self.there[kind]:
+                part = Part(open_mapped(f"{self.meta['folder']}/{k}.{kind}"), [self.meta["d"][n] for n in {"head": "2", "tail": "345"}[kind]], len(mine))
+                out[mine] = part.follow(p[mine], context[mine], [x[mine] for x in further], word[mine])
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -463,7 +516,7 @@ def _score_rows(meta: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(meta)
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SCORED):
                 w, size = _grams(part.column("text"), model.vocabulary)
                 each = np.log10(model.probability(w)) if len(w[0]) else np.zeros(0)
                 ends = np.concatenate([[0], np.cumsum(size)])

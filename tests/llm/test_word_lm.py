@@ -1,13 +1,15 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD, docs
 
 from docparity.llm import queries, word_lm as lm
-from docparity.llm.elias_fano import EliasFano
+from docparity.llm.elias_fano import EliasFano, Small
 
 
 class Slow:
@@ -113,3 +115,35 @@ def test_elias_fano_with_far_gaps():
             k, z = np.concatenate([v, v + 1]), np.zeros(2 * n, np.int64)
             at = e.find(k, z, z + n)
             assert ((at >= 0) == np.isin(k, v)).all() and (v[at[at >= 0]] == k[at >= 0]).all() and (e.successor(k, z, z + n) == np.searchsorted(v, k)).all()
+
+
+def test_folder_of_a_model_is_small(spark):
+    """Only the model stays, below 6 bytes an n-gram: no second files of counts or probabilities, and words of long contexts by their place among those of the shorter one."""
+    rng = np.random.default_rng(3)
+    given = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 20_000)) for i in range(600)]
+    meta = lm.train(docs(spark, given))
+    size = sum(f.stat().st_size for f in Path(meta["folder"].removeprefix("file://")).iterdir() if f.suffix != ".words")
+    assert size < 6 * sum(meta["grams"][1:])
+
+
+def test_small_numbers_and_whole_sequences():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 31, 32, 33, 3000):
+        v, i = np.minimum(rng.geometric(0.5, n) - 1, 200), rng.permutation(n)
+        assert (Small(Small.build(v, lm.quantised)).get(i) == v[i]).all()
+        for width in (0, 1, 21, 40):
+            v = np.cumsum(rng.integers(0, 1 << width, n)) if n else np.zeros(0, np.int64)
+            e = EliasFano(EliasFano.build(v))
+            assert (e.all() == v).all() and (e.sampled() == v[::64]).all()
+            if n > 1:
+                a, b = e.both(i % (n - 1))
+                assert (a == v[i % (n - 1)]).all() and (b == v[i % (n - 1) + 1]).all()
+
+
+def test_look_ups_one_by_one_and_decoded_agree(spark, monkeypatch):
+    given = docs(spark, texts(6, 300))
+    model = lm.Model(lm.train(given))
+    w, _ = lm._grams(pa.array([t for _, t in texts(7, 80)]), model.vocabulary)
+    decoded = model.probability(w)
+    monkeypatch.setattr(lm, "DECODED", 0)
+    assert (model.probability(w) == decoded).all()
