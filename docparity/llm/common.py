@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,8 +54,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Asks the driver to collect its garbage, so that shuffle files of steps that are over go now and not when its heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection lets go of may hold other steps
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def fresh(name: str, df: DataFrame) -> str:

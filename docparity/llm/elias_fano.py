@@ -44,6 +44,13 @@ def unpack_bits(words: np.ndarray, i: np.ndarray, width: int) -> np.ndarray:
     return (v & _U64((1 << width) - 1)).astype(np.int64)
 
 
+def _halves(values: np.ndarray) -> np.ndarray:
+    """Places of 32 bits in 64-bit words; a sequence of one part has fewer than 2**32 high bits."""
+    out = np.zeros(-(-len(values) // 2) * 2, np.uint32)
+    out[: len(values)] = values
+    return out.view(_U64)
+
+
 def _unpack_all(words: np.ndarray, n: int, width: int) -> np.ndarray:
     """The first ``n`` values: every 64 of them take ``width`` words, so the k-th ones of all lots are shifted alike."""
     if not width:
@@ -75,10 +82,9 @@ class EliasFano:
         at = self.HEADER
         self.low, at = words[at : at + n_low], at + n_low
         self.high, at = words[at : at + n_high], at + n_high
-        n_dir = n_high // _BLOCK
-        self.before, at = words[at : at + n_dir].view(np.int64), at + n_dir
-        n_sel = -(-n // _EACH)
-        self.select, at = words[at : at + n_sel].view(np.int64), at + n_sel
+        n_dir, n_sel = n_high // _BLOCK, -(-n // _EACH)
+        self.before, at = words[at : at + (n_dir + 1) // 2].view(np.uint32)[:n_dir], at + (n_dir + 1) // 2
+        self.select, at = words[at : at + (n_sel + 1) // 2].view(np.uint32)[:n_sel], at + (n_sel + 1) // 2
         self.size = at
 
     @staticmethod
@@ -92,14 +98,16 @@ class EliasFano:
         bits = np.zeros(64 * n_high, np.uint8)
         bits[ones] = 1
         high = np.packbits(bits, bitorder="little").view(_U64)
+        if n_high * 64 >= 1 << 32:
+            raise ValueError("too long a sequence")
         per_block = np.bitwise_count(high).astype(np.int64).reshape(-1, _BLOCK).sum(axis=1)
         before = np.cumsum(per_block) - per_block
-        return np.concatenate([np.array([n, width, len(low), n_high], _U64), low, high, before.astype(_U64), ones[::_EACH].astype(_U64)])
+        return np.concatenate([np.array([n, width, len(low), n_high], _U64), low, high, _halves(before), _halves(ones[::_EACH])])
 
     def _by_block(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word of the high bits that has the i-th one, and how many of its ones come before it."""
         block = np.searchsorted(self.before, i, side="right") - 1
-        rest, word = i - self.before[block], block * _BLOCK
+        rest, word = i - self.before[block].astype(np.int64), block * _BLOCK
         for _ in range(_BLOCK - 1):
             ones = np.bitwise_count(self.high[word]).astype(np.int64)
             over = rest >= ones
@@ -119,7 +127,7 @@ class EliasFano:
     def sampled(self) -> np.ndarray:
         """Every 64th value."""
         i = np.arange(len(self.select), dtype=np.int64) * _EACH
-        return ((np.asarray(self.select) - i) << self.width) | unpack_bits(self.low, i, self.width)
+        return ((self.select.astype(np.int64) - i) << self.width) | unpack_bits(self.low, i, self.width)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the places ``i``."""
@@ -136,7 +144,7 @@ class EliasFano:
 
     def _ones(self, i: np.ndarray) -> np.ndarray:
         """Places of the ones ``i`` in the high bits."""
-        near = self.select[i // _EACH]
+        near = self.select[i // _EACH].astype(np.int64)
         word, rest = near >> 6, i % _EACH
         w = self.high[word] & (_U64(0xFFFFFFFFFFFFFFFF) << (near & 63).astype(_U64))
         ones = np.bitwise_count(w).astype(np.int64)
@@ -226,11 +234,10 @@ class Small:
         more, book = quantised(large) if len(large) else (np.zeros(0, np.uint8), np.ones(256))
         codes = pack_bits(np.minimum(values, 3), 2)
         threes = np.bitwise_count(codes & (codes >> _U64(1)) & cls._LOW).astype(np.int64)
-        before = np.zeros(-(-len(codes) // 2) * 2, np.uint32)
-        before[: len(codes)] = np.cumsum(threes) - threes
+        before = _halves(np.cumsum(threes) - threes)
         padded = np.zeros(-(-len(more) // 8) * 8, np.uint8)
         padded[: len(more)] = more
-        return np.concatenate([np.array([len(values), len(more)], _U64), book.view(_U64), codes, before.view(_U64), padded.view(_U64)])
+        return np.concatenate([np.array([len(values), len(more)], _U64), book.view(_U64), codes, before, padded.view(_U64)])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         code = unpack_bits(self.codes, i, 2)

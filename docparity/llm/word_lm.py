@@ -155,14 +155,13 @@ def _packed(columns: list[np.ndarray]) -> bytes:
     return len(columns[0]).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(blobs: list[bytes], k: int) -> list[np.ndarray]:
+def _unpacked(blobs: list[bytes], k: int, kind: type = np.int64) -> list[np.ndarray]:
     tables = []
     for b in blobs:
         n = int.from_bytes(b[:8], "little")
         raw = pa.decompress(b[8:], decompressed_size=n * k * 4, codec="zstd", asbytes=True)
         tables.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(k * 4, n).T).view("<u4"))
-    table = np.concatenate(tables)
-    return [table[:, i].astype(np.int64) for i in range(k)]
+    return [np.concatenate([t[:, i].astype(kind) for t in tables]) for i in range(k)]
 
 
 def _sent(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -283,10 +282,11 @@ def _write_tail(folder: str, heads: int, bits: int):
     """Orders 3 to 5 of a part; sends on its bigrams."""
 
     def write(key, table):
-        *w, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1)
-        _, order, at = _distinct(_folded([(w[k], bits) for k in (3, 2, 1, 0, 4)]))
-        n5 = np.add.reduceat(n[order], at[:-1])
+        *w, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1, np.int32)
+        order, at = _distinct(_folded([(w[k], bits) for k in (3, 2, 1, 0, 4)]))[1:]
+        n5 = np.add.reduceat(n[order].astype(np.int64), at[:-1])
         a, b, c, d, word = (x[order[at[:-1]]] for x in w)
+        del w, n
         # contexts of two to four words in order, and which of them a row has
         two, three, four = _starts(d, c), _starts(d, c, b), _starts(d, c, b, a)
         in3, in4 = (np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in (three, four))
@@ -297,9 +297,9 @@ def _write_tail(folder: str, heads: int, bits: int):
         key3, order, at = _distinct(in2[key4 >> BITS] << BITS | key4 & mask)
         n3, place3, starts3 = np.diff(at), _ranked(order, at), _starts(key3 >> BITS)
         word3 = key3 & mask
-        pairs, n2 = np.unique(d[two[:-1]][key3 >> BITS] << BITS | word3, return_counts=True)
+        pairs, n2 = np.unique(_pair(d[two[:-1]][key3 >> BITS], word3), return_counts=True)
         block = _file([
-            d[two[:-1]] << bits | c[two[:-1]], *_followers(word3, starts3),
+            _pair(d[two[:-1]], c[two[:-1]], bits), *_followers(word3, starts3),
             above3, _monotone(b[three[:-1]], above3), *_followers(place3 - starts3[in2[key4 >> BITS]], starts4),
             above4, _monotone(a[four[:-1]], above4), *_followers(place4 - starts4[in3], four),
         ], [(n3, starts3), (n4, starts4), (n5, four)])
