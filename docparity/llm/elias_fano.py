@@ -206,6 +206,9 @@ class Plain:
     def __len__(self) -> int:
         return len(self.v)
 
+    def all(self) -> np.ndarray:
+        return self.v
+
     def get(self, i: np.ndarray) -> np.ndarray:
         return self.v[i]
 

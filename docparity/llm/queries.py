@@ -49,8 +49,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return word_lm.score(docs, word_lm.train(docs))
+    return word_lm.own_scores(_docs(spark, sf_dir))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

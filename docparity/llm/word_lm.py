@@ -50,19 +50,26 @@ BITS = 31
 SAMPLE = 64
 #: n-grams of a part, about; parts are by hash, so a pair of words is never split.
 PART_GRAMS = 2_000_000
-#: Rounds over the texts in which the parts are made.
-ROUNDS = 3
+#: Parts are of so many groups by the last context word, so that those of a group ask its bigrams only; few, as no word is split here.
+GROUPS = 4
+#: Rounds over the texts in which the parts are made and read.
+ROUNDS = 6
 #: Symbols of a file of unigram counts.
 BLOCK = 1 << 20
 #: Bytes of text a worker takes at once.
 SLICE = 8 << 20
-#: Bytes of text scored at once: the more, the more look-ups of a part come together.
-SCORED = 16 << 20
+#: Bytes of other texts scored at once: the more, the more look-ups of a part come together, and the more memory they take.
+SCORED = 8 << 20
+#: Bits of the number of a slice within its partition.
+SLICES = 12
 #: Values that are decoded one after the other in the time of one look-up.
 DECODED = 24
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+|[^\w\s]")
 _WORD_OR_END = re.compile(_WORD.pattern + r"|\n")
 _SENT = "part int, blob binary, stats string"
+_SPLIT = "slice int, doc_id array<long>, size array<long>, symbols long"
+_SUMS = "slice int, sums binary"
+_SCORES = "doc_id long, n_symbols long, log10_prob double, perplexity double"
 
 
 def _words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -90,11 +97,29 @@ def _hashes(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.zeros(0, np.int64)
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every slice of texts: its documents, their symbols (0 for null and empty), the hashes of its distinct words and the texts as places in them."""
+    first, k = TaskContext.get().partitionId() << SLICES, 0
     for batch in batches:
         for part in slices(batch, "text", SLICE):
-            words, codes, _ = _words(part.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words)), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], ["h", "n"])
+            if k >> SLICES or first >> BITS:
+                raise ValueError("too many slices or partitions")
+            words, codes, n = _words(part.column("text"))
+            size = np.where(byte_lengths(part.column("text")) > 0, n + 1, 0)
+            rows = [pa.array([first + k], pa.int32()), _listed(part.column("doc_id")), _listed(pa.array(size, pa.int64())), pa.array([int(size.sum())], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([_hashes(words).tobytes()]), pa.array([_packed([codes])])], ["slice", "doc_id", "size", "symbols", "h", "codes"])
+            k += 1
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, codes in zip(batch.column("h").to_pylist(), batch.column("codes").to_pylist()):
+            h = np.frombuffer(h, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(_unpacked([codes], 1, np.int32)[0], minlength=len(h)).astype(np.int64))], ["h", "n"])
 
 
 class Vocabulary:
@@ -122,17 +147,21 @@ class Vocabulary:
 def _grams(column: pa.Array, vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.ndarray]:
     """The words of the n-gram that ends at each symbol of each text (the closing edge included), and the symbols of each text; 0 for null and empty."""
     words, codes, n = _words(column)
-    live = byte_lengths(column) > 0
-    size = np.where(live, n + 1, 0)
-    step = n[live] + ORDER
+    size = np.where(byte_lengths(column) > 0, n + 1, 0)
+    return _ends(vocabulary.ids(_hashes(words))[codes], size), size
+
+
+def _ends(ids: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    n = size[size > 0] - 1
+    step = n + ORDER
     starts = np.cumsum(step) - step
     padded = np.full(int(step.sum()), EDGE, np.int32)
-    at = np.repeat(starts + ORDER - 1 - (np.cumsum(n[live]) - n[live]), n[live]) + np.arange(len(codes))
-    padded[at] = vocabulary.ids(_hashes(words))[codes]
+    at = np.repeat(starts + ORDER - 1 - (np.cumsum(n) - n), n) + np.arange(len(ids))
+    padded[at] = ids
     keep = np.ones(len(padded), bool)
     keep[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
     keep = np.flatnonzero(keep)
-    return [padded[keep - k] for k in range(ORDER - 1, -1, -1)], size
+    return [padded[keep - k] for k in range(ORDER - 1, -1, -1)]
 
 
 def _pair(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -145,8 +174,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
 
 
-def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    return (_mixed(key) % np.uint64(parts)).astype(np.int64)
+def _groups(parts: int) -> int:
+    return GROUPS if parts % GROUPS == 0 else 1
+
+
+def _part(context: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
+    """The last context word gives the group, ``key`` which of its parts."""
+    groups = np.uint64(_groups(parts))
+    return (_mixed(context ^ BLOCK) % groups + groups * (_mixed(key) % (np.uint64(parts) // groups))).astype(np.int64)
+
+
+def _round(part: np.ndarray, parts: int, rounds: int) -> np.ndarray:
+    """The round in which a part is made and read: each has parts of all groups."""
+    return part // _groups(parts) % rounds
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -165,8 +205,9 @@ def _unpacked(blobs: list[bytes], k: int, kind: type = np.int64) -> list[np.ndar
 
 
 def _sent(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(part, kind="stable")
-    part, columns = part[order], [c[order] for c in columns]
+    if (part[1:] < part[:-1]).any():
+        order = np.argsort(part, kind="stable")
+        part, columns = part[order], [c[order] for c in columns]
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for i, j in zip(starts, np.append(starts[1:], len(part))):
         yield int(part[i]), _packed([c[i:j] for c in columns])
@@ -178,24 +219,37 @@ def _rows(sent: list[tuple[int, bytes]], stats: dict | None = None) -> list[pa.A
     return [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.array([None] * len(sent) + [json.dumps(stats)] * len(more), pa.string())]
 
 
-def _gram_rows(folder: str, files: list[list[int]], parts: int, now: int, rounds: int):
-    """The n-grams of one of the rounds."""
-    bits = _bits(files)
-
+def _numbered_rows(folder: str, files: list[list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(folder, files)
         for batch in batches:
-            for piece in slices(batch, "text", SLICE):
-                w = _grams(piece.column("text"), vocabulary)[0]
-                part = _part(_pair(w[3], w[2]), parts)
-                mine = np.flatnonzero(part % rounds == now)
+            for i in range(batch.num_rows):
+                row, (h, codes) = batch.slice(i, 1), (batch.column(x)[i].as_py() for x in ("h", "codes"))
+                ids = vocabulary.ids(np.frombuffer(h, np.int64))[_unpacked([codes], 1, np.int32)[0]]
+                yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([_packed([ids])])], ["slice", "doc_id", "size", "symbols", "ids"])
+
+    return run
+
+
+def _gram_rows(bits: int, parts: int, now: int, rounds: int):
+    """The n-grams of one of the rounds, each with the slice and the document in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size = batch.column("size")[i].values.to_numpy()
+                w = _ends(_unpacked([batch.column("ids")[i].as_py()], 1, np.int32)[0], size)
+                part = _part(w[3], _pair(w[3], w[2]), parts)
+                mine = np.flatnonzero(_round(part, parts, rounds) == now)
+                if not mine.size:
+                    continue
+                doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[mine]
                 part, w = part[mine], [x[mine] for x in w]
-                # by part and near context, and equal n-grams side by side but for rare clashes, which the part adds up
+                # by part and near context, and equal n-grams side by side but for rare clashes, which takes less room
                 mixed = (_mixed(_pair(w[1], w[0])) ^ _mixed(w[4])).astype(np.int64)
                 order = np.argsort(_folded([(part, parts.bit_length()), (w[3], bits), (w[2], bits), (mixed & 255, 8)]))
-                w = [x[order] for x in w]
-                at = _starts(*w)
-                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part[order][at[:-1]], [*(x[at[:-1]] for x in w), np.diff(at)]))), ["part", "blob", "stats"])
+                columns = [*(x[order] for x in w), np.full(len(order), batch.column("slice")[i].as_py(), np.int32), doc[order]]
+                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part[order], columns))), ["part", "blob", "stats"])
 
     return run
 
@@ -278,15 +332,18 @@ def _once_and_twice(count: np.ndarray) -> list[int]:
     return [int((count == 1).sum()), int((count == 2).sum())]
 
 
-def _write_tail(folder: str, heads: int, bits: int):
-    """Orders 3 to 5 of a part; sends on its bigrams."""
+def _write_tail(folder: str, own: str | None, heads: int, bits: int):
+    """Orders 3 to 5 of a part; sends on its bigrams. ``own``: where to write which documents have each n-gram."""
 
     def write(key, table):
-        *w, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1, np.int32)
+        *w, of, doc = _unpacked(table.column("blob").to_pylist(), ORDER + 2, np.int32)
         order, at = _distinct(_folded([(w[k], bits) for k in (3, 2, 1, 0, 4)]))[1:]
-        n5 = np.add.reduceat(n[order].astype(np.int64), at[:-1])
+        n5 = np.diff(at)
+        if own:
+            times = _packed([n5])
+            write_whole(f"{own}/{key[0].as_py()}.rows", iter([len(times).to_bytes(8, "little"), times, _packed([of[order], doc[order]])]))
         a, b, c, d, word = (x[order[at[:-1]]] for x in w)
-        del w, n
+        del w, of, doc
         # contexts of two to four words in order, and which of them a row has
         two, three, four = _starts(d, c), _starts(d, c, b), _starts(d, c, b, a)
         in3, in4 = (np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in (three, four))
@@ -306,7 +363,7 @@ def _write_tail(folder: str, heads: int, bits: int):
         size = write_whole(f"{folder}/{key[0].as_py()}.tail", iter([block]))
         stats = {"3": _once_and_twice(n3), "4": _once_and_twice(n4), "5": _once_and_twice(n5), "grams": [len(n3), len(n4), len(n5)], "bytes": size, "part": key[0].as_py()}
         context, word = pairs >> BITS, pairs & mask
-        return pa.table(_rows(list(_sent(_part(context, heads), [context, word, n2])), stats), ["part", "blob", "stats"])
+        return pa.table(_rows(list(_sent(_part(context, context, heads), [context, word, n2])), stats), ["part", "blob", "stats"])
 
     return write
 
@@ -354,27 +411,33 @@ def _stats(rows: DataFrame) -> list[dict]:
     return [json.loads(r["stats"]) for r in rows.where("part < 0").select("stats").collect()]
 
 
-def train(docs: DataFrame, text: str = "text") -> dict:
-    """Train on every text of ``docs`` and write the model to a new folder of the shared one; what scoring needs to know of it.
+def _split(docs: DataFrame, text: str) -> DataFrame:
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return cut(given.mapInArrow(_split_rows, f"{_SPLIT}, h binary, codes binary"))
 
-    Null and empty texts add nothing. A corpus without text gives a model of
-    the uniform distribution over the edge and the unknown symbol.
-    """
-    given = docs.select(F.col(text).alias("text")).where("text != ''")
+
+def _learnt(docs: DataFrame, text: str, own: str | None) -> tuple[DataFrame, dict]:
+    """The texts by slices with their words as numbers, and the model of them."""
+    split = _split(docs, text)
     folder = new_folder(docs.sparkSession, "word-lm")
-    counted = cut(given.mapInArrow(_word_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    tokens = (counted.agg(F.sum("n")).first()[0] or 0) + given.count()
+    counted = cut(split.mapInArrow(_word_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    tokens = split.agg(F.sum("symbols")).first()[0] or 0
     files = sorted([r["name"], r["n"]] for r in counted.orderBy(F.desc("n"), "h").select("h").mapInArrow(_write_words(folder), "name int, n long").collect())
     del counted
-    released(docs.sparkSession)
     symbols = FIRST + sum(n for _, n in files)
     if symbols >= 1 << BITS:
         raise ValueError(f"more than {1 << BITS} distinct words")
+    numbered = cut(split.mapInArrow(_numbered_rows(folder, files), f"{_SPLIT}, ids binary"))
+    del split
+    released(docs.sparkSession)
     parts = -(-tokens // PART_GRAMS) or 1
+    if parts >= GROUPS:
+        parts = -(-parts // GROUPS) * GROUPS
     meta: dict = {"folder": folder, "files": files, "symbols": symbols, "parts": parts, "d": {}}
-    made, rounds = [], min(ROUNDS, parts)
+    made, rounds = [], min(ROUNDS, parts // _groups(parts))
+    meta["rounds"] = rounds
     for now in range(rounds):
-        made.append(cut(given.mapInArrow(_gram_rows(folder, files, parts, now, rounds), _SENT).groupBy("part").applyInArrow(_write_tail(folder, parts, _bits(files)), _SENT)))
+        made.append(cut(numbered.mapInArrow(_gram_rows(_bits(files), parts, now, rounds), _SENT).groupBy("part").applyInArrow(_write_tail(folder, own, parts, _bits(files)), _SENT)))
         released(docs.sparkSession)
     tails = reduce(DataFrame.union, made)
     heads = cut(tails.where("part >= 0").groupBy("part").applyInArrow(_write_head(folder), _SENT))
@@ -388,7 +451,16 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     meta["heads"], meta["tails"] = ([s["part"] for s in x] for x in stats[1:])
     meta["total"], meta["blocks"] = sum(s["total"] for s in stats[0]), [s["block"] for s in stats[0]]
     meta["bytes"] = sum(s["bytes"] for x in stats for s in x)
-    return meta
+    return numbered, meta
+
+
+def train(docs: DataFrame, text: str = "text") -> dict:
+    """Train on every text of ``docs`` and write the model to a new folder of the shared one; what scoring needs to know of it.
+
+    Null and empty texts add nothing. A corpus without text gives a model of
+    the uniform distribution over the edge and the unknown symbol.
+    """
+    return _learnt(docs.withColumn("doc_id", F.lit(None).cast("long")), text, None)[1]
 
 
 class Part:
@@ -432,6 +504,25 @@ class Part:
         total = hi - lo + self.n[2 * level + 1].get(node)
         return lo, hi, total, self.d[level] * (hi - lo) / total
 
+    def all(self, p, bits: int) -> np.ndarray:
+        """Probabilities of all n-grams of the longest level, in order. ``p`` gives those of words after the last context word."""
+        lower = lower_starts = parent = None
+        for level, d in enumerate(self.d):
+            starts, value = self.s[1 + 4 * level].all(), self.s[2 + 4 * level].all()
+            kinds = np.diff(starts)
+            symbol = value - np.repeat(np.concatenate([[0], value[starts[1:-1] - 1]]), kinds)
+            if level == 0:
+                lower = p(np.repeat(self.s[0].all() >> bits, kinds), symbol)
+            else:
+                lower = lower[np.repeat(lower_starts[parent], kinds) + symbol]
+            total = kinds + self.n[2 * level + 1].get(np.arange(len(kinds)))
+            lower = lower * np.repeat(d * kinds / total, kinds)
+            lower += (1 + self.n[2 * level].get(np.arange(len(value))) - d) / np.repeat(total, kinds)
+            if level + 1 < len(self.d):
+                lower_starts, above = starts, self.s[3 + 4 * level].all()
+                parent = np.repeat(np.arange(len(kinds)), np.diff(above))
+        return lower
+
     def follow(self, p: np.ndarray, context: np.ndarray, further: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         """``p`` of ``word`` without these contexts, refined by each that is in the model. Equal contexts side by side are looked up once."""
         p, runs = p.copy(), _starts(context)
@@ -485,14 +576,23 @@ class Model:
 
     def probability(self, w: list[np.ndarray]) -> np.ndarray:
         """Of the last word of each n-gram after the others."""
+        p = self.after_one(w[3], w[4])
+        if not self.meta["total"]:
+            return p
+        return self._refined("tail", _part(w[3], _pair(w[3], w[2]), self.meta["parts"]), p, [w[3], w[2]], [w[1], w[0]], w[4])
+
+    def after_one(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of each word after the one before it."""
         bits = _bits(self.meta["files"])
-        pairs, at = np.unique(_pair(w[3], w[4], bits), return_inverse=True)
+        pairs, at = np.unique(_pair(context, word, bits), return_inverse=True)
         context, word = pairs >> bits, pairs & (1 << bits) - 1
         p = self._unigrams(word)
-        if not self.meta["total"]:
-            return p[at]
-        p = self._refined("head", _part(context, self.meta["parts"]), p, [context], [], word)[at]
-        return self._refined("tail", _part(_pair(w[3], w[2]), self.meta["parts"]), p, [w[3], w[2]], [w[1], w[0]], w[4])
+        if self.meta["total"]:
+            p = self._refined("head", _part(context, context, self.meta["parts"]), p, [context], [], word)
+        return p[at]
+
+    def part(self, kind: str, k: int, asked: int = 0) -> Part:
+        return self._opened(f"{k}.{kind}", lambda x: Part(x, [self.meta["d"][n] for n in {"head": "2", "tail": "345"}[kind]], asked))
 
     def _refined(self, kind: str, of: np.ndarray, p: np.ndarray, first: list[np.ndarray], further: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         bits = _bits(self.meta["files"])
@@ -502,8 +602,7 @@ class Model:
         for i, j in zip(starts, starts[1:]):
             mine = order[i:j]
             if (k := int(of[mine[0]])) in self.there[kind]:
-                part = Part(open_mapped(f"{self.meta['folder']}/{k}.{kind}"), [self.meta["d"][n] for n in {"head": "2", "tail": "345"}[kind]], len(mine))
-                out[mine] = part.follow(p[mine], context[mine], [x[mine] for x in further], word[mine])
+                out[mine] = self.part(kind, k, len(mine)).follow(p[mine], context[mine], [x[mine] for x in further], word[mine])
         return out
 
 
@@ -512,6 +611,12 @@ def _model(meta: str) -> Model:
     return Model(json.loads(meta))
 
 
+def _scored(doc_id: pa.Array, size: np.ndarray, log: np.ndarray) -> pa.RecordBatch:
+    none = size == 0
+    perplexity = 10.0 ** (-log / np.maximum(size, 1))
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(size), pa.array(log, mask=none), pa.array(perplexity, mask=none)], ["doc_id", "n_symbols", "log10_prob", "perplexity"])
+
+
 def _score_rows(meta: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(meta)
@@ -521,12 +626,7 @@ def _score_rows(meta: str):
                 each = np.log10(model.probability(w)) if len(w[0]) else np.zeros(0)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 total = np.concatenate([[0.0], np.cumsum(each)])
-                log = total[ends[1:]] - total[ends[:-1]]
-                none = size == 0
-                perplexity = 10.0 ** (-log / np.maximum(size, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), pa.array(log, mask=none), pa.array(perplexity, mask=none)], ["doc_id", "n_symbols", "log10_prob", "perplexity"]
-                )
+                yield _scored(part.column("doc_id"), size, total[ends[1:]] - total[ends[:-1]])
 
     return run
 
@@ -539,4 +639,70 @@ def score(docs: DataFrame, meta: dict, text: str = "text") -> DataFrame:
     empty table gives an empty result. No shuffle.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(_score_rows(json.dumps(meta)), "doc_id long, n_symbols long, log10_prob double, perplexity double")
+    return given.mapInArrow(_score_rows(json.dumps(meta)), _SCORES)
+
+
+def _own_rows(meta: str, own: str, parts: list[int]):
+    """What the n-grams of each of these parts add to each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(meta)
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                p = np.log10(model.part("tail", parts[k]).all(model.after_one, _bits(model.meta["files"])))
+                data = open_mapped(f"{own}/{parts[k]}.rows")
+                cut_at = 8 + int.from_bytes(data[:8].tobytes(), "little")
+                p = np.repeat(p, _unpacked([data[8:cut_at].tobytes()], 1, np.int32)[0])
+                of, doc = _unpacked([data[cut_at:].tobytes()], 2)
+                yield _sums(of << 32 | doc, p)
+
+    return run
+
+
+def _sums(key: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """The sums of each document, in a row for each slice."""
+    key, order, at = _distinct(key)
+    p = np.add.reduceat(p[order], at[:-1])
+    starts = _starts(key >> 32)
+    sums = [(key[i:j] & 0xFFFFFFFF).astype(np.uint32).tobytes() + p[i:j].tobytes() for i, j in zip(starts, starts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(key[starts[:-1]] >> 32, pa.int32()), pa.array(sums, pa.binary())], ["slice", "sums"])
+
+
+def _read_sums(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    n = [len(b) // 12 for b in blobs]
+    doc = [np.frombuffer(b, np.uint32, k) for b, k in zip(blobs, n)]
+    return np.concatenate([np.zeros(0, np.int64), *doc]).astype(np.int64), np.concatenate([np.zeros(0), *(np.frombuffer(b, np.float64, k, 4 * k) for b, k in zip(blobs, n))])
+
+
+def _added(key, table):
+    doc, p = _read_sums(table.column("sums").to_pylist())
+    return pa.Table.from_batches([_sums(key[0].as_py() << 32 | doc, p)])
+
+
+def _finished(key, table):
+    given = table.filter(pc.is_valid(table.column("size")))
+    doc_id, size = (pc.list_flatten(given.column(x)).combine_chunks() for x in ("doc_id", "size"))
+    size = size.to_numpy()
+    doc, p = _read_sums(table.column("sums").drop_null().to_pylist())
+    return pa.Table.from_batches([_scored(doc_id, size, np.bincount(doc, p, len(size)).astype(float))])
+
+
+def own_scores(docs: DataFrame, text: str = "text") -> DataFrame:
+    """What ``score(docs, train(docs))`` gives, without a search: as each part is made it also says which documents have each of its n-grams, and their probabilities are read off in order.
+
+    Texts are split once. Sums of a document go from the parts to its slice, in
+    the rounds in which the parts were made.
+    """
+    spark = docs.sparkSession
+    own = new_folder(spark, "word-lm-rows")
+    numbered, meta = _learnt(docs, text, own)
+    told, sums = json.dumps(meta), []
+    for now in range(meta["rounds"]):
+        mine = [k for k in meta["tails"] if _round(k, meta["parts"], meta["rounds"]) == now]
+        if mine:
+            sums.append(cut(spark.range(0, len(mine), 1, len(mine)).mapInArrow(_own_rows(told, own, mine), _SUMS).groupBy("slice").applyInArrow(_added, _SUMS)))
+            released(spark)
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [numbered.select("slice", "doc_id", "size"), *sums])
+    if not sums:
+        rows = rows.withColumn("sums", F.lit(None).cast("binary"))
+    return rows.groupBy("slice").applyInArrow(_finished, _SCORES)

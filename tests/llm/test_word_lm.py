@@ -147,3 +147,28 @@ def test_look_ups_one_by_one_and_decoded_agree(spark, monkeypatch):
     decoded = model.probability(w)
     monkeypatch.setattr(lm, "DECODED", 0)
     assert (model.probability(w) == decoded).all()
+
+
+@pytest.mark.parametrize("grams", [2_000_000, 40])
+def test_scores_of_the_corpus_itself(spark, monkeypatch, grams):
+    """What the registered query runs gives the scores by dictionaries and those by look-ups, over parts and slices of any number."""
+    monkeypatch.setattr(lm, "PART_GRAMS", grams)
+    monkeypatch.setattr(lm, "SLICE", 400)
+    given = [*texts(8, 120), (7, "the cat sat,"), (7, "the cat sat,"), (None, "dog"), (500, None), (501, ""), (502, " \n")]
+    slow = Slow([t for _, t in given if t])
+    table = docs(spark, given).repartition(3)
+    key = lambda r: (str(r["doc_id"]), r["n_symbols"], r["log10_prob"] or 0)
+    got, searched = (sorted(x.collect(), key=key) for x in (lm.own_scores(table), lm.score(table, lm.train(table))))
+    want = sorted(((d, len(lm._WORD.findall(t)) + 1 if t else 0, slow.score(t) if t else None) for d, t in given), key=lambda r: (str(r[0]), r[1], r[2] or 0))
+    assert len(got) == len(searched) == len(given)
+    for g, s, (d, n, p) in zip(got, searched, want):
+        assert (g["doc_id"], g["n_symbols"]) == (s["doc_id"], s["n_symbols"]) == (d, n)
+        assert (g["log10_prob"] is None) == (g["perplexity"] is None) == (n == 0)
+        if n:
+            assert g["log10_prob"] == pytest.approx(p, rel=1e-9) and s["log10_prob"] == pytest.approx(p, rel=1e-9)
+            assert g["perplexity"] == pytest.approx(10 ** (-p / n))
+
+
+def test_own_scores_of_nothing(spark):
+    assert lm.own_scores(docs(spark, [])).collect() == []
+    assert [tuple(r) for r in lm.own_scores(docs(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, None, None), (2, 0, None, None)]
