@@ -8,8 +8,8 @@ symbol. Words are told apart by 64 bits of hash.
 Every slice of texts sends its n-grams, each with its count, to the part that
 their last two context words give, so all counts of orders 3 to 5 are made within
 a part; order 2 is summed up over parts by its context word, order 1 over those.
-Nothing is pruned. The parts are made in three rounds over the texts, so that a
-third of the n-grams is on disk at a time.
+Nothing is pruned. The parts are made in eight rounds over the texts, so that an
+eighth of the n-grams is on disk at a time. Bigrams are read off the parts.
 
 A part is a trie of contexts, from the last word to the first, with the words
 that follow each context. A node's children are a range of the next level; the
@@ -53,7 +53,7 @@ PART_GRAMS = 2_000_000
 #: Parts are of so many groups by the last context word, so that those of a group ask its bigrams only; few, as no word is split here.
 GROUPS = 4
 #: Rounds over the texts in which the parts are made and read.
-ROUNDS = 6
+ROUNDS = 8
 #: Symbols of a file of unigram counts.
 BLOCK = 1 << 20
 #: Bytes of text a worker takes at once.
@@ -231,8 +231,8 @@ def _numbered_rows(folder: str, files: list[list[int]]):
     return run
 
 
-def _gram_rows(bits: int, parts: int, now: int, rounds: int):
-    """The n-grams of one of the rounds, each with the slice and the document in it."""
+def _gram_rows(bits: int, parts: int, now: int, rounds: int, own: bool = False):
+    """The n-grams of one of the rounds, each once a slice with its count, or (``own``) all with the slice and the document in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,13 +243,18 @@ def _gram_rows(bits: int, parts: int, now: int, rounds: int):
                 mine = np.flatnonzero(_round(part, parts, rounds) == now)
                 if not mine.size:
                     continue
-                doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[mine]
                 part, w = part[mine], [x[mine] for x in w]
-                # by part and near context, and equal n-grams side by side but for rare clashes, which takes less room
+                # by part and near context, and equal n-grams side by side but for rare clashes, which the part adds up
                 mixed = (_mixed(_pair(w[1], w[0])) ^ _mixed(w[4])).astype(np.int64)
                 order = np.argsort(_folded([(part, parts.bit_length()), (w[3], bits), (w[2], bits), (mixed & 255, 8)]))
-                columns = [*(x[order] for x in w), np.full(len(order), batch.column("slice")[i].as_py(), np.int32), doc[order]]
-                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part[order], columns))), ["part", "blob", "stats"])
+                part, w = part[order], [x[order] for x in w]
+                if own:
+                    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[mine[order]]
+                    columns = [*w, np.full(len(order), batch.column("slice")[i].as_py(), np.int32), doc]
+                else:
+                    at = _starts(*w)
+                    part, columns = part[at[:-1]], [*(x[at[:-1]] for x in w), np.diff(at)]
+                yield pa.RecordBatch.from_arrays(_rows(list(_sent(part, columns))), ["part", "blob", "stats"])
 
     return run
 
@@ -332,18 +337,20 @@ def _once_and_twice(count: np.ndarray) -> list[int]:
     return [int((count == 1).sum()), int((count == 2).sum())]
 
 
-def _write_tail(folder: str, own: str | None, heads: int, bits: int):
-    """Orders 3 to 5 of a part; sends on its bigrams. ``own``: where to write which documents have each n-gram."""
+def _by_context(w: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams in a part, and where each distinct one begins in it, with the end."""
+    return _distinct(_folded([(w[k], bits) for k in (3, 2, 1, 0, 4)]))[1:]
+
+
+def _write_tail(folder: str, bits: int):
+    """Orders 3 to 5 of a part."""
 
     def write(key, table):
-        *w, of, doc = _unpacked(table.column("blob").to_pylist(), ORDER + 2, np.int32)
-        order, at = _distinct(_folded([(w[k], bits) for k in (3, 2, 1, 0, 4)]))[1:]
-        n5 = np.diff(at)
-        if own:
-            times = _packed([n5])
-            write_whole(f"{own}/{key[0].as_py()}.rows", iter([len(times).to_bytes(8, "little"), times, _packed([of[order], doc[order]])]))
+        *w, n = _unpacked(table.column("blob").to_pylist(), ORDER + 1, np.int32)
+        order, at = _by_context(w, bits)
+        n5 = np.add.reduceat(n[order].astype(np.int64), at[:-1])
         a, b, c, d, word = (x[order[at[:-1]]] for x in w)
-        del w, of, doc
+        del w, n
         # contexts of two to four words in order, and which of them a row has
         two, three, four = _starts(d, c), _starts(d, c, b), _starts(d, c, b, a)
         in3, in4 = (np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in (three, four))
@@ -354,7 +361,6 @@ def _write_tail(folder: str, own: str | None, heads: int, bits: int):
         key3, order, at = _distinct(in2[key4 >> BITS] << BITS | key4 & mask)
         n3, place3, starts3 = np.diff(at), _ranked(order, at), _starts(key3 >> BITS)
         word3 = key3 & mask
-        pairs, n2 = np.unique(_pair(d[two[:-1]][key3 >> BITS], word3), return_counts=True)
         block = _file([
             _pair(d[two[:-1]], c[two[:-1]], bits), *_followers(word3, starts3),
             above3, _monotone(b[three[:-1]], above3), *_followers(place3 - starts3[in2[key4 >> BITS]], starts4),
@@ -362,12 +368,25 @@ def _write_tail(folder: str, own: str | None, heads: int, bits: int):
         ], [(n3, starts3), (n4, starts4), (n5, four)])
         size = write_whole(f"{folder}/{key[0].as_py()}.tail", iter([block]))
         stats = {"3": _once_and_twice(n3), "4": _once_and_twice(n4), "5": _once_and_twice(n5), "grams": [len(n3), len(n4), len(n5)], "bytes": size, "part": key[0].as_py()}
-        context, word = pairs >> BITS, pairs & mask
-        return pa.table(_rows(list(_sent(_part(context, context, heads), [context, word, n2])), stats), ["part", "blob", "stats"])
+        return pa.table(_rows([], stats), ["part", "blob", "stats"])
 
     return write
 
 
+def _bigram_rows(folder: str, tails: list[int], parts: int, bits: int):
+    """The bigrams of parts, read off their third order, with the number of words before each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                context, word, _ = Part(open_mapped(f"{folder}/{tails[k]}.tail"), [0.0] * 3).followers(0)
+                pairs, n = np.unique(_pair(context >> bits, word), return_counts=True)
+                context, word = pairs >> BITS, pairs & (1 << BITS) - 1
+                yield pa.RecordBatch.from_arrays(_rows(list(_sent(_part(context, context, parts), [context, word, n]))), ["part", "blob", "stats"])
+
+    return run
+
+
 def _write_head(folder: str):
     """Order 2 of a part; sends on its unigrams."""
 
@@ -416,7 +435,7 @@ def _split(docs: DataFrame, text: str) -> DataFrame:
     return cut(given.mapInArrow(_split_rows, f"{_SPLIT}, h binary, codes binary"))
 
 
-def _learnt(docs: DataFrame, text: str, own: str | None) -> tuple[DataFrame, dict]:
+def _learnt(docs: DataFrame, text: str) -> tuple[DataFrame, dict]:
     """The texts by slices with their words as numbers, and the model of them."""
     split = _split(docs, text)
     folder = new_folder(docs.sparkSession, "word-lm")
@@ -437,10 +456,12 @@ def _learnt(docs: DataFrame, text: str, own: str | None) -> tuple[DataFrame, dic
     made, rounds = [], min(ROUNDS, parts // _groups(parts))
     meta["rounds"] = rounds
     for now in range(rounds):
-        made.append(cut(numbered.mapInArrow(_gram_rows(_bits(files), parts, now, rounds), _SENT).groupBy("part").applyInArrow(_write_tail(folder, own, parts, _bits(files)), _SENT)))
+        made.append(cut(numbered.mapInArrow(_gram_rows(_bits(files), parts, now, rounds), _SENT).groupBy("part").applyInArrow(_write_tail(folder, _bits(files)), _SENT)))
         released(docs.sparkSession)
     tails = reduce(DataFrame.union, made)
-    heads = cut(tails.where("part >= 0").groupBy("part").applyInArrow(_write_head(folder), _SENT))
+    there = [x["part"] for x in _stats(tails)]
+    each = docs.sparkSession.range(0, len(there), 1, max(1, len(there)))
+    heads = cut(each.mapInArrow(_bigram_rows(folder, there, parts, _bits(files)), _SENT).groupBy("part").applyInArrow(_write_head(folder), _SENT))
     released(docs.sparkSession)
     blocks = cut(heads.where("part >= 0").groupBy("part").applyInArrow(_write_unigrams(folder), _SENT))
     stats = [_stats(x) for x in (blocks, heads, tails)]
@@ -460,7 +481,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     Null and empty texts add nothing. A corpus without text gives a model of
     the uniform distribution over the edge and the unknown symbol.
     """
-    return _learnt(docs.withColumn("doc_id", F.lit(None).cast("long")), text, None)[1]
+    return _learnt(docs.withColumn("doc_id", F.lit(None).cast("long")), text)[1]
 
 
 class Part:
@@ -504,23 +525,26 @@ class Part:
         total = hi - lo + self.n[2 * level + 1].get(node)
         return lo, hi, total, self.d[level] * (hi - lo) / total
 
+    def followers(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words that follow contexts, in order: the place of the context (at the first level itself), the word (its place at the level below), and where each context's begin."""
+        starts, value = self.s[1 + 4 * level].all(), self.s[2 + 4 * level].all()
+        kinds = np.diff(starts)
+        symbol = value - np.repeat(np.concatenate([[0], value[starts[1:-1] - 1]]), kinds)
+        return np.repeat(np.arange(len(kinds)) if level else self.s[0].all(), kinds), symbol, starts
+
     def all(self, p, bits: int) -> np.ndarray:
         """Probabilities of all n-grams of the longest level, in order. ``p`` gives those of words after the last context word."""
-        lower = lower_starts = parent = None
+        lower = below = parent = None
         for level, d in enumerate(self.d):
-            starts, value = self.s[1 + 4 * level].all(), self.s[2 + 4 * level].all()
+            context, symbol, starts = self.followers(level)
+            lower = lower[below[parent[context]] + symbol] if level else p(context >> bits, symbol)
             kinds = np.diff(starts)
-            symbol = value - np.repeat(np.concatenate([[0], value[starts[1:-1] - 1]]), kinds)
-            if level == 0:
-                lower = p(np.repeat(self.s[0].all() >> bits, kinds), symbol)
-            else:
-                lower = lower[np.repeat(lower_starts[parent], kinds) + symbol]
             total = kinds + self.n[2 * level + 1].get(np.arange(len(kinds)))
             lower = lower * np.repeat(d * kinds / total, kinds)
-            lower += (1 + self.n[2 * level].get(np.arange(len(value))) - d) / np.repeat(total, kinds)
+            lower += (1 + self.n[2 * level].get(np.arange(len(symbol))) - d) / np.repeat(total, kinds)
             if level + 1 < len(self.d):
-                lower_starts, above = starts, self.s[3 + 4 * level].all()
-                parent = np.repeat(np.arange(len(kinds)), np.diff(above))
+                below = starts
+                parent = np.repeat(np.arange(len(kinds)), np.diff(self.s[3 + 4 * level].all()))
         return lower
 
     def follow(self, p: np.ndarray, context: np.ndarray, further: list[np.ndarray], word: np.ndarray) -> np.ndarray:
@@ -642,19 +666,18 @@ def score(docs: DataFrame, meta: dict, text: str = "text") -> DataFrame:
     return given.mapInArrow(_score_rows(json.dumps(meta)), _SCORES)
 
 
-def _own_rows(meta: str, own: str, parts: list[int]):
-    """What the n-grams of each of these parts add to each document."""
+def _own_part(meta: str):
+    """What the n-grams of a part add to each document. They are all of the model, so in order they are those of its file."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key, table):
         model = _model(meta)
-        for batch in batches:
-            for k in batch.column("id").to_pylist():
-                p = np.log10(model.part("tail", parts[k]).all(model.after_one, _bits(model.meta["files"])))
-                data = open_mapped(f"{own}/{parts[k]}.rows")
-                cut_at = 8 + int.from_bytes(data[:8].tobytes(), "little")
-                p = np.repeat(p, _unpacked([data[8:cut_at].tobytes()], 1, np.int32)[0])
-                of, doc = _unpacked([data[cut_at:].tobytes()], 2)
-                yield _sums(of << 32 | doc, p)
+        bits, k = _bits(model.meta["files"]), key[0].as_py()
+        *w, of, doc = _unpacked(table.column("blob").to_pylist(), ORDER + 2, np.int32)
+        order, at = _by_context(w, bits)
+        where = of[order].astype(np.int64) << 32 | doc[order]
+        del w, of, doc, order
+        p = np.log10(model.part("tail", k).all(model.after_one, bits))
+        return pa.Table.from_batches([_sums(where, np.repeat(p, np.diff(at)))])
 
     return run
 
@@ -688,20 +711,20 @@ def _finished(key, table):
 
 
 def own_scores(docs: DataFrame, text: str = "text") -> DataFrame:
-    """What ``score(docs, train(docs))`` gives, without a search: as each part is made it also says which documents have each of its n-grams, and their probabilities are read off in order.
+    """What ``score(docs, train(docs))`` gives, without a search: the n-grams of the texts go to the parts once more, each with its document, and in order they are those of the part, whose probabilities are read off.
 
     Texts are split once. Sums of a document go from the parts to its slice, in
-    the rounds in which the parts were made.
+    as many rounds as the parts were made in.
     """
     spark = docs.sparkSession
-    own = new_folder(spark, "word-lm-rows")
-    numbered, meta = _learnt(docs, text, own)
+    numbered, meta = _learnt(docs, text)
+    bits, parts, rounds = _bits(meta["files"]), meta["parts"], meta["rounds"]
     told, sums = json.dumps(meta), []
-    for now in range(meta["rounds"]):
-        mine = [k for k in meta["tails"] if _round(k, meta["parts"], meta["rounds"]) == now]
-        if mine:
-            sums.append(cut(spark.range(0, len(mine), 1, len(mine)).mapInArrow(_own_rows(told, own, mine), _SUMS).groupBy("slice").applyInArrow(_added, _SUMS)))
-            released(spark)
+    for now in range(rounds if meta["total"] else 0):
+        asked = numbered.mapInArrow(_gram_rows(bits, parts, now, rounds, True), _SENT).groupBy("part")
+        sums.append(cut(asked.applyInArrow(_own_part(told), _SUMS).groupBy("slice").applyInArrow(_added, _SUMS)))
+        del asked
+        released(spark)
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [numbered.select("slice", "doc_id", "size"), *sums])
     if not sums:
         rows = rows.withColumn("sums", F.lit(None).cast("binary"))
