@@ -150,3 +150,15 @@ def test_page_out_of_range(spark):
     assert spans.page_text(s, 1).first()["text"] == "a"
     with pytest.raises(Exception, match="out of range"):
         spans.page_text(s, 2).collect()
+
+
+def test_images_are_not_broadcast(spark):
+    few = spark.range(3).select(F.col("id").alias("img_id"))
+    pixels = few.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("img_id", "y", "x", "x * 9 AS r", "y AS g", "0 AS b")
+    found = images.pixel_diff_long(pixels, pixels.withColumn("r", F.when(F.col("x") == 2, 1).otherwise(F.col("r"))))
+    whole = few.select("img_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.expr("unhex(repeat('0A', 192))").alias("rgb"))
+    compared = images.compare_images(whole, whole, with_diff=False)
+    for d in (found, compared):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    assert [(r["pixel_diff_count"], r["total_pixels"]) for r in found.collect()] == [(8, 64)] * 3
+    assert all(r["passed"] for r in compared.collect())
