@@ -141,3 +141,10 @@ def test_table_answers(spark):
     got = spark.createDataFrame(list(enumerate(raw)), "k int, raw string").select("k", model_json.table_answer(F.col("raw")).alias("a")).orderBy("k").collect()
     assert got[0]["a"]["value"]["rows"] == [["a", ""], []] and got[0]["a"]["value"]["id"] == "table_1" and got[1]["a"]["value"]["rows"] == []
     assert [r["a"]["error"] is not None for r in got] == [False, False, True, True, False] and got[4]["a"]["value"] is None
+
+
+def test_entities_need_their_semicolon():
+    d = html.extract('<title>a &amp; b&amp</title><h1>x&lt;y &copy 5&amp;&am</h1><p>AT&T &quot;q&quot; &notit; &#38; &</p><a href="/?a=1&copy=2&amp;b">l&amp</a><p><xmp>&amp;</xmp> end')
+    assert d["title"] == "a & b&amp"
+    assert [e["content"] for e in d["content"]][:2] == ["x<y &copy 5&&am", 'AT&T "q" &notit; & &']
+    assert d["links"] == [{"id": "link_1", "text": "l&amp", "url": "/?a=1&copy=2&b"}]
