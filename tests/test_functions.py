@@ -116,3 +116,21 @@ def test_levels(spark, score, level):
 
 def test_white_space_is_unicode(spark):
     assert one(spark, T.strip(F.lit("  a b　\x1c"))) == "a b"
+
+
+def test_long_text_that_lost_parts():
+    import random
+    import time
+
+    r = random.Random(5)
+    words = sorted("".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(60_000))
+    a, b = " ".join(words), " ".join(w for w in words if r.random() < 0.8)
+    t = time.perf_counter()
+    assert S.lcs_length(a, b) == S.lcs_length(b, a) == len(b)
+    assert time.perf_counter() - t < 1.5
+    assert S.lcs_length("abcabd", "dab") == 2 and S.lcs_length("", "x") == 0 and S.lcs_length("axbxc", "abc") == 3
+
+
+def test_tokens_are_split_before_they_are_lower_case(spark):
+    assert one(spark, S.token_sorted(F.col("t")), t="İX, É ΑΣ b--A_2 ") == "2 a b i̇x ας"
+    assert one(spark, S.token_sorted(F.col("t")), t="?? ") == "" and one(spark, S.token_sorted(F.col("t")), t=None) == ""
