@@ -113,10 +113,10 @@ class TableSettings:
     intersection_tolerance: float = 3
 
 
-def _clusters(at: str, over: list[str], tolerance: float) -> tuple[Column, Column]:
-    """Number of the run of values, each no farther than the tolerance from the one before, and whether one begins (as ``__dp_new``)."""
-    w = W.partitionBy(*over).orderBy(at)
-    return F.sum("__dp_new").over(w.rangeBetween(W.unboundedPreceding, 0)), F.when(F.col(at) - F.lag(at).over(w) <= tolerance, 0).otherwise(1)
+def _starts(values: Column, tolerance: float) -> Column:
+    """Where the runs of values begin, each value no farther than the tolerance from the one before, in order."""
+    ordered = F.array_sort(F.array_distinct(values))
+    return F.transform(F.array(ordered), lambda s: F.filter(s, lambda v, i: (i == 0) | ~(v - F.get(s, i - 1) <= tolerance)))[0]
 
 
 def text_tables(words: DataFrame, settings: TableSettings = TableSettings("text", "text")) -> DataFrame:
@@ -129,23 +129,28 @@ def text_tables(words: DataFrame, settings: TableSettings = TableSettings("text"
     joined by spaces, cells without words are empty. A page without columns has no table; words without text or position are left out.
     """
     page = ["doc_id", "page"]
-    t = words.select(*page, "text", "x0", "y0", "x1", "y1").where("trim(text) <> '' and x0 is not null and y0 is not null")
-    for at, name in (("y0", "__dp_row"), ("x0", "__dp_col")):
-        number, new = _clusters(at, page, settings.snap_tolerance)
-        t = t.withColumn("__dp_new", new).withColumn(name, number).drop("__dp_new")
-    t = t.withColumn("__dp_in_row", F.count("*").over(W.partitionBy(*page, "__dp_row"))).where(F.col("__dp_in_row") >= settings.min_words_horizontal)
-    edges = t.groupBy(*page, "__dp_col").agg(F.count("*").alias("n"), F.min("x0").alias("left")).where(F.col("n") >= settings.min_words_vertical)
-    edges = edges.groupBy(*page).agg(F.sort_array(F.collect_list("left")).alias("edges"))
-    placed = t.join(edges, page).withColumn("col", F.greatest(F.size(F.filter("edges", lambda e: e <= F.col("x0") + settings.text_tolerance)), F.lit(1)))
-    cell = placed.groupBy(*page, "__dp_row", "col").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "y0", "text"))), lambda w: w["text"]), " ").alias("text"), F.size(F.first("edges")).alias("cols"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-    )
-    corners = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    row = cell.groupBy(*page, "__dp_row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("cols").alias("cols"), *corners)
-    row = row.withColumn("cells", F.transform(F.sequence(F.lit(1), F.col("cols")), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))))
-    found = row.groupBy(*page).agg(F.transform(F.sort_array(F.collect_list(F.struct("__dp_row", "cells"))), lambda r: r["cells"]).alias("rows"), *corners)
-    return found.select("doc_id", F.format_string("tab_p%d_t%d", "page", F.lit(1)).alias("id"), "page", F.lit(1).alias("table"), "rows", "x0", "y0", "x1", "y1")
+    t = words.select(*page, "text", "x0", "y0", "x1", "y1").where("trim(text) <> '' and x0 is not null and y0 is not null and doc_id is not null and page is not null")
+    t = t.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("x0", "y0", "text", "x1", "y1"))).alias("w"))
+    if settings.min_words_vertical > 1:
+        # most pages have no column, rows left out or not: runs of left edges, which are in order here, are too short
+        far = lambda w, i: (i == 0) | ~(w["x0"] - F.get("w", i - 1)["x0"] <= settings.snap_tolerance)
+        t = t.where(F.size("w") >= settings.min_words_vertical).withColumn("__dp_at", F.array_compact(F.transform("w", lambda w, i: F.when(far(w, i), i))))
+        t = t.where(F.array_max(F.transform("__dp_at", lambda p, k: F.coalesce(F.get("__dp_at", k + 1), F.size("w")) - p)) >= settings.min_words_vertical).drop("__dp_at")
+    t = t.withColumns({f"__dp_{k}": _starts(F.transform("w", lambda w: w[k]), settings.snap_tolerance) for k in ("y0", "x0")})
+    run = lambda starts, v: F.size(F.filter(starts, lambda s: s <= v))
+    t = t.withColumn("w", F.transform("w", lambda w: F.struct(*[w[k].alias(k) for k in ("x0", "y0", "text", "x1", "y1")], run(F.col("__dp_y0"), w["y0"]).alias("row"), run(F.col("__dp_x0"), w["x0"]).alias("col"))))
+    rows = F.transform(F.sequence(F.lit(1), F.size("__dp_y0")), lambda i: F.filter("w", lambda w: w["row"] == i))
+    t = t.withColumn("r", F.filter(rows, lambda r: F.size(r) >= max(settings.min_words_horizontal, 1)))
+    t = t.withColumn("w", F.flatten("r"))
+    columns = F.transform(F.sequence(F.lit(1), F.size("__dp_x0")), lambda j: F.transform(F.filter("w", lambda w: w["col"] == j), lambda w: w["x0"]))
+    edges = F.transform(F.filter(columns, lambda c: F.size(c) >= max(settings.min_words_vertical, 1)), F.array_min)
+    t = t.withColumn("edges", F.array_sort(edges)).where(F.size("edges") > 0)
+    at = lambda w: F.greatest(run(F.col("edges"), w["x0"] + settings.text_tolerance), F.lit(1))
+    cell = lambda r, j: F.array_join(F.transform(F.filter(r, lambda w: w["col"] == j), lambda w: w["text"]), " ")
+    placed = F.transform("r", lambda r: F.transform(r, lambda w: F.struct(at(w).alias("col"), w["text"].alias("text"))))
+    table = F.transform(placed, lambda r: F.transform(F.sequence(F.lit(1), F.size("edges")), lambda j: cell(r, j)))
+    corners = [f(F.transform("w", lambda w: w[k])).alias(k) for f, k in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
+    return t.select("doc_id", F.format_string("tab_p%d_t%d", "page", F.lit(1)).alias("id"), "page", F.lit(1).alias("table"), table.alias("rows"), *corners)
 
 
 def found_tables(settings: TableSettings, cells: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
@@ -175,8 +180,9 @@ def service_image(width: Column, height: Column) -> Column:
     return F.format_string("Image (%dx%d)", width.cast("int"), height.cast("int"))
 
 
-def service_table(rows: Column) -> Column:
-    return F.format_string("Table (%d rows × %d cols)", F.size(rows), F.size(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>"))))
+def service_table(rows: Column, columns: Column) -> Column:
+    """``columns``: those of the first row."""
+    return F.format_string("Table (%d rows × %d cols)", rows, columns)
 
 
 def service_boxes(spans: DataFrame, cells: DataFrame, dpi: float = 150.0) -> DataFrame:
@@ -186,9 +192,13 @@ def service_boxes(spans: DataFrame, cells: DataFrame, dpi: float = 150.0) -> Dat
     images = spans.where("block_type = 1").groupBy("doc_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     shown = service_image(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     figures = images.select("doc_id", "page", F.concat(F.lit("tool_img_"), F.col("block").cast("string")).alias("id"), F.lit("figure").alias("type"), shown.alias("content"), *px)
-    found = tables(cells).join(table_regions(cells), ["doc_id", "page", "table"])
+    # only what is shown: numbers, no texts, so nothing is collected or joined
+    corners = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    row = cells.groupBy("doc_id", "page", "table", "row").agg(F.count("*").alias("n"), *corners)
+    first = F.min_by("n", F.coalesce(F.col("row").cast("long"), F.lit(-(2**63))))
+    found = row.where("doc_id is not null and page is not null and table is not null").groupBy("doc_id", "page", "table").agg(F.count("*").alias("rows"), first.alias("cols"), *corners)
     number = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("table")) - 1
-    return figures.union(found.select("doc_id", "page", F.concat(F.lit("tool_table_"), number.cast("string")).alias("id"), F.lit("table").alias("type"), service_table(F.col("rows")).alias("content"), *px))
+    return figures.union(found.select("doc_id", "page", F.concat(F.lit("tool_table_"), number.cast("string")).alias("id"), F.lit("table").alias("type"), service_table(F.col("rows"), F.col("cols")).alias("content"), *px))
 
 
 def second_extractor(elements: DataFrame) -> DataFrame:

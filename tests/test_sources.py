@@ -148,3 +148,19 @@ def test_entities_need_their_semicolon():
     assert d["title"] == "a & b&amp"
     assert [e["content"] for e in d["content"]][:2] == ["x<y &copy 5&&am", 'AT&T "q" &notit; & &']
     assert d["links"] == [{"id": "link_1", "text": "l&amp", "url": "/?a=1&copy=2&b"}]
+
+
+def test_boxes_and_text_tables_hold_one_aggregation(spark):
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    cells = spark.createDataFrame([("d", 1, 3, None, 0, "x", 0.0, 5.0, 9.0, 8.0), ("d", 1, 3, 2, 0, "y", 1.0, 9.0, 8.0, 12.0), ("d", 1, 3, 2, 1, None, 9.0, 9.0, 20.0, 12.0), ("d", 1, 1, 1, 0, "z", 0.0, 0.0, 1.0, 1.0), ("d", None, 1, 1, 0, "z", 0.0, 0.0, 1.0, 1.0)],
+                                  "doc_id string, page int, table int, row int, col int, text string, x0 double, y0 double, x1 double, y1 double")
+    none = spark.createDataFrame([], "doc_id string, page int, block int, block_type int, line int, span int, text string, size double, x0 double, y0 double, x1 double, y1 double")
+    found = spans.service_boxes(none, cells, 72.0)
+    assert "Join" not in plan(found) and "collect_list" not in plan(found)
+    assert sorted((r["id"], r["content"], r["width"], r["height"]) for r in found.collect()) == [("tool_table_0", "Table (1 rows × 1 cols)", 1.0, 1.0), ("tool_table_1", "Table (2 rows × 1 cols)", 20.0, 7.0)]
+    at = [(x, y) for y in (0.0, 1.0, 10.0, 20.0, 40.0) for x in (0.0, 50.0 + y % 3)] + [(200.0, 30.0)]
+    words = spark.createDataFrame([("d", 1, f"{i}", x, y, x + 5, y + 5) for i, (x, y) in enumerate(at)] + [("d", 2, "a", 0.0, 0.0, 1.0, 1.0), ("d", None, "a", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    tables = spans.text_tables(words, spans.TableSettings("text", "text", min_words_horizontal=2))
+    assert "Window" not in plan(tables) and "Join" not in plan(tables)
+    r = tables.collect()
+    assert [x["rows"] for x in r] == [[["0 2", "1 3"], ["4", "5"], ["6", "7"], ["8", "9"]]] and (r[0]["x1"], r[0]["y1"]) == (57.0, 45.0)
