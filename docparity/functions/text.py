@@ -22,8 +22,9 @@ WHITE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 
 
 def strip(text: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+$", "")
+    """White space of any kind off both ends; the whole text is only searched where an end is white space."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(F.regexp_like(ends, F.lit(f"[{WHITE}]")), F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
 
 
 def clean_text(text: Column) -> Column:
@@ -88,20 +89,29 @@ def author_list(raw: Column) -> Column:
 ADDITIVE = ("n", "n_blank", "chars", "alnum", "spaces", "bad", "words", "word_chars", "broken")
 
 
-def element_counts(text: Column) -> dict[str, Column]:
-    """Counts of one element. Joined text is never built: joining n texts by a space adds n - 1 characters of white space."""
+def element_counts(text: Column, clean: Column | None = None) -> dict[str, Column]:
+    """Counts of one element. Joined text is never built: joining n texts by a space adds n - 1 characters of white space.
+
+    All but the characters are counted in the words by one space each, found by one
+    expression; ``clean`` gives them (:func:`clean_text`) where it is known, as within
+    a lambda, which does not share what its parts have in common.
+    """
     t = F.coalesce(text, F.lit(""))
-    n, word_chars = F.length(t).cast("long"), chars_left(t, rf"[{WHITE}]+")
+    clean = clean_text(t) if clean is None else clean
+    space, none = F.lit(" "), F.lit("")
+    closed = F.replace(clean, space, none)
+    n, word_chars = F.length(t).cast("long"), F.length(closed).cast("long")
+    good = reduce(lambda c, x: F.replace(c, F.lit(x), none), ("\ufffd", "\x00", "\ufffe", "\uffff"), t)
     return {
         "n": F.lit(1).cast("long"),
         "n_blank": F.when(word_chars == 0, 1).otherwise(0).cast("long"),
         "chars": n,
-        "alnum": chars_left(t, r"[^\p{L}\p{N}]+"),
+        "alnum": chars_left(closed, r"[^\p{L}\p{N}]+"),
         "spaces": n - word_chars,
-        "bad": n - chars_left(t, "[�\\x00￾￿]+"),
-        "words": count_of(t, rf"[^{WHITE}]+"),
+        "bad": n - F.length(good).cast("long"),
+        "words": F.when(word_chars == 0, 0).otherwise(F.length(clean) - word_chars + 1).cast("long"),
         "word_chars": word_chars,
-        "broken": count_of(t, rf"(?<![^{WHITE}])[^{WHITE}\p{{L}}\p{{N}}](?![^{WHITE}])"),
+        "broken": count_of(F.concat(space, clean, space), r" [^ \p{L}\p{N}](?= )"),
     }
 
 

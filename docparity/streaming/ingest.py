@@ -16,8 +16,8 @@ def read_documents(spark: SparkSession, path: str, schema: str, files_a_batch: i
 
 def text_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row with ``text_score`` of its lines, summed within the row, so neither state nor shuffle is needed."""
-    lines = F.transform(line_elements(F.col(text)), lambda e: e["content"])
-    counts = F.transform(lines, lambda c: F.struct(*[v.alias(k) for k, v in T.element_counts(c).items()]))
+    lines = F.transform(line_elements(F.col(text)), lambda e: F.struct(e["content"].alias("text"), T.clean_text(e["content"]).alias("clean")))
+    counts = F.transform(lines, lambda c: F.struct(*[v.alias(k) for k, v in T.element_counts(c["text"], c["clean"]).items()]))
     total = F.aggregate(counts, F.struct(*[F.lit(0).cast("long").alias(k) for k in T.ADDITIVE]), lambda a, x: F.struct(*[(a[k] + x[k]).alias(k) for k in T.ADDITIVE]))
     scored = docs.withColumn("__dp_total", total)
     return scored.withColumn("text_score", T.text_score(T.text_ratios({k: F.col("__dp_total")[k] for k in T.ADDITIVE}))).drop("__dp_total")

@@ -134,3 +134,17 @@ def test_long_text_that_lost_parts():
 def test_tokens_are_split_before_they_are_lower_case(spark):
     assert one(spark, S.token_sorted(F.col("t")), t="İX, É ΑΣ b--A_2 ") == "2 a b i̇x ας"
     assert one(spark, S.token_sorted(F.col("t")), t="?? ") == "" and one(spark, S.token_sorted(F.col("t")), t=None) == ""
+
+
+@pytest.mark.parametrize("text", ["", "a ! b\u0085\U0001f600 \U0001f600x ! ! ,\x1c", "\x00�￿ .", " \t\n", "x", "\U0001d400 # #", " � "])
+def test_counts_of_an_element(spark, text):
+    words = text.split()
+    k = T.element_counts(F.col("t"))
+    got = one(spark, F.struct(*[v.alias(n) for n, v in k.items()]), t=text).asDict()
+    broken = sum(len(w) == 1 and not w.isalnum() for w in words)
+    assert got == {
+        "n": 1, "n_blank": int(not words), "chars": len(text), "alnum": sum(map(str.isalnum, text)), "spaces": sum(map(str.isspace, text)), "bad": sum(c in "�\x00￾￿" for c in text),
+        "words": len(words), "word_chars": sum(map(len, words)), "broken": broken,
+    }
+    plan = spark.createDataFrame([(text,)], "t string").select(*[v.alias(n) for n, v in k.items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<!" not in plan
